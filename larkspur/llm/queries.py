@@ -6,8 +6,9 @@ from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import packing, secrets, simhash, token_files
 from .common import documents, staged_path
 
 
@@ -15,6 +16,11 @@ def vocabulary(name: str) -> str:
     return import_module("public_tokenizers").path(name)
 
 
+def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
+    return secrets.report(versions, secrets.advance(versions, secrets.empty_ledger(spark))).withColumnRenamed("path", "doc_id")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staged_path(spark, "token_files")
     token_files.write(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"))
@@ -25,9 +31,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_files": op5_token_files, "op9_packing": op9_packing}
+    named = (op2_secret_ledger, op5_token_files, op9_packing, op10_simhash)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secret_ledger": secrets.oracle()}
