@@ -8,14 +8,18 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, simhash, token_files
-from .common import documents, staged_path
+from . import nbsvm, packing, quality_rules, secrets, simhash, token_files
+from .common import documents, remainder, staged_path
 
 
 def vocabulary(name: str) -> str:
     return import_module("public_tokenizers").path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
     return secrets.report(versions, secrets.advance(versions, secrets.empty_ledger(spark))).withColumnRenamed("path", "doc_id")
@@ -27,6 +31,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = nbsvm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = nbsvm.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -37,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_secret_ledger, op5_token_files, op9_packing, op10_simhash)
+    named = (op1_quality_rules, op2_secret_ledger, op5_token_files, op7_quality_classifier, op9_packing, op10_simhash)
     return {f.__name__: f for f in named}
 
 
