@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import nbsvm, packing, quality_rules, secrets, simhash, token_files
+from . import backoff_lm, nbsvm, packing, quality_rules, secrets, simhash, token_files
 from .common import documents, remainder, staged_path
 
 
@@ -38,6 +38,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -48,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality_rules, op2_secret_ledger, op5_token_files, op7_quality_classifier, op9_packing, op10_simhash)
+    named = (op1_quality_rules, op2_secret_ledger, op5_token_files, op7_quality_classifier, op8_language_model, op9_packing, op10_simhash)
     return {f.__name__: f for f in named}
 
 
