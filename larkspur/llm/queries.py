@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, nbsvm, packing, quality_rules, secrets, simhash, token_files
+from . import backoff_lm, decontaminate, link_graph, nbsvm, packing, quality_rules, secrets, simhash, suffix_dedup, token_files
 from .common import documents, remainder, staged_path
 
 
@@ -25,12 +25,25 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(versions, secrets.advance(versions, secrets.empty_ledger(spark))).withColumnRenamed("path", "doc_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staged_path(spark, "token_files")
     token_files.write(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"))
     return token_files.read(spark, path)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = nbsvm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -52,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality_rules, op2_secret_ledger, op5_token_files, op7_quality_classifier, op8_language_model, op9_packing, op10_simhash)
+    named = (op1_quality_rules, op2_secret_ledger, op3_suffix_dedup, op4_link_graph, op5_token_files, op6_decontamination, op7_quality_classifier, op8_language_model, op9_packing, op10_simhash)
     return {f.__name__: f for f in named}
 
 
