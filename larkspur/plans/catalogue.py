@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, text, urls
-from ..operators import candidates, contacts, eligibility, ledger, report, retention, upsert
+from ..functions import drafts, gazette, html, ids, text, urls
+from ..operators import candidates, contacts, decisions, eligibility, ledger, report, retention, upsert
 from ..sources.driver_tables import relations, with_relations
 
 SETTING = eligibility.Setting("O", "1-URGENT", ("m0", "m1"), "c1", 5)
@@ -452,3 +452,49 @@ _NOTICES = "select concat(role, cast(conv_id % 50 as varchar(9))) as name, conv_
 def q_gazette_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     notices = spark.sql(_NOTICES, conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return candidates.current_notices(notices).select("name", "published", "pos")
+
+
+@_query()
+def q_textify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html.textify("html").alias("text"), html.find_links("html", "url").alias("links"), html.schema_org("html").alias("schema_org"))
+
+
+@_query()
+def q_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalised("text").alias("normalised"))
+
+
+@_query()
+def q_split_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.expr("concat(element_at(array('Dr. Anna ', 'Prof. Urs ', 'Hans Peter ', ''), cast(c_custkey % 4 as int) + 1), element_at(array('von Arx', 'Muster', 'Probe-Keller'), cast(c_custkey % 3 as int) + 1))")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("uid"), text.split_name(name).alias("name")).select("uid", "name.*")
+
+
+@_query()
+def q_parse_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notice = F.expr("concat('Eingetragene Personen: Muster, Anna, von Bern, in Thun, Direktorin, mit Einzelunterschrift; Treu AG (CHE-100.000.0', cast(conv_id % 10 as string), '), Revisionsstelle. Ausgeschiedene Personen: Probe, ', initcap(role), ', Mitglied.')")
+    found = F.explode(gazette.parse_persons(notice)).alias("p")
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", found).select("conv_id", "turn", "p.*")
+
+
+@_query()
+def q_sentence_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit(drafts.PREFIX), F.substring("text", 1, 150), F.lit("."))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(drafts.sentence_problems(said), ",").alias("problems"))
+
+
+@_query(
+    _with(("contacts",))
+    + """select id, case when email_kind = 'third_party' then 'hold' else 'send' end as recommendation,
+    case email_kind when 'third_party' then 'the only address, ' || email || ', is on another domain' when 'seen' then coalesce(person, 'nobody named') || ' at their own address on the company''s site'
+    when 'generic' then coalesce(person, 'nobody named') || ' at the general inbox the site publishes' else coalesce(person, 'nobody named') || ' at info@ on the site''s domain — not seen, a guess' end as reason from contacts"""
+)
+def q_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    no = F.lit(False)
+    verdict = decisions.recommend(F.lit("site"), no, no, F.col("person"), F.col("email"), F.col("email_kind"), F.lit("site"))
+    return relations(spark, sf_dir)["contacts"].select("id", verdict.alias("v")).select("id", "v.*")
+
+
+@_query("select uid, max(id) filter (where status = 'sent') as id from (" + "select event_id as id, user_id as uid, case event_type when 'purchase' then 'sent' end as status from events) t group by uid")
+def q_latest_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations(spark, sf_dir)["ledger"].groupBy("uid").agg(F.max(F.when(F.col("status") == "sent", F.col("id"))).alias("id"))
