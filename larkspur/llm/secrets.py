@@ -82,7 +82,8 @@ def advance(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES
     spark = versions.sparkSession
     known = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
     blobs = versions.select("path", blob().alias("blob")).groupBy("blob").agg(F.min("path").alias("path"))
-    missing = blobs.join(F.broadcast(known)).join(ledger.seen, ["blob", "kind", "version"], "left_anti")
+    ruled = F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules)))
+    missing = blobs.withColumn("rule", ruled).select("blob", "path", "rule.*").join(ledger.seen, ["blob", "kind", "version"], "left_anti")
     todo = staged(missing.groupBy("blob", "path").agg(F.collect_set("kind").alias("kinds")), "unseen_blobs")
     texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     same = (texts["blob"] == todo["blob"]) & texts["path"].eqNullSafe(todo["path"])
@@ -118,15 +119,17 @@ def report(versions: DataFrame, ledger: Ledger) -> DataFrame:
 
 def redacted(docs: DataFrame, ledger: Ledger, mark: str = "<secret>") -> DataFrame:
     """docs with the spans found in their texts replaced by mark, spans that overlap by one; n_chars follows. Other rows stay as they are."""
-    clean = F.expr(f"""aggregate(spans, named_struct('out', '', 'at', 0L),
+    clean = F.expr(f"""aggregate(_larkspur_spans, named_struct('out', '', 'at', 0L),
         (acc, s) -> if(s.start >= acc.at,
             named_struct('out', concat(acc.out, substring(text, cast(acc.at as int) + 1, cast(s.start - acc.at as int)), '{mark}'), 'at', s.end),
             named_struct('out', acc.out, 'at', greatest(acc.at, s.end))),
         acc -> concat(acc.out, substring(text, cast(acc.at as int) + 1)))""")
-    found = docs.withColumn("_blob", blob()).join(spans_by_blob(ledger).withColumnRenamed("blob", "_blob"), "_blob", "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)
-    out = found.withColumn("_text", text).withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("text", F.col("_text")).select(*docs.columns)
+    known = spans_by_blob(ledger).select(F.col("blob").alias("_larkspur_blob"), F.col("spans").alias("_larkspur_spans"))
+    found = docs.withColumn("_larkspur_blob", blob()).join(known, "_larkspur_blob", "left")
+    same = F.col("_larkspur_spans").isNull()
+    out = found.withColumn("_larkspur_text", F.when(same, F.col("text")).otherwise(clean))
+    changed = {"text": F.col("_larkspur_text"), "n_chars": F.when(same, F.col("n_chars")).otherwise(F.length("_larkspur_text").cast(docs.schema["n_chars"].dataType))}
+    return out.withColumns(changed).select(*docs.columns)
 
 
 def oracle() -> str:
