@@ -121,7 +121,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
 def links(nodes: DataFrame, radius: int, block_rows: int = 1 << 16, least_blocks: int = 12) -> DataFrame:
     """Links (a, b: nodes) that connect what links of at most radius bits connect. nodes: node and fp, each fp once.
 
-    Each pair of blocks is a task of at most block_rows squared comparisons and 32 bytes a fingerprint. The driver
+    Each pair of blocks is at most block_rows squared comparisons and 32 bytes a fingerprint; a task takes one after the other. The driver
     gets the number, and the ranges of counts, of each block.
     """
     spark, n = nodes.sparkSession, nodes.count()
@@ -166,7 +166,8 @@ def links(nodes: DataFrame, radius: int, block_rows: int = 1 << 16, least_blocks
             yield found(held)
 
     wanted = F.broadcast(spark.createDataFrame(sides, "block int, pair int, side int"))
-    return blocks.join(wanted, "block").repartition(max(1, len(pairs)), "pair").sortWithinPartitions("pair", "side").select("pair", "prints", "nodes").mapInArrow(compare, LINKS)
+    tasks = max(1, min(len(pairs), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return blocks.join(wanted, "block").repartition(tasks, "pair").sortWithinPartitions("pair", "side").select("pair", "prints", "nodes").mapInArrow(compare, LINKS)
 
 
 def components(links: DataFrame) -> DataFrame:
