@@ -79,3 +79,29 @@ def address_blocks(contacts: DataFrame, suppression: DataFrame, ledger: DataFram
     rows = keyed.join(barred, "key", "left").join(first, "key", "left")
     other = F.when(F.size(F.filter("sent", lambda s: s["uid"] != F.col("uid"))) > 0, F.concat(F.lit("sent for "), F.get(F.filter("sent", lambda s: s["uid"] != F.col("uid")), F.lit(0))["uid"].cast("string")))
     return rows.select("uid", "key", F.coalesce(F.when(F.col("suppressed"), "suppressed"), other).alias("reason")).where("reason is not null")
+
+
+def next_cards(cards: DataFrame) -> DataFrame:
+    """For each card of cards(), the next one without a decision: the nearest after it, else the first of all; null if none waits."""
+    forward = Window.orderBy("rank").rowsBetween(1, Window.unboundedFollowing)
+    every = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    open_ = F.when(~F.col("closed"), F.col("uid"))
+    return cards.select("rank", "uid", F.coalesce(F.first(open_, True).over(forward), F.first(open_, True).over(every)).alias("next_uid"))
+
+
+def companies_of_address(t: Tables, key: Column, wanted: str) -> DataFrame:
+    """Companies that an address belongs to or that were written to at it. key: of contacts' rows."""
+    return t["contacts"].where(key == wanted).select("uid").union(t["ledger"].join(t["contacts"].where(key == wanted).select("uid"), "uid", "left_semi").select("uid")).distinct()
+
+
+def held_names(t: Tables, uids: DataFrame) -> DataFrame:
+    """Names of people that rows of some companies hold: of contacts and of personal links."""
+    of = lambda name: t[name].join(uids.select("uid"), "uid", "left_semi").select("person")
+    return of("contacts").union(of("invites")).where("person is not null").distinct()
+
+
+def redraft_candidates(t: Tables, run_id: str, frame: str) -> DataFrame:
+    """Companies to write a draft for again: to be sent to, without a decision that stands, not suppressed, and with a stale draft or none."""
+    open_ = t["results"].where((F.col("run_id") == run_id) & (F.col("recommendation") == "send")).select("uid")
+    open_ = open_.join(current_decision(t["ledger"]).select("uid"), "uid", "left_anti").join(t["suppression"].select("uid"), "uid", "left_anti")
+    return open_.join(latest(t["drafts"]).select("uid", F.lit(True).alias("there")), "uid", "left").join(stale_drafts(t, frame), "uid", "left").where("there is null or why is not null").select("uid", F.coalesce("why", F.lit("none")).alias("why"))

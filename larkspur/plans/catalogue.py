@@ -498,3 +498,28 @@ def q_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("select uid, max(id) filter (where status = 'sent') as id from (" + "select event_id as id, user_id as uid, case event_type when 'purchase' then 'sent' end as status from events) t group by uid")
 def q_latest_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations(spark, sf_dir)["ledger"].groupBy("uid").agg(F.max(F.when(F.col("status") == "sent", F.col("id"))).alias("id"))
+
+
+@_query(
+    _with(("results", "suppression", "drafts", "ledger"), _FOLDS + ", " + _CURRENT)
+    + """, d as (select uid, case when frame_version <> 'f1' then 'old frame' when problems is null then 'unchecked' when problems <> '' then 'failed' end as why, row_number() over (partition by uid order by id desc) as k from drafts)
+    select r.uid, coalesce(d.why, 'none') as why from results r left join d on d.uid = r.uid and d.k = 1 where run_id = 'r1' and recommendation = 'send' and r.uid not in (select uid from current_) and r.uid not in (select uid from suppression) and (d.uid is null or d.why is not null)"""
+)
+def q_redraft_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts.redraft_candidates(relations(spark, sf_dir), RUN, "f1")
+
+
+@_query(_with(("contacts", "invites", "suppression")) + "select distinct person from (select uid, person from contacts union all select uid, person from invites) p where person is not null and uid in (select uid from suppression)")
+def q_held_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = relations(spark, sf_dir)
+    return contacts.held_names(t, t["suppression"])
+
+
+@_query(_with(("contacts",)) + "select distinct uid from contacts where lower(trim(email)) = 'info@site7.example.com'")
+def q_companies_of_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts.companies_of_address(relations(spark, sf_dir), ids.address_key(F.col("email")), "info@site7.example.com")
+
+
+@_query()
+def q_next_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts.next_cards(contacts.cards(relations(spark, sf_dir), RUN))

@@ -141,3 +141,22 @@ def test_notices():
 def test_sitemaps(spark):
     xml = "<urlset><url><loc> https://m.ch/?a=1&amp;b=2 </loc></url><url><loc>https://m.ch/x</loc></url></urlset>"
     assert one(spark, urls.sitemap_locations(F.col("x")), x=xml) == ["https://m.ch/?a=1&b=2", "https://m.ch/x"]
+
+
+def test_mail(spark):
+    from larkspur.functions import mail
+
+    frame = mail.Frame("Mia Beispiel", "HS", "HS Beispielstadt", "wie Firmen wachsen", 8, closes=F.lit(datetime.date(2026, 10, 30)))
+    contacts = [("Dr. Urs Probe", "Herr", "generic", "shab"), (None, None, "generic", "site"), ("Anna Muster", None, "seen", "site"), (None, None, "constructed", "site")]
+    df = spark.createDataFrame(contacts, "full string, word string, kind string, source string").withColumn("name", text.split_name("full"))
+    c = F.col
+    out = df.select(
+        mail.body(c("name"), c("word"), c("kind"), c("source"), F.lit(" Gruß. "), F.lit("https://s.ch/?c=CHE1"), F.lit(False), frame).alias("body"), mail.subject(c("name"), c("word"), c("kind"), frame).alias("subject"), mail.privacy(c("name"), c("kind"), c("source"), frame).alias("privacy")
+    ).collect()
+    assert out[0].body.startswith("Zuhanden Herrn Dr. Probe oder der Geschäftsleitung – besten Dank fürs Weiterleiten\n\nGuten Tag Herr Dr. Probe\n\n")
+    assert "(ohne Anmeldung, offen bis Freitag, 30. Oktober):" in out[0].body and "wachsen. Gruss.\n\n" in out[0].body and out[0].subject == "Für Herrn Dr. Probe: Masterarbeit an der HS"
+    assert out[1].body.startswith("Zuhanden der Geschäftsleitung –") and "\n\nGuten Tag\n\n" in out[1].body and out[2].body.startswith("Guten Tag Anna Muster") and out[3].privacy is None
+    assert one(spark, mail.as_html(F.col("x")), x="a & b\n\nhttps://s.ch/?c=1\nz") == '<p>a &amp; b</p><p><a href="https://s.ch/?c=1">https://s.ch/?c=1</a><br>z</p>'
+    assert mail.written_salutation("Anna Muster", {"u": "Fragen an Frau Anna Muster."}, None) == ("Frau", "page")
+    assert mail.written_salutation("Anna Muster", {"u": "1978 gründete Herr Muster die Firma. Heute führt Anna Muster sie."}, None) is None
+    assert mail.written_salutation("Urs Probe", {"u": "Herr Probe hilft."}, "Inhaberin") is None
