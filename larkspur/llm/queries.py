@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_ledger": secrets.oracle()}
+    return {"op2_secret_ledger": secrets.oracle(), "op3_suffix_dedup": suffix_dedup.oracle()}

@@ -375,3 +375,14 @@ def dedup(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), *(pa.int64(),) * 3), strict=True))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return rows.join(found, "doc_id", "left").select("id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+
+
+def oracle(length: int = 100) -> str:
+    """DuckDB SQL for op3's query over documents whose doc_ids are unique, by way of every string of length bytes, in hex."""
+    return f"""with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    w as (select doc_id, s, row_number() over (partition by k order by doc_id, s) as n from (select doc_id, s, substr(h, 2 * s + 1, {2 * length}) as k from (select doc_id, h, unnest(range(0, greatest(len(h) // 2 - {length - 1}, 0))) as s from d) a) b),
+    i as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) as island from (select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + {length} then 0 else 1 end as fresh from w where n > 1) x),
+    g as (select doc_id, min(s) as a, max(s) + {length} as b from i group by doc_id, island),
+    p as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from g),
+    k as (select p.doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as kept from p join d using (doc_id) group by p.doc_id)
+    select d.doc_id, len(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from d left join k using (doc_id)"""
