@@ -52,7 +52,7 @@ def list_file(spark: SparkSession, path: str) -> DataFrame:
 def table_rows(spark: SparkSession, path: str) -> DataFrame:
     """cells of the rows of a Markdown table, without its heading and rule."""
     rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*\|.*\|\s*$") & ~F.col("value").rlike(r"^[\s|:-]+$"))
-    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     return rows.select(cells.alias("cells")).where(F.col("cells")[0].rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
 
 
