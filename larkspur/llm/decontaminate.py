@@ -50,11 +50,11 @@ def slots(table: DataFrame, key: str) -> DataFrame:
     return placed.withColumn("rank", rank).select(key, F.col("x.place").alias("place"), F.concat(F.col("x.token"), F.lower(F.try_element_at(values, F.col("rank")))).alias("value"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float = 0.5, run: int = 6) -> DataFrame:
     """Documents that hold benchmark items: doc_id, item_id, n_windows, n_item_windows and reparameterised, a row for each pair.
 
     docs: doc_id, text; items: item_id, text; other columns are left out. A pair is told if in one alignment at least share of
-    the item's windows of size template words are found whose values correspond one to one. An item of fewer words is one window; an item without
+    the item's windows of size template words, or run of them (as 13 words in a row have), are found whose values correspond one to one. An item of fewer words is one window; an item without
     words is none. reparameterised: some value differs. Null texts count as empty, rows without an id are
     left out, and rows that share an id are told once if any of them holds the item. Empty tables give no rows.
     """
@@ -74,7 +74,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float
     each = made.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("size"), windows(k).alias("hashes")) for k in sizes))).alias("x"))
     each = each.select("doc_id", "x.size", F.posexplode("x.hashes").alias("place", "hash"))
     met = staged(each.join(side, ["size", "hash"]).select("doc_id", "item_id", "size", "place", "item_place", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "met_windows")
-    alignments = met.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n")).join(F.broadcast(totals) if many <= BROADCAST_WINDOWS else totals, "item_id").where(F.col("n") >= share * F.col("n_item_windows"))
+    enough = lambda n: F.col(n) >= F.least(share * F.col("n_item_windows"), F.lit(run))
+    alignments = met.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n")).join(F.broadcast(totals) if many <= BROADCAST_WINDOWS else totals, "item_id").where(enough("n"))
     likely = staged(alignments.select("doc_id", "item_id", "shift", "n_item_windows"), "likely")
     pair = ["doc_id", "item_id", "shift"]
     in_items = slots(known, "item_id").withColumnRenamed("place", "item_place").withColumnRenamed("value", "item_value")
@@ -87,5 +88,5 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float
     spoilt = at_odds.select(*pair, F.col("place").alias("bad")).distinct().groupBy(*pair).agg(F.collect_set("bad").alias("bad"))
     changed = values.groupBy(*pair).agg(F.max(F.col("value") != F.col("item_value")).alias("changed"))
     sound = met.join(likely, pair).join(spoilt, pair, "left").where(~F.coalesce(F.exists("bad", lambda b: (b >= F.col("place")) & (b < F.col("place") + F.col("size"))), F.lit(False)))
-    told = sound.groupBy(*pair, "n_item_windows").agg(F.count("*").alias("n_windows")).where(F.col("n_windows") >= share * F.col("n_item_windows")).join(changed, pair, "left")
+    told = sound.groupBy(*pair, "n_item_windows").agg(F.count("*").alias("n_windows")).where(enough("n_windows")).join(changed, pair, "left")
     return told.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.first("n_item_windows").alias("n_item_windows"), F.min(F.coalesce("changed", F.lit(False))).alias("reparameterised"))

@@ -215,9 +215,9 @@ def test_decontamination(spark, awkward, empty):
     items = spark.createDataFrame([(1, item, "x"), (2, other, "x"), (3, None, "x"), (4, "", "x"), (None, item, "x")], "item_id long, text string, tokens string")
     again = item.replace("12", "40").replace("apples at 3", "apples at 7")
     muddled = item.replace("sells 12", "sells 99")
-    docs = frame(spark, [f"Before it. {item}. After it.", f"x {again} y", muddled, "nothing of the kind stands here, or there", f"so: {other}!", item.upper(), None, "12 3 12 5 dollars"], 20).unionByName(awkward)
+    docs = frame(spark, [f"Before it. {item}. After it.", f"x {again} y", muddled, "nothing of the kind stands here, or there", f"so: {other}!", item.upper(), None, "12 3 12 5 dollars", " ".join(item.split()[:13]), " ".join(item.split()[:12])], 20).unionByName(awkward)
     found = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(docs, items).collect()}
-    assert found[20, 1] is False and found[21, 1] is True and (24, 2) in found and {d for d, _ in found} <= {20, 21, 22, 24, 25}
+    assert found[20, 1] is False and found[21, 1] is True and (24, 2) in found and (28, 1) in found and {d for d, _ in found} <= {20, 21, 22, 24, 25, 28}
     assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.contaminated(docs, items.where("item_id = 9")).count() == 0
 
 
