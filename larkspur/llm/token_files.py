@@ -28,18 +28,28 @@ RANGES = "part int, before long, doc_id long, n_tokens long, ids_crc32 long"
 _SHARD_FIELDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("symbols", "rules", "rule_tokens", "jumps"))])
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the pairs found least times or more, the most frequent first, and of each place the pair's rank there (most: none)."""
-    bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(10)
-    maybe = np.flatnonzero(np.bincount(bucket, minlength=1 << 22)[bucket] >= least)
-    keys, where, n = np.unique(left[maybe].astype(np.uint64) << np.uint64(32) | right[maybe], return_inverse=True, return_counts=True)
+def _frequent(left: np.ndarray, right: np.ndarray, least: int, most: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of pairs found least times or more, the most frequent first, and of each place the pair's rank there (most: none).
+
+    Pairs are counted by hash, each bucket for one pair that falls into it, so nothing is sorted; a pair that shares its
+    bucket waits for a turn with other hashes.
+    """
+    many = 1 << 21
+    bucket = ((left * np.uint32(0x9E3779B1 + 2 * turn)) ^ (right * np.uint32(0x85EBCA6B + 6 * turn))) >> np.uint32(11)
+    bucket = bucket.astype(np.intp)  # the type that counting and indexing work in
+    maybe = np.flatnonzero(np.bincount(bucket, minlength=many)[bucket] >= least)
+    bucket, keys = bucket[maybe], left[maybe].astype(np.uint64) << np.uint64(32) | right[maybe]
+    owner = np.zeros(many, np.uint64)
+    owner[bucket] = keys
+    own = owner[bucket] == keys
+    n = np.bincount(bucket[own], minlength=many)
     chosen = np.flatnonzero(n >= least)
     chosen = chosen[np.argsort(-n[chosen], kind="stable")][:most]
-    rank_of = np.full(len(keys) + 1, most, np.int32)
+    rank_of = np.full(many, most, np.int32)
     rank_of[chosen] = np.arange(len(chosen))
     ranks = np.full(len(left), most, np.int32)
-    ranks[maybe] = rank_of[where]
-    return keys[chosen], ranks
+    ranks[maybe[own]] = rank_of[bucket[own]]
+    return owner[chosen], ranks
 
 
 def compress(ids: np.ndarray, base: int, least: int = 32, most: int = 4096, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -49,19 +59,23 @@ def compress(ids: np.ndarray, base: int, least: int = 32, most: int = 4096, roun
     more frequent pair overlaps it; rounds go on until no pair is found least times, or rounds are used up.
     """
     symbols, rules = ids.astype(np.uint32), np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
+    for turn in range(rounds):
         if len(symbols) < 2:
             break
-        keys, rank = _frequent(symbols[:-1], symbols[1:], least, most)
+        keys, rank = _frequent(symbols[:-1], symbols[1:], least, most, turn)
         if not len(keys):
             break
-        begins = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])  # in a run of one pair over itself (aaaa) every other place counts
-        in_run = np.arange(len(rank)) - np.repeat(begins, np.diff(np.r_[begins, len(rank)]))
-        rank[in_run % 2 == 1] = most
+        over = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] < most))  # a pair over itself (aaaa): every other place counts
+        if len(over):
+            first = np.flatnonzero(np.r_[True, np.diff(over) > 1])
+            in_run = np.arange(len(over)) - np.repeat(first, np.diff(np.r_[first, len(over)]))
+            rank[over[in_run % 2 == 0] + 1] = most
         around = np.r_[most, rank, most]
         at = np.flatnonzero((rank < around[:-2]) & (rank < around[2:]))
-        used, numbered = np.unique(rank[at], return_inverse=True)
-        symbols[at] = (base + len(rules) + numbered).astype(np.uint32)
+        there = np.zeros(most, bool)
+        there[rank[at]] = True
+        used = np.flatnonzero(there)
+        symbols[at] = (base + len(rules) - 1 + np.cumsum(there))[rank[at]].astype(np.uint32)
         rules = np.r_[rules, np.c_[keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)].astype(np.uint32)]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
@@ -81,14 +95,22 @@ def rule_tokens(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    while (at := symbols >= base).any():
+    """The ids that symbols stand for: rules are expanded once, and copied to wherever they are used."""
+    sizes, pool = rule_tokens(rules, base), np.arange(base, base + len(rules), dtype=np.uint32)
+    while (at := pool >= base).any():
         width = at + 1
-        out = np.repeat(symbols, width)
+        out = np.repeat(pool, width)
         first = np.cumsum(width)[at] - 2
-        out[first], out[first + 1] = rules[symbols[at].astype(np.int64) - base].T
-        symbols = out
-    return symbols
+        out[first], out[first + 1] = rules[pool[at].astype(np.int64) - base].T
+        pool = out
+    at = symbols >= base
+    used = symbols[at].astype(np.int64) - base
+    width = np.ones(len(symbols), np.int64)
+    width[at] = n = sizes[used]
+    out = np.repeat(symbols, width)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(np.cumsum(width)[at] - n, n) + step] = pool[np.repeat((np.cumsum(sizes) - sizes)[used], n) + step]
+    return out
 
 
 def ids_between(shard: dict, start: int, stop: int) -> np.ndarray:

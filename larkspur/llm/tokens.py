@@ -7,6 +7,7 @@ from functools import lru_cache
 
 #: Distinct units that a worker remembers; beyond them it forgets all and starts again, so its memory stays bounded.
 CACHE_UNITS = 800_000
+TOGETHER = 100
 #: A full stop or comma that may not begin a pre-token: it stands first, or after neither a letter nor a digit.
 _ODD_STOP = re.compile(r"[.,](?<![^\W_].)")
 _BORDER = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=[^\W_])(?=[.,])")
@@ -61,15 +62,21 @@ class Encoder:
         return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null counts as empty."""
+        """The ids of each text; null counts as empty. Some texts at a time are in parts, which keeps them in the processor's caches."""
+        return [ids for i in range(0, len(texts), TOGETHER) for ids in self._encode(texts[i : i + TOGETHER])]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         parted = [self._units(t or "") for t in texts]
-        known = self.known
-        new = set().union(*parted).difference(known)
-        if len(known) + len(new) > CACHE_UNITS:
-            known.clear()
-            new = set().union(*parted)
+        get = self.known.get
+        found = [list(map(get, units)) for units in parted]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        new = {u for k in lacking for u, ids in zip(parted[k], found[k], strict=True) if ids is None}
+        if len(self.known) + len(new) > CACHE_UNITS:
+            self.known.clear()
         self._learn(list(new))
-        return [b"".join(map(known.__getitem__, units)) for units in parted]
+        for k in lacking:
+            found[k] = [get(u) if ids is None else ids for u, ids in zip(parted[k], found[k], strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=2)
