@@ -41,14 +41,15 @@ def _frequent(left: np.ndarray, right: np.ndarray, least: int, most: int, turn:
     bucket, keys = bucket[maybe], left[maybe].astype(np.uint64) << np.uint64(32) | right[maybe]
     owner = np.zeros(many, np.uint64)
     owner[bucket] = keys
-    own = owner[bucket] == keys
-    n = np.bincount(bucket[own], minlength=many)
+    own = np.flatnonzero(owner[bucket] == keys)
+    bucket = bucket[own]
+    n = np.bincount(bucket, minlength=many)
     chosen = np.flatnonzero(n >= least)
     chosen = chosen[np.argsort(-n[chosen], kind="stable")][:most]
     rank_of = np.full(many, most, np.int32)
     rank_of[chosen] = np.arange(len(chosen))
     ranks = np.full(len(left), most, np.int32)
-    ranks[maybe[own]] = rank_of[bucket[own]]
+    ranks[maybe[own]] = rank_of[bucket]
     return owner[chosen], ranks
 
 

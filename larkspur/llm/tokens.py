@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
-#: Distinct units that a worker remembers; beyond them it forgets all and starts again, so its memory stays bounded.
-CACHE_UNITS = 800_000
+#: Distinct units that a worker remembers; beyond them it keeps those it met first, among them the common ones, so its memory stays bounded.
+CACHE_UNITS, KEPT_UNITS = 800_000, 300_000
 TOGETHER = 100
 #: A full stop or comma that may not begin a pre-token: it stands first, or after neither a letter nor a digit.
 _ODD_STOP = re.compile(r"[.,](?<![^\W_].)")
@@ -41,8 +42,9 @@ class Encoder:
     def _learn(self, units: list[str]) -> None:
         import numpy as np
 
-        plain = [u for u in units if u.removeprefix(" ").isalpha()]
-        rest = [u for u in units if not u.removeprefix(" ").isalpha()]
+        plain, rest = [], []
+        for u in units:
+            (plain if u.removeprefix(" ").isalpha() else rest).append(u)
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]
             ids = np.asarray(self.words.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, "<u4")
@@ -72,7 +74,8 @@ class Encoder:
         lacking = [k for k, ids in enumerate(found) if None in ids]
         new = {u for k in lacking for u, ids in zip(parted[k], found[k], strict=True) if ids is None}
         if len(self.known) + len(new) > CACHE_UNITS:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), KEPT_UNITS))
+            get = self.known.get
         self._learn(list(new))
         for k in lacking:
             found[k] = [get(u) if ids is None else ids for u, ids in zip(parted[k], found[k], strict=True)]
