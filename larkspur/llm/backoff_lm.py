@@ -15,21 +15,26 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, staged, words
+from .common import drop_staged, remainder, staged
 
-SCORED = "row long, doc_id long, n_tokens long, head_known long, head_base double, head_score double, rest array<struct<word: string, times: long>>"
+SCORED = "row long, doc_id long, n_tokens long, head_known long, head_base double, head_score double, rest array<struct<word: string, times: long>>, grams array<long>"
 _REST = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
 #: Distinct words, or n-grams, that a task holds before it hands their counts on.
 HELD = 400_000
 END = b""
+#: Bits of a map of keys, which goes to every task, and of a block of it.
+BITS, _BLOCK = 1 << 28, 1 << 18
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 class Automaton(NamedTuple):
@@ -83,44 +88,88 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_grams(docs: DataFrame, numbers: dict[bytes, int], shorter: np.ndarray | None, n: int) -> DataFrame:
-    """gram and n: how often each run of n numbered words is found whose first and last n - 1 words are among shorter (sorted; None: any).
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """xxhash64 of two columns of longs, as Spark has it, over unsigned numbers."""
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.uint64(42)
+    for x in (a, b):
+        h = (h + _P5 + np.uint64(8)) ^ (turn(x * _P2, 31) * _P1)
+        h = turn(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h = h ^ (h >> np.uint64(32))
+    return h
 
-    A run is packed into a number, its first word highest. A run that is frequent enough has parts that are, so none is missed.
+
+class Keys(dict):
+    """The key of a word: its 64-bit hash, remembered for at most HELD words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        self[word] = key = xxhash.xxh64_intdigest(word, 42)
+        return key
+
+
+def runs(texts: list[list[bytes]], keys: Keys, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For 2, 3, ... order words: the place of the text, the keys of the first and of the last n - 1 words, and the key of each run within a text (words and its end).
+
+    The key of a run of n words is the hash of those two keys, so a run's parts are known from its row alone.
+    """
+    of = np.repeat(np.arange(len(texts)), [len(x) + 1 for x in texts])
+    key = np.fromiter((keys[w] for x in texts for w in (*x, END)), np.uint64, len(of))
+    for n in range(2, order + 1):
+        a, b = key[:-1], key[1:]
+        key = mixed(a, b)
+        fits = of[: len(key)] == of[n - 1 :]
+        yield of[: len(key)][fits], a[fits], b[fits], key[fits]
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """BITS bits, those at the low bits of the keys set. What has no bit is not among the keys; a full map only lets more pass to where keys are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = batch.column(1).to_numpy()
+            for block in np.unique(here := batch.column(0).to_numpy()).tolist():
+                np.bitwise_or.at(blocks.setdefault(block, np.zeros(_BLOCK // 8, np.uint8)), bit[here == block] >> 3, np.uint8(1) << (bit[here == block] & 7).astype(np.uint8))
+        for block, bits in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
+
+    low = F.col("key").bitwiseAND(F.lit(BITS - 1))
+    dealt = keys.select(F.floor(low / _BLOCK).alias("block"), (low % _BLOCK).alias("bit")).repartition("block")
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in dealt.mapInArrow(run, "block long, bits binary").toLocalIterator():
+        out[r["block"] * (_BLOCK // 8) : (r["block"] + 1) * (_BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def there(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    low = key & np.uint64(BITS - 1)
+    return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def count_grams(docs: DataFrame, shorter: np.ndarray, n: int) -> DataFrame:
+    """a, b and n: every run of n words that is found twice or more, by the keys of its first and its last n - 1 words, and how often it is.
+
+    shorter has the bits of the shorter runs found twice or more: a run that is found twice has parts that are, so none is missed.
     """
-    spark, many, size = docs.sparkSession, len(numbers), n
-    shared = spark.sparkContext.broadcast((numbers, shorter))
+    shared, size = docs.sparkSession.sparkContext.broadcast(shorter), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts = shared.value
-        keys, times = np.empty(0, np.int64), np.empty(0, np.int64)
-        give = lambda: (pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000]), pa.array(times[i : i + 50_000])], names=["gram", "n"]) for i in range(0, len(keys), 50_000))
-        there = lambda x: parts[np.minimum(np.searchsorted(parts, x), len(parts) - 1)] == x
+        keys, bits = Keys(), shared.value
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
-            line: list[bytes | None] = []
-            for text in batch.column(0).to_pylist():
-                line += lowered(text)
-                line += (END, None)
-            ids = np.array([-1 if x is None else x for x in map(known.get, line)], np.int64)
-            m = len(ids) - size + 1
-            if m < 1 or (parts is not None and not len(parts)):
-                continue
-            fits, key = np.ones(m, bool), np.zeros(m, np.int64)
-            for k in range(size):
-                fits &= ids[k : m + k] >= 0
-                key = key * many + ids[k : m + k]
-            key = key[fits]
-            if parts is not None:
-                key = key[there(key // many) & there(key % many ** (size - 1))]
-            new, counts = np.unique(key, return_counts=True)
-            keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            times = np.bincount(where, np.concatenate([times, counts]), len(keys)).astype(np.int64)
-            if len(keys) > 2 * HELD:
-                yield from give()
-                keys, times = keys[:0], times[:0]
-        yield from give()
+            *_, (_, a, b, key) = runs([lowered(t) for t in batch.column(0).to_pylist()], keys, size)
+            fits = there(bits, a) & there(bits, b)
+            _, first, times = np.unique(key[fits], return_index=True, return_counts=True)
+            a, b = a[fits][first].view(np.int64), b[fits][first].view(np.int64)
+            near = np.argsort(a)
+            a, b, times = a[near], b[near], times[near]
+            yield from (pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (a, b, times)], names=["a", "b", "n"]) for i in range(0, len(a), 50_000))
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return counted.where("n > 1")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int, usual: float = 0.75) -> tuple[float, float, float]:
@@ -157,12 +206,24 @@ def compiled(numbers: dict[bytes, int], single: dict[bytes, int], levels: list[t
                 weight += backoff[at] if at is not None else 0.0
                 short = short[1:]
             probability[(*context, number)] = (c - discount) / count[context] + rest * 10**weight * probability[short]
-    arcs = {}
+    return assembled(numbers, {run: math.log10(max(p, 1e-300)) for run, p in probability.items()}, {run: backoff[at] for run, at in state.items() if run})
+
+
+def assembled(numbers: dict[bytes, int], probability: dict[tuple[int, ...], float], weight: dict[tuple[int, ...], float]) -> Automaton:
+    """The automaton of log probabilities of runs of numbers, and of the backoff weights of contexts."""
+    many, state, backoff, failure, arcs = len(numbers), {(): 0}, [0.0], [0], {}
+
+    def longest(run: tuple[int, ...]) -> int:
+        while run not in state:
+            run = run[1:]
+        return state[run]
+
+    for context in sorted(weight, key=len):
+        state[context] = len(backoff)
+        backoff.append(weight[context])
+        failure.append(longest(context[1:]))
     for run, p in probability.items():
-        to = run
-        while to not in state:
-            to = to[1:]
-        arcs[state[run[:-1]] * many + run[-1]] = (math.log10(max(p, 1e-300)), state[to])
+        arcs[state[run[:-1]] * many + run[-1]] = (p, longest(run))
     return Automaton(numbers, arcs, backoff, failure)
 
 
@@ -171,9 +232,12 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, contex
 
     Training has the rows whose crc32(doc_id as text) mod folds isn't held (a null doc_id counts as held out). A null text
     counts as empty: its only token is the end. Rows that repeat are scored, and counted, each for itself; an empty table
-    gives no rows. Every word of training counts, however rare. Words with at least a head-th of all training tokens go to
-    every task; words with at least a contexts-th stand in n-grams, of which those with at least a share-th of all tokens
-    become arcs: at most head, contexts, and share for each length, whatever the corpus.
+    gives no rows. Every word of training counts, however rare, and every run of up to order words that is found twice or more.
+    head, contexts and share say only what goes to every task, whatever the corpus: words with at least a head-th of all
+    training tokens, and arcs of words with at least a contexts-th in runs with at least a share-th. All others meet their weights in joins.
+
+    The sum of a text's log probabilities is a sum over its runs: a word gives its own and its backoff weight, a longer run that
+    has an arc gives what this arc has more than the failure arc and the next shorter arc, and its backoff weight. So arcs that are joined add to what the traversal says.
     """
     spark = docs.sparkSession
     out = F.coalesce(remainder("doc_id", folds) == held, F.lit(True))
@@ -182,44 +246,86 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, contex
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *(F.count_if(F.col("n") == k) for k in range(1, 5))).first()
     tokens, kinds = int(totals[0]), int(totals[1])
     less = discounts(*totals[2:])
-    often = {r["word"].encode(): r["n"] for r in vocabulary.where((F.col("n") >= tokens / head) | (F.col("word") == "")).toLocalIterator()}
+    n = F.col("n")
+    one = (n - F.when(n == 1, less[0]).when(n == 2, less[1]).otherwise(less[2])) / max(tokens, 1)
+    zero, none = F.lit(0.0), spark.createDataFrame([], "key long, all long, rest double")
+    level = vocabulary.select(F.xxhash64("word").alias("key"), "n", one.alias("p")).where("n > 1")
+    grams, rests, bits = [], [], [bitmap(level)]
+    for size in range(2, order + 1):
+        counted = staged(count_grams(training, bits[-1], size), "grams")
+        used = counted.groupBy(F.col("a").alias("key")).agg(F.sum(n - discount).alias("used"))
+        rest = staged(used.join(level.select("key", F.col("n").alias("all")), "key").select("key", "all", F.greatest(1 - F.col("used") / F.col("all"), F.lit(1e-12)).alias("rest")), "rests")
+        whole = counted.join(rest.withColumnRenamed("key", "a"), "a").select("a", "b", "n", "rest", ((n - discount) / F.col("all")).alias("own"))
+        whole = whole.join(level.select(F.col("key").alias("b"), F.col("p").alias("short")), "b").withColumn("p", F.col("own") + F.col("rest") * F.col("short"))
+        often_found = [F.when(n >= tokens / share, F.col(x)).alias(x) for x in ("a", "b")]
+        level = staged(whole.select(F.xxhash64("a", "b").alias("key"), *often_found, "n", "p", (F.log10("p") - F.log10("rest") - F.log10("short")).alias("more")), "level")
+        drop_staged(counted)
+        grams.append(level)
+        rests.append(rest)
+        bits.append(bitmap(level))
+    rests.append(none)
+    backoff = lambda of, rest: of.join(rest.select("key", F.log10("rest").alias("backoff")), "key", "left").withColumn("backoff", F.coalesce("backoff", zero))
+    few = lambda of, rest: backoff(of, rest.join(F.broadcast(of.select("key")), "key", "left_semi")).toLocalIterator()
+    single = vocabulary.withColumn("key", F.xxhash64("word"))
+    frequent = {r["word"].encode(): r for r in few(single.where((n >= tokens / head) | (F.col("word") == "")), rests[0])}
+    often = {w: r["n"] for w, r in frequent.items()}
     often.setdefault(END, 0)
-    numbers = {w: k for k, w in enumerate(sorted(w for w, n in often.items() if n >= tokens / contexts or w == END))}
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    for n in range(2, order + 1):
-        counted = count_grams(training, numbers, levels[-1][0] if levels else None, n)
-        rows = counted.where((F.col("n") >= tokens / share) & (F.col("n") > 1)).orderBy("gram").toArrow()
-        levels.append((rows.column("gram").to_numpy(), rows.column("n").to_numpy()))
+    numbers = {w: k for k, w in enumerate(sorted(w for w, m in often.items() if m >= tokens / contexts or w == END))}
+    lost = lambda m: math.log10(max(m - less[min(m, 3) - 1], 0.0) / max(tokens, 1) or 1e-300)
+    part, chance, weight = {frequent[w]["key"]: (k,) for w, k in numbers.items() if w in frequent}, {(k,): lost(often[w]) for w, k in numbers.items()}, {}
+    weight |= {(k,): frequent[w]["backoff"] for w, k in numbers.items() if w in frequent and frequent[w]["backoff"]}
+    taken = set()
+    for g, rest in zip(grams, rests[1:], strict=True):
+        for r in few(g.where(n >= tokens / share).select("key", "a", "b", "p"), rest):
+            if r["a"] in part and r["b"] in part:
+                whole = part[r["a"]] + part[r["b"]][-1:]
+                part[r["key"]], chance[whole] = whole, math.log10(r["p"])
+                taken.add(r["key"])
+                if r["backoff"]:
+                    weight[whole] = r["backoff"]
     given = less[0] * totals[2] + less[1] * totals[3] + less[2] * (kinds - totals[2] - totals[3])
     unknown = given / tokens if tokens else 1.0
-    automaton = compiled(numbers, often, levels, tokens, less, discount)
-    arc = {w: (n > 0, math.log10(n + 1), 0.0 if w in numbers else math.log10((n - less[min(n, 3) - 1]) / tokens)) for w, n in often.items()}
-    model, floor = spark.sparkContext.broadcast((automaton, arc)), math.log10(tokens + kinds + 1)
+    automaton = assembled(numbers, chance, weight)
+    arc = {w: (m > 0, math.log10(m + 1), 0.0 if w in numbers else lost(m) + frequent[w]["backoff"]) for w, m in often.items()}
+    known_bits, sent = bits[1:], np.sort(np.array(list(taken), np.int64).view(np.uint64))
+    model, floor = spark.sparkContext.broadcast((automaton, arc, known_bits, sent)), math.log10(tokens + kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, arc = model.value
-        at, failed = TaskContext.get().partitionId() << 40, math.log10(unknown)
+        automaton, arc, known_bits, sent = model.value
+        at, failed, keys = TaskContext.get().partitionId() << 40, math.log10(unknown), Keys()
         for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                found = lowered(text)
+            rows, texts = [], [lowered(text) for text in batch.column(1).to_pylist()]
+            for found in texts:
                 tally = Counter(found)
                 tally[END] += 1
-                here = [(n, *arc[w]) for w, n in tally.items() if w in arc]
-                rest = [{"word": w.decode("utf-8", "replace"), "times": n} for w, n in tally.items() if w not in arc]
-                total = automaton.traverse(found) + sum(n * x for n, _, _, x in here) + failed * sum(r["times"] for r in rest)
-                rows.append((at, len(found) + 1, sum(n for n, known, _, _ in here if known), sum(n * x for n, _, x, _ in here), total, rest))
+                here = [(m, *arc[w]) for w, m in tally.items() if w in arc]
+                rest = [{"word": w.decode("utf-8", "replace"), "times": m} for w, m in tally.items() if w not in arc]
+                total = automaton.traverse(found) + sum(m * x for m, _, _, x in here) + failed * sum(r["times"] for r in rest)
+                rows.append((at, len(found) + 1, sum(m for m, known, _, _ in here if known), sum(m * x for m, _, x, _ in here), total, rest))
                 at += 1
+            of, met = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for bits, (place, _, _, key) in zip(known_bits, runs(texts, keys, order), strict=True):
+                fits = there(bits, key)
+                if len(sent):
+                    fits &= sent[np.minimum(np.searchsorted(sent, key), len(sent) - 1)] != key
+                of.append(place[fits])
+                met.append(key[fits])
+            of, met = np.concatenate(of), np.concatenate(met)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))])
+            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(met[np.argsort(of, kind="stable")].view(np.int64)))
             row, n_tokens, known, base, score, rest = zip(*rows, strict=True)
-            columns = [pa.array(row), batch.column(0), pa.array(n_tokens), pa.array(known), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, _REST)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "head_known", "head_base", "head_score", "rest"])
+            columns = [pa.array(row), batch.column(0), pa.array(n_tokens), pa.array(known), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, _REST), grams]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "head_known", "head_base", "head_score", "rest", "grams"])
 
     scored = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED), "scored")
     tail = scored.select("row", F.explode("rest").alias("x")).select("row", "x.*")
-    n, gained = F.col("n"), F.log10((F.col("n") - F.when(F.col("n") == 1, less[0]).when(F.col("n") == 2, less[1]).otherwise(less[2])) / max(tokens, 1)) - math.log10(unknown)
-    met = tail.join(vocabulary.where(n < tokens / head), "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(n + 1)).alias("base"), F.sum(F.col("times") * gained).alias("gained"))
-    zero = F.lit(0.0)
-    return scored.drop("rest").join(met, "row", "left").select(
+    gained = F.log10(one) + F.col("backoff") - math.log10(unknown)
+    rare = single.where(n < tokens / head)
+    rare = backoff(rare.where("n > 1"), rests[0]).unionByName(rare.where("n = 1").withColumn("backoff", zero)).drop("key")
+    met = tail.join(rare, "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(n + 1)).alias("base"), F.sum(F.col("times") * gained).alias("gained"))
+    more = reduce(DataFrame.unionByName, [*(g.select("key", "more") for g in grams), *(r.select("key", F.log10("rest").alias("more")) for r in rests[1:])])
+    arcs = scored.select("row", F.explode("grams").alias("key")).join(more, "key").groupBy("row").agg(F.sum("more").alias("more"))
+    return scored.drop("rest", "grams").join(met, "row", "left").join(arcs, "row", "left").select(
         "doc_id", out.alias("held_out"), "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("base", zero) - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("head_score") + F.coalesce("gained", zero)).alias("score"),
+        (F.col("head_base") + F.coalesce("base", zero) - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("head_score") + F.coalesce("gained", zero) + F.coalesce("more", zero)).alias("score"),
     )

@@ -255,6 +255,33 @@ def test_language_model(spark, awkward, empty):
     assert wide == {(r.doc_id, round(r.score, 6)) for r in rows}  # where words meet their counts makes no difference
 
 
+def test_language_model_of_rare_runs(spark):
+    """Runs found twice count whatever the size of the corpus, as in a model of plain dictionaries, also where no run goes to every task."""
+    r = random.Random(5)
+    texts = [f"seldom heard phrase{k} stays known here" for k in (1, 1, 2, 2, 3)] + [" ".join(r.choice("abcdefgh") for _ in range(40)) + f" x{k}" for k in range(300)]
+    docs = frame(spark, texts + texts[:5] + ["phrase1 stays seldom", "heard phrase1 stays known unheard a b"], 1000)
+    out = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    said = {row.doc_id: lowered(row.text) + [""] for row in docs.select("doc_id", "text").collect()}
+    count = collections.Counter(tuple(w[i : i + n]) for d, w in said.items() if not out(d) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    count = {g: c for g, c in count.items() if len(g) == 1 or c > 1}
+    single = [c for g, c in count.items() if len(g) == 1]
+    less, total, used = backoff_lm.discounts(*(single.count(k) for k in (1, 2, 3, 4))), sum(single), collections.Counter()
+    for g, c in count.items():
+        used[g[:-1]] += c - 0.75 if len(g) > 1 else 0
+    rest = lambda g: max(1 - used[g] / count[g], 1e-12) if used[g] else 1.0
+
+    def chance(g):
+        if len(g) == 1:
+            return (count[g] - less[min(count[g], 3) - 1]) / total if g in count else sum(less[min(c, 3) - 1] for c in single) / total
+        return (count[g] - 0.75) / count[g[:-1]] * (g in count) + rest(g[:-1]) * chance(g[1:]) if g in count else rest(g[:-1]) * chance(g[1:]) if g[:-1] in count else chance(g[1:])
+
+    for settings in ({}, {"head": 20, "contexts": 10, "share": 60}, {"head": 1, "contexts": 1, "share": 1}):
+        for row in backoff_lm.score(docs, **settings).collect():
+            w = said[row.doc_id]
+            assert math.isclose(row.score, sum(math.log10(chance(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w))), rel_tol=1e-9), settings
+    assert sum(len(g) > 1 for g in count) > 60
+
+
 def test_automaton_sums_to_one():
     numbers = {b"": 0, b"a": 1, b"b": 2}
     single = {b"": 5, b"a": 30, b"b": 20}
