@@ -1,8 +1,8 @@
 """URL filters: rules on hosts and paths, and trust and distrust over the links between hosts, all in DataFrame operations.
 
 Trust is a personalised PageRank from hosts that rules allow, along links; distrust one from hosts that rules block,
-against them, so that it reaches hosts that link to blocked ones. A host without a rule of its own is blocked if its
-distrust is above a threshold and above its trust.
+against them, so that it reaches hosts that link to blocked ones. Both are counted in wholly allowed or blocked hosts. A
+page without a rule is blocked if its host's distrust is above a threshold and above its trust.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, close: float = 1e-6) -> DataFrame:
-    """kind, host and rank. seeds: kind (trust or distrust), host, weight; the weights of a kind sum to one.
+    """kind, host, rank and gain (what of the rank came by links). seeds: kind (trust or distrust), host, weight; the weights of a kind sum to one.
 
     What reaches a host without links of the kind's direction goes back to the seeds. Rounds end when ranks have moved by less than close in all; each is
     written to the shared folder, and the driver sees a sum.
@@ -68,13 +68,13 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     arcs = staged(both.join(whole, ["kind", "from"]).select("kind", "from", "to", (F.col("n") / F.col("all")).alias("share")), "arcs")
     rank = staged(seeds.select("kind", "host", F.col("weight").alias("rank"), "weight"), "ranks")
     if arcs.isEmpty():
-        return rank.select("kind", "host", "rank")
+        return rank.select("kind", "host", "rank", F.lit(0.0).alias("gain"))
     for _ in range(rounds):
         moved = arcs.join(rank.withColumnRenamed("host", "from"), ["kind", "from"]).groupBy("kind", F.col("to").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("gain"))
         kept = moved.groupBy("kind").agg(F.sum("gain").alias("kept"))
         new = moved.select("kind", "host", "gain", F.lit(0.0).alias("weight"), F.lit(0.0).alias("old")).unionByName(rank.select("kind", "host", F.lit(0.0).alias("gain"), "weight", F.col("rank").alias("old")))
         new = new.groupBy("kind", "host").agg(F.sum("gain").alias("gain"), F.sum("weight").alias("weight"), F.sum("old").alias("old")).join(F.broadcast(kept), "kind", "left")
-        new = staged(new.select("kind", "host", (F.col("gain") + (1 - F.coalesce("kept", F.lit(0.0))) * F.col("weight")).alias("rank"), "weight", "old"), "ranks")
+        new = staged(new.select("kind", "host", (F.col("gain") + (1 - F.coalesce("kept", F.lit(0.0))) * F.col("weight")).alias("rank"), "gain", "weight", "old"), "ranks")
         change = new.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))).first()[0]
         drop_staged(rank)
         at = new.staged_at
@@ -82,20 +82,23 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         rank.staged_at = at
         if change < close:
             break
-    return rank.select("kind", "host", "rank")
+    return rank.select("kind", "host", "rank", "gain")
 
 
 def blocked_hosts(pages: DataFrame, rules: tuple[Rule, ...], seed_share: float = 0.5, threshold: float = 1e-4) -> DataFrame:
     """host, of hosts whose distrust is over threshold and over their trust. pages: host, path, html.
 
-    A host is a seed if rules that allow, or rules that block, decide more than seed_share of its pages; all seeds of a kind weigh the same.
+    A host is a seed if rules that allow, or rules that block, decide any of its pages, and weighs as much as their share of
+    them. Ranks times the sum of these shares don't shrink as seeds become more. What comes by links counts; what
+    a host has from its own pages does only if they are more than seed_share of them, as the rest of its pages may differ.
     """
     verdict = rule_of(F.col("host"), F.col("path"), rules, "verdict")
     shares = pages.where("host <> ''").groupBy("host").agg(F.avg((F.coalesce(verdict, F.lit("")) == "allow").cast("int")).alias("trust"), F.avg((F.coalesce(verdict, F.lit("")) == "block").cast("int")).alias("distrust"))
-    seeds = shares.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "share")).where(F.col("share") > seed_share)
-    seeds = staged(seeds.select("kind", "host"), "seeds")
-    many = seeds.groupBy("kind").agg((1 / F.count("*")).alias("weight"))
-    ranks = propagate(host_links(pages), seeds.join(F.broadcast(many), "kind"))
+    seeds = shares.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "share")).where(F.col("share") > 0)
+    seeds = staged(seeds.select("kind", "host", "share"), "seeds")
+    mass = seeds.groupBy("kind").agg(F.sum("share").alias("mass"))
+    ranks = propagate(host_links(pages), seeds.join(F.broadcast(mass), "kind").select("kind", "host", (F.col("share") / F.col("mass")).alias("weight")))
+    ranks = ranks.join(seeds, ["kind", "host"], "left").join(F.broadcast(mass), "kind").withColumn("rank", F.col("mass") * F.when(F.col("share") > seed_share, F.col("rank")).otherwise(F.col("gain")))
     rank = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return ranks.groupBy("host").agg(rank("trust"), rank("distrust")).where((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))).select("host")
 

@@ -164,6 +164,13 @@ def test_link_graph(spark):
     assert link_graph.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_link_graph_of_mixed_hosts_and_many_seeds(spark):
+    rows = [(f"http://mixed.com/{x}", "") for x in ("de/1", "x", "y")] + [("http://linker.net/", '<a href="http://mixed.com/x">y</a>'), ("http://lone.net/", '<a href="http://s7.com/">y</a>'), ("http://far.net/", "")]
+    rows += [(f"http://s{k}.com/de/", "") for k in range(10_000)]  # a ten-thousandth each: less than the threshold reaches lone.net if ranks aren't set off against it
+    found = {r.host + r.path: r.verdict for r in link_graph.judge(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")).where("page_id < 6").collect()}
+    assert found == {"mixed.com/de/1": "block", "mixed.com/x": "allow", "mixed.com/y": "allow", "linker.net/": "block", "lone.net/": "block", "far.net/": "allow"}
+
+
 def test_propagation_against_brute_force(spark):
     arcs = [("a", "b", 1), ("a", "c", 3), ("b", "c", 2), ("c", "a", 1), ("d", "a", 1), ("c", "e", 1)]
     links = spark.createDataFrame(arcs, "source string, target string, n long")
