@@ -24,8 +24,11 @@ _TOKEN = rf"[{NUMBER}{UNIT}{NAME}]|[\p{{L}}\p{{M}}\p{{N}}]+"
 BROADCAST_WINDOWS = 1_000_000
 
 
-def templates(table: DataFrame, key: str) -> DataFrame:
-    """key, tokens (the template), and the values of the numbers, units and names in order. Private-use characters of the text itself are blanks."""
+def templates(table: DataFrame, key: str, named: bool = True) -> DataFrame:
+    """key, tokens (the template), and the values of the numbers, units and names in order. Private-use characters of the text itself are blanks.
+
+    Whether a capitalised word is a name hangs on what stands before it; unless named, names stay words, whatever their case and place.
+    """
     text = F.regexp_replace(F.coalesce("text", F.lit("")), f"[{NUMBER}-{NAME}]", " ")
     digits = F.col("t0").rlike(r"\p{N}")
     steps = table.select(F.col(key), text.alias("t0"))
@@ -33,8 +36,8 @@ def templates(table: DataFrame, key: str) -> DataFrame:
     steps = steps.withColumn("t1", F.when(digits, F.regexp_replace("t0", _NUMBER, NUMBER)).otherwise(F.col("t0")))
     steps = steps.withColumn("units", F.when(digits, F.regexp_extract_all("t1", F.lit(_UNIT), F.lit(1))).otherwise(F.array().cast("array<string>")))
     steps = steps.withColumn("t2", F.when(digits, F.regexp_replace("t1", _UNIT, f" {UNIT}")).otherwise(F.col("t1")))
-    steps = steps.withColumn("names", F.regexp_extract_all("t2", F.lit(_NAME), F.lit(1)))
-    return steps.select(key, F.regexp_extract_all(F.lower(F.regexp_replace("t2", _NAME, NAME)), F.lit(_TOKEN), F.lit(0)).alias("tokens"), "numbers", "units", "names")
+    steps = steps.withColumn("names", F.regexp_extract_all("t2", F.lit(_NAME), F.lit(1)) if named else F.array().cast("array<string>"))
+    return steps.select(key, F.regexp_extract_all(F.lower(F.regexp_replace("t2", _NAME, NAME) if named else F.col("t2")), F.lit(_TOKEN), F.lit(0)).alias("tokens"), "numbers", "units", "names")
 
 
 def windows(size: int) -> Column:
@@ -57,9 +60,17 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float
     the item's windows of size template words, or run of them (as 13 words in a row have), are found whose values correspond one to one. An item of fewer words is one window; an item without
     words is none. reparameterised: some value differs. Null texts count as empty, rows without an id are
     left out, and rows that share an id are told once if any of them holds the item. Empty tables give no rows.
+    Windows are met with names as placeholders and once more with names as words, so that copies in another case or context are found.
     """
     docs, items = docs.where("doc_id is not null").select("doc_id", "text"), items.where("item_id is not null").select("item_id", "text")
-    known = staged(templates(items, "item_id").where(F.size("tokens") > 0).withColumn("size", F.least(F.lit(size), F.size("tokens"))), "item_templates")
+    told = _told(docs, items, size, share, run, True).unionByName(_told(docs, items, size, share, run, False))
+    best = F.max_by(F.struct("n_windows", "n_item_windows"), F.col("n_windows")).alias("best")
+    return told.groupBy("doc_id", "item_id").agg(best, F.min("reparameterised").alias("reparameterised")).select("doc_id", "item_id", "best.*", "reparameterised")
+
+
+def _told(docs: DataFrame, items: DataFrame, size: int, share: float, run: int, named: bool) -> DataFrame:
+    """The rows of contaminated by templates with names as placeholders, or as words."""
+    known = staged(templates(items, "item_id", named).where(F.size("tokens") > 0).withColumn("size", F.least(F.lit(size), F.size("tokens"))), "item_templates")
     sizes = sorted(r[0] for r in known.select("size").distinct().collect())
     if not sizes:
         sizes = [size]
@@ -70,7 +81,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float
     of_items = staged(of_items, "item_windows")
     totals, many = of_items.groupBy("item_id").agg(F.count("*").alias("n_item_windows")), of_items.count()
     side = F.broadcast(of_items) if many <= BROADCAST_WINDOWS else of_items
-    made = templates(docs, "doc_id")
+    made = templates(docs, "doc_id", named)
     each = made.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("size"), windows(k).alias("hashes")) for k in sizes))).alias("x"))
     each = each.select("doc_id", "x.size", F.posexplode("x.hashes").alias("place", "hash"))
     met = staged(each.join(side, ["size", "hash"]).select("doc_id", "item_id", "size", "place", "item_place", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "met_windows")
@@ -80,7 +91,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float
     pair = ["doc_id", "item_id", "shift"]
     in_items = slots(known, "item_id").withColumnRenamed("place", "item_place").withColumnRenamed("value", "item_value")
     wanted = likely.select("doc_id").distinct()
-    in_docs = slots(templates(docs.join(wanted, "doc_id", "left_semi"), "doc_id"), "doc_id")
+    in_docs = slots(templates(docs.join(wanted, "doc_id", "left_semi"), "doc_id", named), "doc_id")
     values = likely.join(in_items, "item_id").withColumn("place", F.col("item_place") + F.col("shift")).join(in_docs, ["doc_id", "place"])
     one_way = values.groupBy(*pair, "item_value").agg(F.count_distinct("value").alias("k"))
     back = values.groupBy(*pair, "value").agg(F.count_distinct("item_value").alias("k"))

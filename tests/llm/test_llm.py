@@ -228,6 +228,12 @@ def test_decontamination(spark, awkward, empty):
     assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.contaminated(docs, items.where("item_id = 9")).count() == 0
 
 
+def test_decontamination_in_any_context(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France?")], "item_id long, text string")
+    docs = frame(spark, ["It said: Question: What is the capital of France? Paris.", "They asked What is the capital of France", "so what is the capital of france then", "What is the capital of Spain?", "What is the river of France?"])
+    assert {r.doc_id: r.reparameterised for r in decontaminate.contaminated(docs, items).collect()} == {0: False, 1: False, 2: False, 3: True}
+
+
 def test_quality_classifier(spark, awkward, empty):
     good, bad = prose(120, 5), [" | ".join(x.split()) + " ### $$$" for x in prose(120, 6)]
     docs = frame(spark, [t for pair in zip(good, bad, strict=True) for t in pair], 1000)
