@@ -27,6 +27,14 @@ def test_query(spark, name):
     assert plain(found) == plain(expected)
 
 
+def test_sentence_problems_of_whole_texts(spark, tmp_path):
+    filler = "wort " * 40
+    said = {1: filler + "im Jahr 1999", 2: filler + "an a@b.ch", 3: filler + "sehr innovativ", 4: "kurz", 5: "x" * 160, 6: filler}
+    spark.createDataFrame(list(said.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: set(r.problems.split(",")) - {""} for r in QUERIES["q_sentence_problems"](spark, str(tmp_path)).collect()}
+    assert found == {1: {"too_long", "year"}, 2: {"too_long", "email"}, 3: {"too_long", "banned_word"}, 4: set(), 5: {"too_long"}, 6: {"too_long"}}
+
+
 def plain(df: pd.DataFrame) -> list[str]:
     """The rows, in an order of their own, with numbers and absent values written alike whatever their types."""
 
