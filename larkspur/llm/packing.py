@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -24,32 +25,33 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 SLOTS = "length long, from_rank long, to_rank long, uses long, first_sequence long, first_offset long"
 
 
-def cut(n: int, limit: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens: whole if it fits, else the first piece takes what is left over."""
-    if n <= limit:
-        return [(0, n)]
-    first = n % limit or limit
-    return [(0, first), *((s, limit) for s in range(first, n, limit))]
+def cut(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each piece of documents of sizes tokens: the document's place, the piece's number, start and length. What fits is whole; else the first piece takes what is left over."""
+    many = np.maximum(-(-sizes // limit), 1)
+    owner = np.repeat(np.arange(len(sizes)), many)
+    piece = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    first = (sizes - (many - 1) * limit)[owner]
+    return owner, piece, np.where(piece > 0, first + (piece - 1) * limit, 0), np.where(piece > 0, limit, first)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFrame:
     """A row for each piece, with its rank among the pieces of its task that are as long."""
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), {}
+        task, seen = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                for k, (start, length) in enumerate(cut(len(ids) // 4, limit)):
-                    rank = seen.get(length, 0)
-                    seen[length] = rank + 1
-                    row = (doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, rank)
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+            ids, ends = encoder(tokenizer).ended(batch.column(1), end_id)
+            owner, piece, start, length = cut(np.diff(ends, prepend=0), limit)
+            order = np.argsort(length, kind="stable")
+            many = np.bincount(length, minlength=limit + 1)
+            rank = np.empty(len(length), np.int64)
+            rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(many) - many, many)
+            rank += seen[length]
+            seen += many
+            raw, begin = memoryview(ids.astype("<u4").tobytes()), 4 * (np.concatenate([[0], ends])[owner] + start)
+            sums = [zlib.crc32(raw[b:e]) for b, e in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.full(len(owner), task), pa.int32()), pa.array(rank)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES)
 

@@ -28,60 +28,74 @@ RANGES = "part int, before long, doc_id long, n_tokens long, ids_crc32 long"
 _SHARD_FIELDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("symbols", "rules", "rule_tokens", "jumps"))])
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, least: int, most: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of pairs found least times or more, the most frequent first, and of each place the pair's rank there (most: none).
+def _frequent(left: np.ndarray, right: np.ndarray, least: int, most: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of pairs found least times or more, the most frequent first, of each place the pair's rank there (most: none), and whether the pair may be found so often.
 
     Pairs are counted by hash, each bucket for one pair that falls into it, so nothing is sorted; a pair that shares its
-    bucket waits for a turn with other hashes.
+    bucket waits for a turn with other hashes. Where no bucket's own pair is found often enough, the rest are counted by sorting.
     """
     many = 1 << 21
     bucket = ((left * np.uint32(0x9E3779B1 + 2 * turn)) ^ (right * np.uint32(0x85EBCA6B + 6 * turn))) >> np.uint32(11)
     bucket = bucket.astype(np.intp)  # the type that counting and indexing work in
-    maybe = np.flatnonzero(np.bincount(bucket, minlength=many)[bucket] >= least)
+    possible = np.bincount(bucket, minlength=many)[bucket] >= least
+    maybe = np.flatnonzero(possible)
+    ranks = np.full(len(left), most, np.int32)
     bucket, keys = bucket[maybe], left[maybe].astype(np.uint64) << np.uint64(32) | right[maybe]
     owner = np.zeros(many, np.uint64)
     owner[bucket] = keys
     own = np.flatnonzero(owner[bucket] == keys)
-    bucket = bucket[own]
-    n = np.bincount(bucket, minlength=many)
+    n = np.bincount(bucket[own], minlength=many)
+    chosen = np.flatnonzero(n >= least)
+    if len(chosen):
+        chosen = chosen[np.argsort(-n[chosen], kind="stable")][:most]
+        rank_of = np.full(many, most, np.int32)
+        rank_of[chosen] = np.arange(len(chosen))
+        ranks[maybe[own]] = rank_of[bucket[own]]
+        return owner[chosen], ranks, possible
+    kinds, which, n = np.unique(keys, return_inverse=True, return_counts=True)
     chosen = np.flatnonzero(n >= least)
     chosen = chosen[np.argsort(-n[chosen], kind="stable")][:most]
-    rank_of = np.full(many, most, np.int32)
+    rank_of = np.full(len(kinds), most, np.int32)
     rank_of[chosen] = np.arange(len(chosen))
-    ranks = np.full(len(left), most, np.int32)
-    ranks[maybe[own]] = rank_of[bucket]
-    return owner[chosen], ranks
+    ranks[maybe] = rank_of[which]
+    return kinds[chosen], ranks, possible
 
 
-def compress(ids: np.ndarray, base: int, least: int = 32, most: int = 4096, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, least: int = 32, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (n x 2) for ids (uint32, all below base).
 
-    A round takes the most frequent pairs, up to most of them, and replaces each by a new symbol wherever no
-    more frequent pair overlaps it; rounds go on until no pair is found least times, or rounds are used up.
+    A round takes the most frequent pairs, up to most of them, and replaces each by a new symbol wherever no more frequent pair
+    overlaps it; rounds go on until no pair is found least times. A place whose pair isn't found so often is looked at again only
+    once a symbol beside it is replaced, as other pairs can but become fewer.
     """
-    symbols, rules = ids.astype(np.uint32), np.empty((0, 2), np.uint32)
-    for turn in range(rounds):
-        if len(symbols) < 2:
-            break
-        keys, rank = _frequent(symbols[:-1], symbols[1:], least, most, turn)
+    symbols, rules, turn = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], 0
+    places, n_rules = np.arange(max(len(symbols) - 1, 0)), 0
+    while len(places) >= least:
+        keys, found, possible = _frequent(symbols[places], symbols[places + 1], least, most, turn)
         if not len(keys):
             break
-        over = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] < most))  # a pair over itself (aaaa): every other place counts
+        rank = np.full(len(symbols) + 1, most, np.int32)  # of the pair at place k, at k + 1
+        at = places[found < most]
+        rank[at + 1] = found[found < most]
+        over = at[rank[at + 1] == rank[at + 2]]  # a pair over itself (aaaa): every other place counts
         if len(over):
             first = np.flatnonzero(np.r_[True, np.diff(over) > 1])
             in_run = np.arange(len(over)) - np.repeat(first, np.diff(np.r_[first, len(over)]))
-            rank[over[in_run % 2 == 0] + 1] = most
-        around = np.r_[most, rank, most]
-        at = np.flatnonzero((rank < around[:-2]) & (rank < around[2:]))
+            rank[over[in_run % 2 == 0] + 2] = most
+        mine = rank[at + 1]
+        at = at[(mine < rank[at]) & (mine < rank[at + 2])]
         there = np.zeros(most, bool)
-        there[rank[at]] = True
+        there[rank[at + 1]] = True
         used = np.flatnonzero(there)
-        symbols[at] = (base + len(rules) - 1 + np.cumsum(there))[rank[at]].astype(np.uint32)
-        rules = np.r_[rules, np.c_[keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)].astype(np.uint32)]
-        keep = np.ones(len(symbols), bool)
+        symbols[at] = (base + n_rules - 1 + np.cumsum(there))[rank[at + 1]].astype(np.uint32)
+        rules.append(np.c_[keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)].astype(np.uint32))
+        n_rules += len(used)
+        again, keep = np.zeros(len(symbols), bool), np.ones(len(symbols), bool)
+        again[places[possible]] = again[at] = again[np.maximum(at - 1, 0)] = True
         keep[at + 1] = False
-        symbols = symbols[keep]
-    return symbols, rules
+        symbols, again = symbols[keep], again[keep]
+        places, turn = np.flatnonzero(again[:-1]), turn + 1
+    return symbols, np.concatenate(rules)
 
 
 def rule_tokens(rules: np.ndarray, base: int) -> np.ndarray:
@@ -132,34 +146,41 @@ def ids_between(shard: dict, start: int, stop: int) -> np.ndarray:
 
 def shards(docs: DataFrame, tokenizer: str, end_id: int, base: int, shard_tokens: int) -> DataFrame:
     """Rows of the file format for documents that are sorted within ranges of doc_id."""
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, shard, before = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[int, bytes]] = []
+        part, shard, before = TaskContext.get().partitionId(), 0, 0
+        docs_held, sizes_held, ids_held = [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, before
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.concatenate(ids_held)
             symbols, rules = compress(ids, base)
             sizes = rule_tokens(rules, base)
             width = np.ones(len(symbols), np.int64)
             width[symbols >= base] = sizes[symbols[symbols >= base].astype(np.int64) - base]
-            row = {"part": part, "shard": shard, "before": before, "n_tokens": len(ids), "base": base, "doc_ids": [d for d, _ in held], "doc_tokens": [len(x) // 4 for _, x in held]}
+            row = {"part": part, "shard": shard, "before": before, "n_tokens": len(ids), "base": base, "doc_ids": [d for x in docs_held for d in x], "doc_tokens": [n for x in sizes_held for n in x]}
             row |= {k: x.astype("<u4").tobytes() for k, x in (("symbols", symbols), ("rules", rules), ("rule_tokens", sizes), ("jumps", (np.cumsum(width) - width)[::JUMP]))}
             shard, before = shard + 1, before + len(ids)
-            held.clear()
+            for held in (docs_held, sizes_held, ids_held):
+                held.clear()
             return pa.RecordBatch.from_pylist([row], _SHARD_FIELDS)
 
         size = 0
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                held.append((doc, ids + end))
-                size += len(ids) // 4 + 1
+            docs, (ids, ends) = batch.column(0).to_pylist(), encoder(tokenizer).ended(batch.column(1), end_id)
+            sizes, at = np.diff(ends, prepend=0), 0
+            while at < len(docs):  # up to where the shard is full
+                first = int(ends[at - 1]) if at else 0
+                stop = min(int(np.searchsorted(ends, first + shard_tokens - size)) + 1, len(docs))
+                docs_held.append(docs[at:stop])
+                sizes_held.append(sizes[at:stop].tolist())
+                ids_held.append(ids[first : int(ends[stop - 1])])
+                size += len(ids_held[-1])
+                at = stop
                 if size >= shard_tokens:
                     yield flush()
                     size = 0
-        if held:
+        if docs_held:
             yield flush()
 
     return docs.mapInArrow(run, SHARDS)
