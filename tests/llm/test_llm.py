@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -253,6 +254,71 @@ def test_decontamination_in_any_context(spark):
     assert {r.doc_id: r.reparameterised for r in decontaminate.contaminated(docs, items).collect()} == {0: False, 1: False, 2: False, 3: True}
 
 
+    items = spark.createDataFrame([(1, "Anna has 5 red apples today"), (2, "3 5 7 9 11 13 15 17 19 21")], "item_id long, text string")
+    docs = frame(spark, ["Bob has 7 red apples today", "so: Bob has 7 red apples today, he says", "4 6 8 10 12 14 16 18 20 22", "of 3 5 7 9 11 13 15 17 19 21 and", "1 2 3 4 5 6 7 8 9 " * 500])
+    assert {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(docs, items).collect()} == {(0, 1): True, (1, 1): True, (3, 2): False}
+
+
+def brute_tokens(text):
+    number = regex.compile(r"(?<![\p{L}\p{N}])([+-]?\p{N}+(?:[.,:/]\p{N}+)*)(?:\s?((?i:" + decontaminate.UNITS + r"))(?![\p{L}\p{N}]))?")
+    marked = number.sub(lambda m: f"\ue000{m[1]}\ue003" + (f"\ue001{m[2]}\ue003" if m[2] else ""), text or "")
+    return regex.findall(r"[\ue000\ue001][^\ue003]+|[\p{L}\p{M}\p{N}]+", marked)
+
+
+def brute_told(doc, item, size=8, share=0.5, run=6):
+    """Windows that fit in the best alignment, or None, and whether values differ in every told one."""
+    a, b = brute_tokens(item), brute_tokens(doc)
+    k = min(size, len(a))
+    if not k:
+        return None
+    value = lambda t: t[0] in "\ue000\ue001"
+    slot = lambda t: t[0] if value(t) else "n" if t != t.lower() else None
+    plain = lambda t: t[0] if value(t) else t.lower()
+    named = lambda t: slot(t) or t
+    n, least = len(a) - k + 1, min(k, max(3, -(-k // 2)))
+    enough, told = min(share * n, run), []
+    for shift in range(1 - len(a), len(b)):
+        beside = [(x, b[i + shift] if 0 <= i + shift < len(b) else None) for i, x in enumerate(a)]
+        met = 0
+        for i in range(n):
+            part = beside[i : i + k]
+            if any(y is None for _, y in part):
+                continue
+            words = [sum(not f(x) for x, _ in part) >= least for f in (slot, value)]
+            met += words[0] and all(named(x) == named(y) for x, y in part) or (all(plain(x) == plain(y) for x, y in part) if words[1] else all(x.lower() == y.lower() for x, y in part))
+        if met < enough or not met:
+            continue
+        same = [y is not None and x.lower() == y.lower() for x, y in beside]
+        alike = [y is not None and slot(x) is not None and slot(x) == slot(y) for x, y in beside]
+        pairs = {(x.lower(), y.lower()) for (x, y), s, m in zip(beside, same, alike, strict=True) if slot(x) and (s or m)}
+        left, right = (collections.Counter(p[j] for p in pairs) for j in (0, 1))
+        fits = [(s or m) and not (slot(x) and (left[x.lower()] > 1 or right[y.lower()] > 1)) for (x, y), s, m in zip(beside, same, alike, strict=True)]
+        word = [s and not value(x) for (x, _), s in zip(beside, same, strict=True)]
+        sound = sum(all(fits[i : i + k]) and (all(same[i : i + k]) or sum(word[i : i + k]) >= least) for i in range(n))
+        if sound >= enough:
+            told.append((sound, any(m and not s for m, s in zip(alike, same, strict=True))))
+    return (max(x for x, _ in told), n, all(c for _, c in told)) if told else None
+
+
+def test_decontamination_against_brute_force(spark):
+    """Texts with repeated rows, items with repeated rows, and ids that several texts share."""
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice(["Anna", "Bob", "has", "the", "red", "7", "12 km", "5", "apples", "and", "Two", "then"]) for _ in range(n))
+    items = [(k % 9, say(r.choice([2, 3, 5, 8, 9, 12, 20]))) for k in range(14)]
+    vary = lambda t: " ".join(r.choice([w, w, w, w.lower(), "Carl" if w.istitle() else "9" if w.isdigit() else w]) for w in t.split())
+    docs = [(k % 150, say(r.randint(0, 20)) + " " + r.choice([vary, str, lambda t: t.replace("7", "8")])(r.choice(items)[1]) + " " + say(r.randint(0, 9))) for k in range(300)]
+    docs += docs[:40] + [(7, None), (8, "")]
+    expected = {}
+    for d, t in docs:
+        for i, x in items:
+            if found := brute_told(t, x):
+                old = expected.get((d, i))
+                expected[d, i] = (max(found[:2], old[:2]) if old else found[:2]) + (found[2] and (old is None or old[2]),)
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, *items[:5]], "item_id long, text string")).collect()
+    assert len(expected) > 100 and len(rows) == len(expected)
+    assert {(x.doc_id, x.item_id): (x.n_windows, x.reparameterised) for x in rows} == {k: (v[0], v[2]) for k, v in expected.items()}
+
+
 def test_quality_classifier(spark, awkward, empty):
     good, bad = prose(120, 5), [" | ".join(x.split()) + " ### $$$" for x in prose(120, 6)]
     docs = frame(spark, [t for pair in zip(good, bad, strict=True) for t in pair], 1000)
