@@ -6,19 +6,18 @@ by anchor, with the bytes around it. There the suffixes that begin at the anchor
 them, are sorted by mergesort; two suffixes are compared by binary search for their common extension over prefix
 hashes, and neighbours in the sorted order are compared byte by byte, so a collision of hashes can't
 stay unnoticed. Runs of neighbours with extensions of b bytes backwards and length - b forwards hold equal strings; all but the
-earliest are removed. Anchors that more texts share than a task should hold are met string by string,
-each by a 128-bit hash, with the earliest place of each found before shuffling.
+earliest are removed. Anchors that more runs share than a task should hold are met string by string,
+each by its bytes, with the earliest place of each found before shuffling.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +29,10 @@ BASE, MASK = np.uint64(0x9E3779B97F4A7C15 | 1), (1 << 64) - 1
 CHUNK = 4 << 20
 #: An anchor found more often than this is met string by string.
 HOT = 20_000
-ANCHORS = "doc_id long, anchor long, n int"
-#: kind 0: a run of strings, with its bytes; 1: a run that an earlier one in the same batch equals; 2: a string of a hot anchor, with its hash.
-MEMBERS = "kind int, anchor long, doc_id long, begin int, size int, offset int, bytes binary, other long"
-_MEMBER_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+ANCHORS = "doc_id long, anchor long, low int, size int, offset int"
+#: kind 0: a run of strings, with its bytes; 1: a run that an earlier one in the same batch equals; 2: a string of a hot anchor, with its bytes.
+MEMBERS = "kind int, anchor long, doc_id long, begin int, size int, offset int, bytes binary"
+_MEMBER_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 SPANS = "doc_id long, begin int, end int"
 
 
@@ -178,8 +177,16 @@ def suffix_sort(data: np.ndarray, suffix: np.ndarray, room: np.ndarray, group: n
             common[live] += 1
             if not len(live):
                 break
-        if (common != extensions(suffix, room, prefix, down, a, b, cap)).any():
-            raise ArithmeticError("hashes collide")
+        wrong = np.unique(group[order[inner[common != extensions(suffix, room, prefix, down, a, b, cap)]]])
+        if len(wrong):  # hashes collide: these groups are sorted by their bytes
+            for g in wrong.tolist():
+                lo, hi = np.searchsorted(group, [g, g + 1])
+                own = {k: data[suffix[k] : suffix[k] + min(int(room[k]), cap)].tobytes() for k in range(lo, hi)}
+                order[lo:hi] = sorted(range(lo, hi), key=lambda k: (own[k], k))
+                after = order[lo:hi].tolist()
+                extends[lo + 1 : hi] = [len(commonprefix([own[x], own[y]])) for x, y in zip(after, after[1:], strict=False)]
+            keep = ~np.isin(group[order[inner]], wrong)
+            inner, common = inner[keep], common[keep]
         extends[inner] = common
     return order, extends
 
@@ -225,57 +232,42 @@ def join_spans(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tupl
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """The anchors of each document, and of how many runs each."""
+    """The runs of each document: their anchor, where the first string begins, how many bytes the strings cover, and the place of the anchor in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, held in chunks(batch.column(1).to_pylist()):
-                text, _, _, _, key = strings_by_anchor(np.frombuffer(b"".join(held), np.uint8), np.array([len(t) for t in held]), length)
-                order = np.lexsort((key, text))
-                text, key = text[order], key[order].view(np.int64)
-                new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.empty(0, np.int64)
-                n = np.diff(np.r_[new, len(key)]).astype(np.int32)
-                rows = pa.RecordBatch.from_arrays([pa.array(ids[first + text[new]]), pa.array(key[new]), pa.array(n)], names=["doc_id", "anchor", "n"])
+                text, low, high, place, key = strings_by_anchor(np.frombuffer(b"".join(held), np.uint8), np.array([len(t) for t in held]), length)
+                columns = [pa.array(ids[first + text]), pa.array(key.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (low, high - low + length, place - low))]
+                rows = pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ANCHORS.split(", ")])
                 yield from (rows.slice(i, 100_000) for i in range(0, len(rows), 100_000))
 
     return docs.select("doc_id", "text").mapInArrow(run, ANCHORS)
 
 
 def members(docs: DataFrame, length: int) -> DataFrame:
-    """MEMBERS of docs, which has for each document the anchors that are found again (found: array of anchor and whether it is hot)."""
+    """MEMBERS of docs, which has for each document the runs whose anchors are found again (found: array of low, anchor, size, offset, and whether the anchor is hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = batch.column(0).to_numpy(), batch.column(2)
-            for first, held in chunks(batch.column(1).to_pylist()):
-                data, sizes = b"".join(held), np.array([len(t) for t in held])
-                text, low, high, place, key = strings_by_anchor(np.frombuffer(data, np.uint8), sizes, length)
-                flat = found.slice(first, len(held))
-                owner = np.repeat(np.arange(len(held)), flat.value_lengths().to_numpy())
-                values = flat.flatten()
-                wanted = {(t, a): h for t, a, h in zip(owner.tolist(), values.field(0).to_pylist(), values.field(1).to_pylist(), strict=True)}
-                hot = [wanted.get(x) for x in zip(text.tolist(), key.view(np.int64).tolist(), strict=True)]
-                base, rows, seen = (np.cumsum(sizes) - sizes).tolist(), [], {}
-                order = np.lexsort((low, ids[first + text])).tolist()
-                low, high, place, key, text = low.tolist(), high.tolist(), place.tolist(), key.view(np.int64).tolist(), text.tolist()
-                for k in order:
-                    if hot[k] is None:
-                        continue
-                    at, doc = base[text[k]] + low[k], int(ids[first + text[k]])
-                    size, offset = high[k] - low[k] + length, place[k] - low[k]
-                    own = data[at : at + size]
-                    if seen.setdefault((own, offset), k) != k:
-                        rows.append((1, None, doc, low[k], size, None, None, None))
-                    elif hot[k]:
-                        for s in range(size - length + 1):
-                            h = xxhash.xxh3_128_digest(own[s : s + length])
-                            rows.append((2, int.from_bytes(h[:8], "big", signed=True), doc, low[k] + s, length, None, None, int.from_bytes(h[8:], "big", signed=True)))
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, len(b), 2000)):
+            ids, found, rows, seen = batch.column(0).to_pylist(), batch.column(2), [], {}
+            ends = np.cumsum(found.value_lengths().to_numpy()).tolist()
+            fields = found.flatten()
+            runs = list(zip(*(fields.field(k).to_pylist() for k in ("low", "anchor", "size", "offset", "hot")), strict=True))
+            texts = batch.column(1).to_pylist()
+            for k in sorted(range(len(ids)), key=ids.__getitem__):
+                data, doc = texts[k].encode("utf-8", "replace"), ids[k]
+                for low, anchor, size, offset, hot in sorted(runs[ends[k - 1] if k else 0 : ends[k]]):
+                    own = data[low : low + size]
+                    if seen.setdefault((own, offset), (k, low)) != (k, low):
+                        rows.append((1, None, doc, low, size, None, None))
+                    elif hot:
+                        rows += [(2, None, doc, low + s, length, None, own[s : s + length]) for s in range(size - length + 1)]
                     else:
-                        rows.append((0, key[k], doc, low[k], size, offset, own, None))
-                if rows:
-                    out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _MEMBER_TYPES, strict=True)], names=[c.split()[0] for c in MEMBERS.split(", ")])
-                    yield from (out.slice(i, 50_000) for i in range(0, len(out), 50_000))
+                        rows.append((0, anchor, doc, low, size, offset, own))
+            for i in range(0, len(rows), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 50_000], strict=True), _MEMBER_TYPES, strict=True)], names=[c.split()[0] for c in MEMBERS.split(", ")])
 
     return docs.select("doc_id", "text", "found").mapInArrow(run, MEMBERS)
 
@@ -309,31 +301,22 @@ def repeated_runs(runs: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(work, SPANS)
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of queries that are done with, which it does when the driver collects its garbage."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     """SPANS, which may overlap, of the bytes of docs (doc_id, each once; text) that strings of length bytes cover that are found earlier."""
     found = staged(anchors(docs, length), "anchors")
-    again = found.groupBy("anchor").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
-    per_doc = found.join(again, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", (F.col("all") > hot).alias("hot"))).alias("found"))
+    again = found.groupBy("anchor").agg(F.count("*").alias("all")).where(F.col("all") > 1)
+    per_doc = found.join(again, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("low", "anchor", "size", "offset", (F.col("all") > hot).alias("hot"))).alias("found"))
     per_doc = staged(per_doc, "anchors_again")
     drop_staged(found)
-    release(docs)
     met = staged(members(docs.join(per_doc, "doc_id"), length), "members")
     drop_staged(per_doc)
-    release(docs)
-    strings = met.where("kind = 2").select(F.col("anchor").alias("h1"), F.col("other").alias("h2"), "doc_id", "begin")
-    first = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = strings.join(first, ["h1", "h2"]).where(F.struct("doc_id", "begin") != F.col("first"))
+    strings = met.where("kind = 2").select("bytes", "doc_id", "begin")
+    first = strings.groupBy("bytes").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = strings.join(first, "bytes").where(F.struct("doc_id", "begin") != F.col("first"))
     single = lambda df, size: df.select("doc_id", "begin", (F.col("begin") + size).alias("end"))
     every = repeated_runs(met.where("kind = 0"), length).unionByName(single(met.where("kind = 1"), F.col("size"))).unionByName(single(late, F.lit(length)))
     out = staged(every, "spans")
     drop_staged(met)
-    release(docs)
     return out
 
 

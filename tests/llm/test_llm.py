@@ -449,6 +449,21 @@ def brute_print(text, width=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_suffixes_whose_hashes_collide(monkeypatch):
+    """With one number for all bytes every hash of a length is the same; the bytes decide."""
+    r = random.Random(3)
+    data = bytes(r.choice(b"ab") for _ in range(400))
+    starts = np.array(r.sample(range(380), 60))
+    room, group = np.full(60, 15), np.sort(np.array([r.randint(0, 5) for _ in range(60)]))
+    monkeypatch.setattr(suffix_dedup, "_TABLE", np.ones(256, np.uint64))
+    order, extends = suffix_dedup.suffix_sort(np.frombuffer(data, np.uint8), starts, room, group, 15)
+    own = [data[x : x + 15] for x in starts.tolist()]
+    assert order.tolist() == sorted(range(60), key=lambda k: (group[k], own[k], k))
+    for k in range(1, 60):
+        a, b = own[order[k - 1]], own[order[k]]
+        assert extends[k] == (next((i for i in range(15) if a[i] != b[i]), 15) if group[k] == group[k - 1] else 0)
+
+
 def test_simhash(spark, awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
     texts = prose(60, 10)
