@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,13 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir. Where that is unset, a temporary one if all runs in this process, as in tests; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="larkspur-")
-        shared_dir.own = base
-        if "://" not in base:
-            base = f"file://{base}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared_dir.own = base = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return base

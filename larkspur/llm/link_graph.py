@@ -7,6 +7,7 @@ page without a rule is blocked if its host's distrust is above a threshold and a
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -52,16 +53,16 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...], field: str) ->
 
 def host_links(pages: DataFrame) -> DataFrame:
     """source, target and n (pages of source with a link to target) for links between different hosts. pages: host, html."""
-    targets = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: host_of(F.when(x.startswith("//"), F.concat(F.lit("x:"), x)).otherwise(x))), lambda h: h != ""))
+    targets = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: host_of(F.when(x.startswith("//"), F.concat(F.lit("x:"), x)).when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), x))), lambda h: h != ""))
     linked = pages.select(F.col("host").alias("source"), F.explode(targets).alias("target"))
     return linked.where("source <> '' and source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, close: float = 1e-6) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: float = 1e-4) -> DataFrame:
     """kind, host, rank and gain (what of the rank came by links). seeds: kind (trust or distrust), host, weight; the weights of a kind sum to one.
 
-    What reaches a host without links of the kind's direction goes back to the seeds. Rounds end when ranks have moved by less than close in all; each is
-    written to the shared folder, and the driver sees a sum.
+    What reaches a host without links of the kind's direction goes back to the seeds. Rounds end when the ranks of a kind have moved by less than close in all,
+    which a round's share of damping brings about after log(close / 2) / log(damping) rounds at the latest; each is written to the shared folder, and the driver sees a sum.
     """
     both = links.select(F.lit("trust").alias("kind"), F.col("source").alias("from"), F.col("target").alias("to"), "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("target").alias("from"), F.col("source").alias("to"), "n"))
     whole = both.groupBy("kind", "from").agg(F.sum("n").alias("all"))
@@ -69,13 +70,13 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     rank = staged(seeds.select("kind", "host", F.col("weight").alias("rank"), "weight"), "ranks")
     if arcs.isEmpty():
         return rank.select("kind", "host", "rank", F.lit(0.0).alias("gain"))
-    for _ in range(rounds):
+    for _ in range(math.ceil(math.log(close / 2) / math.log(damping))):
         moved = arcs.join(rank.withColumnRenamed("host", "from"), ["kind", "from"]).groupBy("kind", F.col("to").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("gain"))
         kept = moved.groupBy("kind").agg(F.sum("gain").alias("kept"))
         new = moved.select("kind", "host", "gain", F.lit(0.0).alias("weight"), F.lit(0.0).alias("old")).unionByName(rank.select("kind", "host", F.lit(0.0).alias("gain"), "weight", F.col("rank").alias("old")))
         new = new.groupBy("kind", "host").agg(F.sum("gain").alias("gain"), F.sum("weight").alias("weight"), F.sum("old").alias("old")).join(F.broadcast(kept), "kind", "left")
         new = staged(new.select("kind", "host", (F.col("gain") + (1 - F.coalesce("kept", F.lit(0.0))) * F.col("weight")).alias("rank"), "gain", "weight", "old"), "ranks")
-        change = new.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))).first()[0]
+        change = max((r["moved"] for r in new.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")).collect()), default=0.0)
         drop_staged(rank)
         at = new.staged_at
         rank = new.drop("old")

@@ -8,21 +8,24 @@ sample give the logistic curve that turns a margin into a probability.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, words
 
 BITS = 19
 SCORES = "doc_id long, score double"
-#: Shapes that a worker remembers.
-CACHE_SHAPES = 600_000
+#: Shapes that a task remembers.
+CACHE_SHAPES = 300_000
 _UPPER, _LOWER, _DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 
 
@@ -124,13 +127,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int
     """A model for labels.quality, from at most per_class labelled texts of each class: those whose hashed doc_id is least.
 
     Labels whose crc32(doc_id as text) mod folds is 0 aren't looked at. Labels other than 0 and 1 and null doc_ids are left
-    out; where a doc_id has both labels, 0 holds. The driver gets the distinct features of the texts of the sample: at most
-    2 * per_class rows. If a class has no text, every score is the share of the other.
+    out; where a doc_id has both labels, 0 holds. The driver gets the ids below a hash that
+    about per_class of each class are below, and the distinct features of the texts of the sample: at most 2 * per_class rows. If a class has no text, every score is the share of the other.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != 0)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("label"))
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    sample = F.broadcast(known.withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_class))
+    place, least = F.xxhash64("id"), per_class + 10 * math.sqrt(per_class) + 100
+    low = reduce(or_, ((F.col("label") == k) & (place <= int((1 << 64) * min(1.0, least / n)) - (1 << 63) - 1) for k, n in shares.items()), F.lit(False))
+    near = sorted((r["place"], r["id"], r["label"]) for r in known.select("id", "label", place.alias("place")).where(low).collect())
+    chosen = [x for k in shares for x in [(i, label) for _, i, label in near if label == k][:per_class]]
+    sample = F.broadcast(docs.sparkSession.createDataFrame(chosen, "id long, label int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(1 << BITS, np.int32)
@@ -171,6 +177,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: bool = Fa
                 yield batch.filter(pa.array(scores >= threshold))
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        _shapes.clear()
 
     if keep:
         return docs.mapInArrow(run, docs.schema)

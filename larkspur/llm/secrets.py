@@ -52,6 +52,16 @@ def empty_ledger(spark: SparkSession) -> Ledger:
     return Ledger(spark.createDataFrame([], SEEN), spark.createDataFrame([], FINDINGS))
 
 
+def save(ledger: Ledger, path: str) -> None:
+    """Writes a ledger to a new folder."""
+    ledger.seen.write.parquet(f"{path}/seen")
+    ledger.findings.write.parquet(f"{path}/findings")
+
+
+def load(spark: SparkSession, path: str) -> Ledger:
+    return Ledger(spark.read.schema(SEEN).parquet(f"{path}/seen"), spark.read.schema(FINDINGS).parquet(f"{path}/findings"))
+
+
 def blob() -> Column:
     return F.sha2(F.coalesce("text", F.lit("")), 256)
 
@@ -81,14 +91,16 @@ def advance(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES
     """
     spark = versions.sparkSession
     known = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
-    blobs = versions.select("path", blob().alias("blob")).groupBy("blob").agg(F.min("path").alias("path"))
-    ruled = F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules)))
-    missing = blobs.withColumn("rule", ruled).select("blob", "path", "rule.*").join(ledger.seen, ["blob", "kind", "version"], "left_anti")
-    todo = staged(missing.groupBy("blob", "path").agg(F.collect_set("kind").alias("kinds")), "unseen_blobs")
-    texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    same = (texts["blob"] == todo["blob"]) & texts["path"].eqNullSafe(todo["path"])
-    scanned = texts.join(todo, same).select(todo["blob"], "text", "kinds")
-    rows = scanned.select("blob", F.explode(F.filter(F.array(*(_hits(r) for r in rules)), lambda x: x["hits"].isNotNull())).alias("x")).dropDuplicates(["blob", "x"])
+    place = F.coalesce("path", F.lit(-(1 << 63))).alias("place")
+    blobs = versions.select(place, blob().alias("blob")).groupBy("blob").agg(F.min("place").alias("place"))
+    ruled = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
+    done = ledger.seen.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done"))
+    lacking = F.when(F.col("done").isNull(), ruled).otherwise(F.array_except(ruled, "done"))
+    todo = blobs.join(done, "blob", "left").select("blob", "place", F.transform(lacking, lambda x: x["kind"]).alias("kinds")).where(F.size("kinds") > 0)
+    todo = staged(todo, "unseen_blobs")
+    texts = versions.select(place, F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    scanned = texts.join(todo, ["blob", "place"]).dropDuplicates(["blob", "place"]).select("blob", "text", "kinds")
+    rows = scanned.select("blob", F.explode(F.filter(F.array(*(_hits(r) for r in rules)), lambda x: x["hits"].isNotNull())).alias("x"))
     rows = rows.select("blob", "x.kind", "x.version", F.posexplode("x.hits").alias("at", "hit"))
     order = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.withColumn("end", F.sum(F.col("hit.gap") + F.col("hit.length")).over(order).cast("long"))

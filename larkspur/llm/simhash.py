@@ -1,46 +1,58 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Distinct fingerprints are sorted by the population counts of their four 16-bit quarters and cut into blocks. The sum
-of the quarters' differences in population count never exceeds the number of differing bits, so two blocks,
-and within a pair of blocks two tiles, are compared only if the ranges of their counts come that close. What
-is left is compared in full with numpy, exclusive-or and bit counts. A pair of blocks hands on a spanning
-forest of its links, not all of them; components come from star contraction over those.
+Distinct fingerprints are sorted by the population counts of their bytes and cut into blocks. The sum of the bytes'
+differences in population count never exceeds the number of differing bits, so two blocks, and within a pair of blocks two
+tiles, are compared only if the ranges of their counts come that close. What is left is compared in full with numpy, exclusive-or
+and bit counts. A pair of blocks hands on a spanning forest of its links, not all of them; components come from star
+contraction over those. Where a similarity of texts is asked for, fingerprints are of 128 bits, texts of too unlike sizes are
+skipped in the same way, and the shingles of what is linked are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_staged, staged, words
 
 FINGERPRINTS = "doc_id long, fp long"
-BLOCKS = "block int, low array<int>, high array<int>, prints binary, nodes binary"
+WIDE_PRINTS = "doc_id long, version long, fp long, fp2 long, size long"
+BLOCKS = "low array<int>, high array<int>, least long, most long, prints binary, sizes binary, nodes binary"
 LINKS = "a long, b long"
 TILE = 256
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles; a text of fewer words is one shingle, one without words has 0."""
+def shingles(text: str | None, width: int, seed: int) -> np.ndarray:
+    """The hashes of a text's word shingles, in lower case; a text of fewer words is one shingle, one without words has none."""
     found = words(text)
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     found = b" ".join(found).lower().split(b" ")
     line, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found])
     starts, stops = (ends - [len(w) + 1 for w in found]).tolist(), (ends - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[a:b], seed) for a, b in zip(starts, stops[width - 1 :], strict=False)] or [digest(line, seed)]
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, stops[width - 1 :], strict=False)] or [digest(line, seed)], np.uint64)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
-        ones += np.unpackbits(np.array(hashes[i : i + (1 << 14)], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's word shingles, those that repeat included; a text without words has 0."""
+    return simhash(shingles(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed number) of each row of docs."""
 
@@ -52,15 +64,34 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FINGERPRINTS)
 
 
-def quarter_counts(prints: np.ndarray) -> np.ndarray:
-    """The population counts of the four 16-bit quarters of each print (n x 4)."""
-    return np.bitwise_count(prints.view("<u2").reshape(-1, 4))
+def _again(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits for the same hashes."""
+    x = hashes * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
+
+
+def wide_prints(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
+    """WIDE_PRINTS of docs (doc_id, version, text): 128 bits over the distinct shingles of a text, and how many those are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t, width, seed)) for t in batch.column(2).to_pylist()]
+            prints = [pa.array(np.array([simhash(f(x)) for x in sets], np.uint64).view(np.int64)) for f in (lambda x: x, _again)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *prints, pa.array([len(x) for x in sets], pa.int64())], names=[c.split()[0] for c in WIDE_PRINTS.split(", ")])
+
+    return docs.select("doc_id", "version", "text").mapInArrow(run, WIDE_PRINTS)
+
+
+def byte_counts(prints: np.ndarray) -> np.ndarray:
+    """The population counts of the bytes of each print; prints: n x words."""
+    return np.bitwise_count(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1))
 
 
 def apart(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray) -> np.ndarray:
-    """The least possible sum of differences of counts between ranges; the last axis has the quarters."""
-    gap = np.maximum(np.maximum(low - high2, low2 - high), 0)
-    return gap.sum(axis=-1)
+    """The least possible sum of differences of counts between ranges; the last axis has the bytes."""
+    return np.maximum(np.maximum(low - high2, low2 - high), 0).sum(axis=-1)
 
 
 class Forest:
@@ -69,11 +100,12 @@ class Forest:
     def __init__(self, n: int):
         self.root, self.links = np.arange(n), []
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        fresh = self.root[a] != self.root[b]
-        a, b = a[fresh], b[fresh]
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the links a, b joined two groups."""
+        fresh = np.flatnonzero(self.root[a] != self.root[b])
+        a, b, used = a[fresh], b[fresh], []
         if not len(a):
-            return
+            return fresh
         above: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -88,86 +120,123 @@ class Forest:
             if x != y:
                 above[max(x, y)] = min(x, y)
                 self.links.append((int(a[k]), int(b[k])))
+                used.append(k)
         moved = np.arange(len(self.root))
         for x in above:
             moved[x] = top(x)
         self.root = moved[self.root]
+        return fresh[used]
+
 
+class Block:
+    """Prints (n x words) in their order, the sizes of their texts, and for each tile the ranges of both."""
 
-def tiles(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least and greatest counts of each tile of sorted prints."""
-    counts, at = quarter_counts(prints).astype(np.int16), np.arange(0, len(prints), TILE)
-    return np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
+    def __init__(self, prints: np.ndarray, sizes: np.ndarray):
+        at = np.arange(0, len(prints), TILE)
+        counts = byte_counts(prints).astype(np.int16)
+        self.prints, self.low, self.high = prints, np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
+        self.least, self.most = np.minimum.reduceat(sizes, at), np.maximum.reduceat(sizes, at)
 
+    def __len__(self) -> int:
+        return len(self.prints)
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Links (places in a, then b, in one numbering) that span all links of at most radius bits between a and b, or within a if b is None."""
+
+def forest(a: Block, b: Block | None, radius: int, similarity: float = 0.0, depth: int = 1) -> list[tuple[int, int]]:
+    """Links (places in a, then b, in one numbering) that span all links of at most radius bits between a and b, or within a if b is None.
+
+    The closest pairs of two tiles are joined first. Tiles whose texts can't have shingles in common to a share of similarity are skipped. depth: so many
+    forests, each of links that those before it didn't need.
+    """
     other, shift = (a, 0) if b is None else (b, len(a))
-    out, (low, high), (low2, high2) = Forest(len(a) + (0 if b is None else len(b))), tiles(a), tiles(other)
-    for i in range(len(low)):
-        mine = a[i * TILE : (i + 1) * TILE, None]
-        for j in np.flatnonzero(apart(low[i], high[i], low2, high2) <= radius).tolist():
+    out = [Forest(len(a) + (0 if b is None else len(b))) for _ in range(depth)]
+    for i in range(len(a.low)):
+        mine = a.prints[i * TILE : (i + 1) * TILE, None]
+        near = (apart(a.low[i], a.high[i], other.low, other.high) <= radius) & (a.most[i] >= similarity * other.least) & (other.most >= similarity * a.least[i])
+        for j in np.flatnonzero(near).tolist():
             if b is None and j < i:
                 continue
-            x, y = np.nonzero(np.bitwise_count(mine ^ other[None, j * TILE : (j + 1) * TILE]) <= radius)
+            theirs = other.prints[None, j * TILE : (j + 1) * TILE]
+            bits = np.bitwise_count(mine[..., 0] ^ theirs[..., 0])
+            x, y = np.nonzero(bits <= radius)
+            for k in range(1, mine.shape[2]):
+                bits = bits[x, y] if k == 1 else bits
+                bits = bits + np.bitwise_count(mine[x, 0, k] ^ theirs[0, y, k])
+                x, y, bits = x[bits <= radius], y[bits <= radius], bits[bits <= radius]
+            if not len(x):
+                continue
+            if mine.shape[2] > 1:
+                order = np.argsort(bits, kind="stable")
+                x, y = x[order], y[order]
             x, y = x + i * TILE, y + j * TILE + shift
             if b is None:
                 x, y = x[x < y], y[x < y]
-            if len(x):
-                out.join(x, y)
-    return out.links
+            for one in out:
+                used = one.join(x, y)
+                x, y = np.delete(x, used), np.delete(y, used)
+    return [link for one in out for link in one.links]
 
 
-def links(nodes: DataFrame, radius: int, block_rows: int = 1 << 16, least_blocks: int = 12) -> DataFrame:
-    """Links (a, b: nodes) that connect what links of at most radius bits connect. nodes: node and fp, each fp once.
+def _near(one: str, two: str, radius: int, similarity: float) -> Column:
+    """Whether the ranges of two blocks come close enough for a link."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    gaps = F.zip_with(F.zip_with(c(one, "low"), c(two, "high"), lambda x, y: x - y), F.zip_with(c(two, "low"), c(one, "high"), lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0)))
+    return (F.aggregate(gaps, F.lit(0), lambda total, x: total + x) <= radius) & (c(one, "most") >= similarity * c(two, "least")) & (c(two, "most") >= similarity * c(one, "least"))
 
-    Each pair of blocks is at most block_rows squared comparisons and 32 bytes a fingerprint; a task takes one after the other. The driver
-    gets the number, and the ranges of counts, of each block.
+
+def links(nodes: DataFrame, radius: int, block_rows: int = 1 << 16, least_blocks: int = 12, similarity: float = 0.0, depth: int = 1) -> DataFrame:
+    """Links (a, b: nodes) that connect what links of at most radius bits connect. nodes: node and fp, each fp once; or node, fp, fp2 and size, each three once.
+
+    Each pair of blocks is at most block_rows squared comparisons and 48 bytes a fingerprint; a task takes one after the other. Pairs are planned from
+    a row for each block, in Spark; the driver gets how many there are.
     """
     spark, n = nodes.sparkSession, nodes.count()
     many = max(least_blocks, -(-n // block_rows))
-    quarters = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4)]
+    prints = [c for c in ("fp", "fp2") if c in nodes.columns]
+    nodes = nodes.select("node", *prints, (F.col("size") if "size" in nodes.columns else F.lit(0)).cast("long").alias("size"))
+    counts = [F.bit_count(F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(0xFF))) for c in prints for k in range(8)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if sum(len(b) for b in held):
             table = pa.Table.from_batches(held)
-            prints, ids = (np.ascontiguousarray(table.column(k).to_numpy()) for k in (1, 0))
-            low, high = tiles(prints.view(np.uint64))
-            row = {"block": 0, "low": low.min(0).tolist(), "high": high.max(0).tolist(), "prints": prints.tobytes(), "nodes": ids.tobytes()}
-            fields = [("block", pa.int32()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())), ("prints", pa.binary()), ("nodes", pa.binary())]
+            found = np.stack([table.column(c).to_numpy() for c in prints], 1).view(np.uint64)
+            ids, sizes = (np.ascontiguousarray(table.column(c).to_numpy()) for c in ("node", "size"))
+            block = Block(found, sizes)
+            row = {"low": block.low.min(0).tolist(), "high": block.high.max(0).tolist(), "least": int(sizes.min()), "most": int(sizes.max()), "prints": found.tobytes(), "sizes": sizes.tobytes(), "nodes": ids.tobytes()}
+            fields = [*((k, pa.list_(pa.int32())) for k in ("low", "high")), *((k, pa.int64()) for k in ("least", "most")), *((k, pa.binary()) for k in ("prints", "sizes", "nodes"))]
             yield pa.RecordBatch.from_pylist([row], pa.schema(fields))
 
-    dealt = nodes.repartitionByRange(many, *quarters, "fp").sortWithinPartitions(*quarters, "fp").select("node", "fp")
+    order = ["size", *counts, *prints]
+    dealt = nodes.repartitionByRange(many, *order).sortWithinPartitions(*order)
     blocks = staged(dealt.mapInArrow(gather, BLOCKS).withColumn("block", F.spark_partition_id()), "simhash_blocks")
-    known = sorted((r["block"], r["low"], r["high"]) for r in blocks.select("block", "low", "high").collect())
-    pairs = []
-    for k, (i, low, high) in enumerate(known):
-        near = apart(np.array(low), np.array(high), np.array([x[1] for x in known[k:]]), np.array([x[2] for x in known[k:]])) <= radius
-        pairs += [(i, known[k + int(m)][0]) for m in np.flatnonzero(near)]
-    sides = [(block, pair, side) for pair, both in enumerate(pairs) for side, block in enumerate(dict.fromkeys(both))]
+    ranges = blocks.select("block", "low", "high", "least", "most")
+    later = ranges.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(many - 1)))).alias("one")
+    pairs = later.join(ranges.alias("two"), F.col("one.other") == F.col("two.block")).where(_near("one", "two", radius, similarity)).select(F.col("one.block").alias("first"), F.col("two.block").alias("second"))
+    pairs = staged(pairs.withColumn("pair", F.col("first") * F.lit(many).cast("long") + F.col("second")), "block_pairs")
+    width, bits, share, many_forests = len(prints), radius, similarity, depth
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(held: list) -> pa.RecordBatch:
             a, b = held[0][0], held[1][0] if len(held) > 1 else None
             both = np.concatenate([ids for _, ids in held])
-            ends = np.array(forest(a, b, radius), np.int64).reshape(-1, 2)
+            ends = np.array(forest(a, b, bits, share, many_forests), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[ends[:, k]]) for k in (0, 1)], names=["a", "b"])
 
         at, held = None, []
         for batch in batches:
-            for pair, prints, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for k in range(len(batch)):
+                pair, raw, sizes, ids = (batch.column(c)[k].as_py() for c in range(4))
                 if pair != at and held:
                     yield found(held)
                     held = []
                 at = pair
-                held.append((np.frombuffer(prints, np.uint64), np.frombuffer(ids, np.int64)))
+                held.append((Block(np.frombuffer(raw, np.uint64).reshape(-1, width), np.frombuffer(sizes, np.int64)), np.frombuffer(ids, np.int64)))
         if held:
             yield found(held)
 
-    wanted = F.broadcast(spark.createDataFrame(sides, "block int, pair int, side int"))
-    tasks = max(1, min(len(pairs), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return blocks.join(wanted, "block").repartition(tasks, "pair").sortWithinPartitions("pair", "side").select("pair", "prints", "nodes").mapInArrow(compare, LINKS)
+    sides = pairs.select("pair", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
+    tasks = max(1, min(pairs.count(), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return blocks.join(sides, "block").repartition(tasks, "pair").sortWithinPartitions("pair", "block").select("pair", "prints", "sizes", "nodes").mapInArrow(compare, LINKS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,3 +274,41 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
     found = components(links(nodes, radius))
     roots = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def radius_of(similarity: float, bits: int = 128, spread: float = 2.0) -> int:
+    """How many of bits may differ so that nearly all pairs of sets of a similarity or more are met: the expected number, and spread times its deviation."""
+    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * part + spread * math.sqrt(bits * part * (1 - part)))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, depth: int = 4) -> DataFrame:
+    """doc_id, version (a hash of the text) and component_id of each different pair of doc_id and text of docs (doc_id, text; other columns are left out).
+
+    component_id is the smallest doc_id reached over texts whose sets of word shingles have at least a share of similarity in common. Pairs
+    are met by 128-bit fingerprints at radius_of(similarity), two deviations beyond what is expected at that very similarity, and confirmed by
+    their shingles. Each pair of blocks hands on depth spanning forests, closest links first, so that others stand in for a link that isn't confirmed. Null texts count as empty, and all texts without words
+    are alike. Rows without a doc_id are left out; an empty table gives no rows.
+    """
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
+    prints = staged(wide_prints(known, width, seed), "wide_prints")
+    nodes = staged(prints.groupBy("fp", "fp2", "size").agg(F.min(F.struct("doc_id", "version")).alias("first")).select("fp", "fp2", "size", F.xxhash64("first.doc_id", "first.version").alias("node"), "first.*"), "wide_nodes")
+    met = staged(links(nodes, radius_of(similarity), similarity=similarity, depth=depth), "similar_links")
+    ends = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t, width, seed)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    wanted = nodes.join(ends, "node", "left_semi").select("node", "doc_id", "version")
+    texts = known.join(wanted, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
+    sets = staged(texts.mapInArrow(run, "node long, shingles array<long>"), "shingles")
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    sound = met.join(side("a"), "a").join(side("b"), "b").where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+    roots = components(sound)
+    least = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    names = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_nodes = least.join(names, "root").select("node", "component_id").join(nodes.select("node", "fp", "fp2", "size"), "node")
+    return prints.join(of_nodes, ["fp", "fp2", "size"]).select("doc_id", "version", "component_id").distinct()

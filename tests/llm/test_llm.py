@@ -187,7 +187,7 @@ def test_propagation_against_brute_force(spark):
     arcs = [("a", "b", 1), ("a", "c", 3), ("b", "c", 2), ("c", "a", 1), ("d", "a", 1), ("c", "e", 1)]
     links = spark.createDataFrame(arcs, "source string, target string, n long")
     seeds = spark.createDataFrame([("trust", "a", 1.0), ("distrust", "e", 1.0)], "kind string, host string, weight double")
-    found = {(r.kind, r.host): r["rank"] for r in link_graph.propagate(links, seeds, rounds=60, close=1e-12).collect()}
+    found = {(r.kind, r.host): r["rank"] for r in link_graph.propagate(links, seeds, close=1e-12).collect()}
     for kind, seed, ends in (("trust", "a", arcs), ("distrust", "e", [(b, a, n) for a, b, n in arcs])):
         rank = collections.Counter({seed: 1.0})
         for _ in range(60):
@@ -477,6 +477,27 @@ def test_simhash(spark, awkward, empty):
     assert {r.doc_id: r.component_id for r in rows if r.doc_id is not None} == dict(zip(ids, label.tolist(), strict=True))
 
 
+def test_similar_groups(spark, awkward, empty):
+    """Against all pairs of texts: no link is made below the similarity, and nearly none of it or above is missed."""
+    assert simhash.similar_groups(empty).count() == 0 and simhash.similar_groups(awkward).where("component_id is null").count() == 0
+    r, base = random.Random(12), [[f"w{random.Random(k).randint(0, 9999)}x{j}" for j in range(80 + 13 * k)] for k in range(40)]
+    texts = []
+    for words_ in base:
+        for share in (0.0, 0.003, 0.01, 0.02, 0.2):
+            texts.append(" ".join(w if r.random() >= share else "other" + str(r.randint(0, 999)) for w in words_))
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    alike = np.array([[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets])
+    label = np.arange(len(texts))
+    for _ in range(10):
+        label = np.array([label[n].min() for n in alike])
+    found = {x.doc_id: x.component_id for x in simhash.similar_groups(frame(spark, texts + texts[:3])).collect()}
+    assert [found[len(texts) + k] for k in range(3)] == [found[k] for k in range(3)]
+    groups = collections.defaultdict(set)
+    for k in range(len(texts)):
+        groups[found[k]].add(label[k])
+    assert all(len(x) == 1 for x in groups.values()) and np.mean([found[k] == label[k] for k in range(len(texts))]) > 0.97 and len(set(label.tolist())) < 160
+
+
 def test_links_and_components_over_many_blocks(spark):
     r = np.random.default_rng(11)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
