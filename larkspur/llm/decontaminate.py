@@ -112,8 +112,8 @@ def sound_windows(pairs: DataFrame) -> DataFrame:
     made = made.withColumn("_a", F.array_sort(F.array_distinct(F.transform(met, lambda x: F.struct(x["a"].alias("k"), x["b"].alias("v"))))))
     made = made.withColumn("_b", F.array_sort(F.transform("_a", lambda x: F.struct(x["v"].alias("k"), x["k"].alias("v")))))
     torn = lambda c: F.array_distinct(F.filter(F.zip_with(c, F.slice(c, 2, _ALL), lambda x, y: F.when(x["k"] == y["k"], x["k"])), lambda x: x.isNotNull()))
-    made = made.withColumn("_odd_a", torn("_a")).withColumn("_odd_b", torn("_b"))
-    odd = lambda x: x["slot"].isNotNull() & (F.array_contains("_odd_a", x["a"]) | F.array_contains("_odd_b", F.coalesce(x["b"], F.lit(""))))
+    made = made.withColumn("_odd", F.struct(torn("_a").alias("a"), torn("_b").alias("b")))  # one column used twice, so that it isn't worked out anew in each place
+    odd = lambda x: x["slot"].isNotNull() & (F.array_contains("_odd.a", x["a"]) | F.array_contains("_odd.b", F.coalesce(x["b"], F.lit(""))))
     fits = lambda x: (x["same"] | F.coalesce(x["alike"], F.lit(False))) & ~odd(x)
     made = made.withColumn("_fit", F.transform("_at", lambda x: F.struct(fits(x).alias("fits"), x["same"].alias("same"), (x["same"] & ~F.coalesce(x["slot"].isin(NUMBER, UNIT), F.lit(False))).alias("word"))))
     part = lambda i: F.slice("_fit", i, F.col("size"))
@@ -121,7 +121,7 @@ def sound_windows(pairs: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(1), F.size("item_tokens") - F.col("size") + 1)
     made = made.withColumn("n_windows", F.size(F.filter(places, holds)).cast("long"))
     changed = F.exists("_at", lambda x: F.coalesce(x["alike"], F.lit(False)) & ~x["same"])
-    return made.withColumn("changed", changed).drop("_at", "_a", "_b", "_odd_a", "_odd_b", "_fit")
+    return made.withColumn("changed", changed).drop("_at", "_a", "_b", "_odd", "_fit")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float = 0.5, run: int = 6) -> DataFrame:
