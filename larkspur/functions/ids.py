@@ -113,3 +113,15 @@ def survey_link(base: str, uid: Column) -> Column:
     return F.concat(F.lit(base + ("&" if "?" in base else "?") + "c="), uid)
 
 
+def body_sha256(body: Column) -> Column:
+    return F.sha2(body, 256)
+
+
+def cache_key(url: Column) -> Column:
+    return F.sha1(url)
+
+
+def municipality_ids(values: Column) -> Column:
+    """The numbers in an array of texts with commas, each once, in order; null if a part isn't a number."""
+    parts = F.flatten(F.transform(values, lambda v: F.transform(F.split(v, ","), lambda x: F.trim(x))))
+    return F.when(F.forall(parts, lambda p: p.rlike("^[0-9]+$")), F.array_distinct(parts))

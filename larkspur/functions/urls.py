@@ -71,3 +71,10 @@ def sitemap_locations(xml: Column) -> Column:
 
 def is_sitemap_index(xml: Column) -> Column:
     return F.lower(xml).contains("<sitemapindex")
+
+
+def other_ending(name: Column, site: Column) -> Column:
+    """Whether two hosts of two labels each differ in nothing but the last."""
+    two = r"^([^.]+)\.([^.]+)$"
+    part = lambda x, k: F.regexp_extract(x, two, k)
+    return F.coalesce((part(name, 1) != "") & (part(name, 1) == part(site, 1)) & (part(name, 2) != part(site, 2)), F.lit(False))

@@ -36,6 +36,12 @@ def run_progress(t: Tables, run_id: str) -> DataFrame:
     return rows.select("uid", "batch_no", "name", state.alias("state"))
 
 
+def in_order_of_work(progress: DataFrame) -> DataFrame:
+    """Rows of run_progress with place: the newest batch first, in it what is running, waiting, failed, done, and then by name."""
+    state = F.when(F.col("state") == "running", 0).when(F.col("state") == "waiting", 1).when(F.col("state") == "failed", 2).otherwise(3)
+    return progress.withColumn("place", F.row_number().over(Window.orderBy(F.col("batch_no").desc_nulls_last(), state, "name")))
+
+
 def runs_overview(results: DataFrame) -> DataFrame:
     return results.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("recommendation") == "send", F.lit(False))).alias("send"), F.count_if(F.col("error_kind").isNotNull()).alias("failed"), F.max("finished_at").alias("finished_at"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ledger import decided
@@ -111,3 +111,9 @@ def status_by_group(t: Tables, setting: Setting) -> DataFrame:
 def status_totals(t: Tables, setting: Setting) -> DataFrame:
     """status_by_group with a total under a null municipality, by one rollup."""
     return _flags(t, setting).rollup("municipality").agg(F.count("*").alias("pooled"), *(F.count_if(F.expr(f"coalesce({c}, false)")).alias(k) for k, c in _COUNTS.items()))
+
+
+def batches(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """rows (group, uid) with batch_no: batches of at most size in a group, in the order of uid."""
+    at = F.row_number().over(Window.partitionBy(group).orderBy("uid"))
+    return rows.withColumn("batch_no", F.floor((at - 1) / size))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ledger import _standing, never_left, reported_mails
@@ -56,3 +58,45 @@ def merged_responses(raw: DataFrame) -> DataFrame:
     """
     tagged = raw.withColumn("tag", F.upper(F.trim("tag"))).where("tag <> ''")
     return tagged.groupBy("tag").agg(F.min(F.coalesce("started", "completed")).alias("started"), F.max("completed").alias("completed"))
+
+
+def sendable(results: DataFrame) -> DataFrame:
+    return results.groupBy("run_id").agg(F.count_if(F.coalesce((F.col("recommendation") == "send") & F.col("error_kind").isNull(), F.lit(False))).alias("sendable"))
+
+
+def needs_js_by_uid(results: DataFrame, run_id: str) -> DataFrame:
+    """uid and how many pages needed scripts, of a run's companies that were measured."""
+    return results.where((F.col("run_id") == run_id) & F.col("needs_js").isNotNull()).groupBy("uid").agg(F.max("needs_js").alias("needs_js"))
+
+
+def search_counts(searches: DataFrame) -> DataFrame:
+    """For each provider how often it was asked, and how often it found nothing."""
+    return searches.groupBy("provider").agg(F.count("*").alias("asked"), F.count_if(F.col("n_results") == 0).alias("silent"))
+
+
+def search_log(searches: DataFrame) -> DataFrame:
+    """What was asked about each company, in order."""
+    at = F.row_number().over(Window.partitionBy("uid").orderBy("asked_at", "id"))
+    return searches.select("uid", at.alias("at"), "provider", "n_results")
+
+
+def company_names(companies: DataFrame, results: DataFrame) -> DataFrame:
+    """The names of companies with results, each once, in order."""
+    return companies.join(results.select("uid").distinct(), "uid", "left_semi").select("name").distinct().orderBy("name")
+
+
+def score_summary(outcomes: DataFrame) -> DataFrame:
+    """For each run how many companies were scored, taken from before, dropped, or failed."""
+    return outcomes.groupBy("run_id").agg(*(F.count_if(F.col("outcome") == k).alias(k) for k in ("cached", "scored", "dropped", "failed")))
+
+
+def earlier_contacts(contacts: DataFrame, invites: DataFrame) -> DataFrame:
+    """uid, at and person of everything that was prepared for a company before: mails by id, then links by code."""
+    mails = contacts.select("uid", F.lit(0).alias("kind"), F.col("id").cast("string").alias("at"), "person")
+    return mails.unionByName(invites.select("uid", F.lit(1).alias("kind"), F.col("code").alias("at"), "person")).orderBy("uid", "kind", "at").drop("kind")
+
+
+def known_anywhere(tables: list[DataFrame], uid: int) -> DataFrame:
+    """known: whether any table has a row of a company; a row of each at most is looked for."""
+    one = reduce(DataFrame.union, (t.where(F.col("uid") == uid).select("uid").limit(1) for t in tables))
+    return one.agg((F.count("*") > 0).alias("known"))

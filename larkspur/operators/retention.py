@@ -9,8 +9,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids, urls
+
 Tables = Mapping[str, DataFrame]
-HELD = ("contacts", "drafts", "searches", "seen", "results")
+HELD = ("contacts", "profiles", "sites", "drafts", "searches")
+ERASED = ("contacts", "drafts", "profiles", "sites", "searches", "responses", "progress")
+#: Kinds of addresses on a company's own site.
+ON_SITE = ("seen", "generic", "constructed")
 
 
 def held(t: Tables, names: tuple[str, ...] = HELD) -> DataFrame:
@@ -27,26 +32,57 @@ def stale(t: Tables, cutoff: datetime.date) -> DataFrame:
     recent = t["ledger"].where(F.col("decided_at") >= day).select("uid").distinct()
     drawn = t["seen"].groupBy("uid").agg(F.max("drawn_at").alias("drawn"))
     dated = t["drafts"].select("uid", F.col("created_at").alias("at")).unionByName(t["searches"].select("uid", F.col("asked_at").alias("at"))).groupBy("uid").agg(F.max("at").alias("touched"))
-    rows = held(t, ("contacts", "drafts", "searches")).join(recent, "uid", "left_anti").join(drawn, "uid", "left").join(dated, "uid", "left")
+    rows = held(t).join(recent, "uid", "left_anti").join(drawn, "uid", "left").join(dated, "uid", "left")
     return rows.where(F.coalesce(F.coalesce("drawn", "touched") < day, F.lit(True))).select("uid")
 
 
-def erase(t: Tables, uids: DataFrame) -> dict[str, DataFrame]:
-    """All tables without the companies' personal rows; their results lose the reason, their ledger rows the arm and kind of contact."""
+def own_domains(t: Tables, uids: DataFrame) -> DataFrame:
+    """The registered domains of companies: of their sites, and of their contacts' addresses on them; never that of an address elsewhere."""
+    gone = uids.select("uid").distinct()
+    of_sites = t["sites"].join(gone, "uid", "left_semi").select(urls.registered_domain(F.col("url")).alias("domain"))
+    mails = t["contacts"].where(F.col("email_kind").isin(*ON_SITE)).join(gone, "uid", "left_semi").select(urls.apex(ids.email_host(F.col("email"))).alias("domain"))
+    return of_sites.union(mails).where("domain is not null and domain <> ''").distinct()
+
+
+def _of_domains(pages: DataFrame, domains: DataFrame, how: str) -> DataFrame:
+    found = pages.withColumn("domain", urls.registered_domain(F.col("url"))).join(domains, "domain", how)
+    return found.select(pages.columns)
+
+
+def erase(t: Tables, uids: DataFrame, reason: str = "erased", clear_addresses: bool = True) -> dict[str, DataFrame]:
+    """All tables without the companies' personal rows and the pages of their own sites; their results get another reason, their ledger rows lose the subject and, if asked, the address."""
     gone = uids.select("uid").distinct()
     marked = gone.withColumn("_gone", F.lit(True))
-    out = dict(t) | {n: t[n].join(gone, "uid", "left_anti") for n in ("contacts", "drafts", "searches", "responses")}
-    blank = lambda df, *columns: df.join(marked, "uid", "left").withColumns({c: F.when(F.col("_gone").isNull(), F.col(c)) for c in columns}).drop("_gone").select(df.columns)
-    out["results"] = blank(t["results"], "recommendation")
-    out["ledger"] = blank(t["ledger"], "contact_kind")
+    out = dict(t) | {n: t[n].join(gone, "uid", "left_anti") for n in ERASED}
+    redone = lambda df, values: df.join(marked, "uid", "left").withColumns({c: F.when(F.col("_gone"), v).otherwise(F.col(c)) for c, v in values.items()}).select(df.columns)
+    none = F.lit(None).cast("string")
+    out["results"] = redone(t["results"], {"reason": F.lit(reason)})
+    out["ledger"] = redone(t["ledger"], {"subject": none} | ({"address": none} if clear_addresses else {}))
+    out["pages"] = _of_domains(t["pages"], own_domains(t, uids), "left_anti")
     return out
 
 
 def erase_plan(t: Tables, uids: DataFrame) -> DataFrame:
     """table_name and n: how many rows of each table an erasure removes."""
     gone = uids.select("uid").distinct()
-    parts = [t[n].join(gone, "uid", "left_semi").agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n in ("contacts", "drafts", "searches", "responses")]
-    return reduce(DataFrame.unionByName, parts)
+    counted = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+    parts = [counted(t[n].join(gone, "uid", "left_semi"), n) for n in ERASED]
+    return reduce(DataFrame.unionByName, [*parts, counted(_of_domains(t["pages"], own_domains(t, uids), "left_semi"), "pages")])
+
+
+def forgotten_keys(t: Tables, uids: DataFrame) -> DataFrame:
+    """kind and key of what goes on the never-again list with forgotten companies: their numbers, the addresses they were written to, and the profiles of their links."""
+    gone = uids.select("uid").distinct()
+    mailed = t["ledger"].where("status = 'sent' and address is not null").join(gone, "uid", "left_semi").select(F.lit("address").alias("kind"), ids.address_key(F.col("address")).alias("key"))
+    linked = t["profiles"].join(gone, "uid", "left_semi").select(F.lit("profile").alias("kind"), ids.profile_key(F.col("profile")).alias("key"))
+    return gone.select(F.lit("uid").alias("kind"), F.col("uid").cast("string").alias("key")).union(mailed).union(linked).distinct()
+
+
+def held_facts(t: Tables, uids: DataFrame) -> DataFrame:
+    """kind (person or address) and value of all that rows of companies hold: of contacts, links and the ledger."""
+    of = lambda name, column, kind: t[name].join(uids.select("uid").distinct(), "uid", "left_semi").select(F.lit(kind).alias("kind"), F.col(column).alias("value"))
+    parts = [of("contacts", "person", "person"), of("invites", "person", "person"), of("contacts", "email", "address"), of("ledger", "address", "address")]
+    return reduce(DataFrame.union, parts).where("value is not null").distinct()
 
 
 def suppress(suppression: DataFrame, keys: DataFrame) -> DataFrame:

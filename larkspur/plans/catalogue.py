@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import drafts, gazette, html, ids, text, urls
-from ..operators import candidates, contacts, decisions, eligibility, ledger, report, retention, upsert
+from ..operators import candidates, contacts, decisions, eligibility, ledger, report, upsert
 from ..sources.driver_tables import relations, with_relations
 
 SETTING = eligibility.Setting("O", "1-URGENT", ("m0", "m1"), "c1", 5)
-RUN, CUTOFF = "r1", datetime.date(1996, 1, 1)
+RUN = "r1"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -259,31 +258,6 @@ def q_address_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.address_blocks(t["contacts"], t["suppression"], t["ledger"], ids.address_key(F.col("email")))
 
 
-_HELD = "(select uid from contacts union select uid from drafts union select uid from searches)"
-
-
-@_query(
-    _with(("contacts", "drafts", "searches", "seen", "ledger"))
-    + f"""select h.uid from {_HELD} h left join (select uid, max(drawn_at) as d from seen group by uid) s on s.uid = h.uid
-    left join (select uid, max(d) as d from (select uid, created_at as d from drafts union all select uid, asked_at from searches) x group by uid) t on t.uid = h.uid
-    where h.uid not in (select uid from ledger where decided_at >= date '1996-01-01') and coalesce(coalesce(s.d, t.d) < date '1996-01-01', true)"""
-)
-def q_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retention.stale(relations(spark, sf_dir), CUTOFF)
-
-
-@_query(_with(("contacts", "drafts", "searches", "responses", "suppression")) + " union all ".join(f"select '{n}' as table_name, count(*) as n from {n} where uid in (select uid from suppression)" for n in ("contacts", "drafts", "searches", "responses")))
-def q_erase_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = relations(spark, sf_dir)
-    return retention.erase_plan(t, t["suppression"])
-
-
-@_query(_with(("results", "suppression", "ledger")) + "select run_id, uid, case when uid in (select uid from suppression) then null else recommendation end as recommendation from results")
-def q_erase_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = relations(spark, sf_dir)
-    return retention.erase(t, t["suppression"])["results"].select("run_id", "uid", "recommendation")
-
-
 _NEW = "select uid, concat(name, ' neu') as name, municipality, screen_reason, uid % 3 as _order from {companies} where uid % 5 = 0 union all select uid, name, municipality + 1, screen_reason, 9 from {companies} where uid % 10 = 0"
 
 
@@ -306,14 +280,14 @@ def q_upsert_keeping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upsert_keeping(rows, new, ["run_id", "uid"], ["needs_js"])
 
 
-@_query(_with(("searches",)) + "select id, uid, provider from searches where uid not in (select uid from searches where provider = '1-URGENT') union all select -id, uid, 'new' from searches where provider = '1-URGENT'")
+@_query(_with(("searches",)) + "select id, uid, provider from searches where uid not in (select uid from searches where provider = 'F') union all select -id, uid, 'new' from searches where provider = 'F'")
 def q_replace_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = relations(spark, sf_dir)["searches"].select("id", "uid", "provider")
-    return upsert.replace_groups(rows, rows.where("provider = '1-URGENT'").select((-F.col("id")).alias("id"), "uid", F.lit("new").alias("provider")), ["uid"])
+    return upsert.replace_groups(rows, rows.where("provider = 'F'").select((-F.col("id")).alias("id"), "uid", F.lit("new").alias("provider")), ["uid"])
 
 
-_UID = "concat('CHE-', lpad(cast(c_custkey as varchar(9)), 3, '0'), '.', lpad(cast(c_custkey * 7 % 1000 as varchar(9)), 3, '0'), '.', lpad(cast(c_custkey * 13 % 1000 as varchar(9)), 3, '0'))"
-_CUSTOMERS = "(select *, {u} as written from customer where c_custkey < 1000)".replace("{u}", _UID)
+_UID = "concat('CHE-', lpad(cast(c_custkey % 1000 as varchar(9)), 3, '0'), '.', lpad(cast(c_custkey * 7 % 1000 as varchar(9)), 3, '0'), '.', lpad(cast(c_custkey * 13 % 1000 as varchar(9)), 3, '0'))"
+_CUSTOMERS = "(select *, {u} as written from customer)".replace("{u}", _UID)
 _SUM = " + ".join(f"cast(substr(d, {k + 1}, 1) as int) * {w}" for k, w in enumerate(ids.UID_WEIGHTS))
 _VALID = f"(11 - ({_SUM}) % 11 <> 10 and cast(substr(d, 9, 1) as int) = (case when ({_SUM}) % 11 = 0 then 0 else 11 - ({_SUM}) % 11 end))"
 
@@ -402,9 +376,9 @@ def q_head_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", text.head_clause(F.col("p")).alias("head"), text.screen_reason(F.col("n"), F.col("p")).alias("reason"))
 
 
-_ANSWERS = "select o_orderkey as pos, o_custkey as uid, cast(o_orderkey % 13 as int) as score from {orders} where o_orderkey % 4 = 0"
-_ASKED = "select c_custkey as uid from {customer} where c_custkey % 2 = 0"
-_GOOD = f"good as (select pos, uid, score from (select *, row_number() over (partition by uid order by pos) as k from ({_ANSWERS.replace('{orders}', 'orders')}) a where uid % 2 = 0 and uid in (select c_custkey from customer)) t where k = 1 and score between 0 and 10)"
+_ANSWERS = "select o_orderkey as pos, o_custkey as uid, cast(o_orderkey % 13 as int) as score from {orders}"
+_ASKED = "select c_custkey as uid from {customer} where c_mktsegment <> 'BUILDING'"
+_GOOD = f"good as (select pos, uid, score from (select *, row_number() over (partition by uid order by pos) as k from ({_ANSWERS.replace('{orders}', 'orders')}) a where uid in (select c_custkey from customer where c_mktsegment <> 'BUILDING')) t where k = 1 and score between 0 and 10)"
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -417,7 +391,7 @@ def q_score_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validated(spark, sf_dir)[0]
 
 
-@_query(f"with {_GOOD} select c_custkey as uid from customer where c_custkey % 2 = 0 and c_custkey not in (select uid from good)")
+@_query(f"with {_GOOD} select c_custkey as uid from customer where c_mktsegment <> 'BUILDING' and c_custkey not in (select uid from good)")
 def q_score_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validated(spark, sf_dir)[1]
 
@@ -520,6 +494,4 @@ def q_companies_of_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.companies_of_address(relations(spark, sf_dir), ids.address_key(F.col("email")), "info@site7.example.com")
 
 
-@_query()
-def q_next_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contacts.next_cards(contacts.cards(relations(spark, sf_dir), RUN))
+from . import more  # noqa: E402, F401  it adds to QUERIES and SQL

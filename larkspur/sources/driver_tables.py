@@ -1,6 +1,7 @@
 """The campaign's relations, derived from the star-schema tables of a folder.
 
-RELATIONS holds one SELECT for each; the text runs in Spark and in DuckDB alike, so queries and their SQL see the same rows.
+RELATIONS holds one SELECT for each; the text runs in Spark and in DuckDB alike, so queries and their SQL see the same rows. Scores come
+from all orders; besides, an order's priority and status say which step of the campaign it stands for.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ RELATIONS: dict[str, str] = {
         case when o_orderkey % 7 = 0 then null when o_orderkey % 2 = 0 then 'c0' else 'c1' end as criteria, max(cast(o_orderkey % 11 as int)) as score
         from orders group by 1, 2, 3, 4, 5""",
     "seen": f"""select uid, run_id, batch_no, drawn_at from (select o_custkey as uid, {_RUN} as run_id, cast(o_orderkey % 3 + 1 as int) as batch_no, o_orderdate as drawn_at,
-        row_number() over (partition by o_custkey order by o_orderkey desc) as k from orders where o_orderkey % 13 = 0) t where k = 1""",
-    "results": f"""select run_id, uid, recommendation, error_kind, finished_at, needs_js from (select {_RUN} as run_id, o_custkey as uid,
+        row_number() over (partition by o_custkey order by o_orderkey desc) as k from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F') t where k = 1""",
+    "results": f"""select run_id, uid, recommendation, error_kind, finished_at, needs_js, reason from (select {_RUN} as run_id, o_custkey as uid,
         case o_orderkey % 4 when 1 then 'send' when 2 then 'hold' when 3 then 'skip' end as recommendation,
-        case when o_orderkey % 8 = 0 then 'interrupted' when o_orderkey % 4 = 0 then 'fetch' end as error_kind, o_orderdate as finished_at,
+        case when o_orderkey % 8 = 0 then 'interrupted' when o_orderkey % 4 = 0 then 'fetch' end as error_kind, o_orderdate as finished_at, concat('because of ', o_orderpriority) as reason,
         case when o_orderkey % 6 = 0 then null else cast(o_orderkey % 5 as int) end as needs_js,
-        row_number() over (partition by o_orderkey % 5, o_custkey order by o_orderkey desc) as k from orders where o_orderkey % 13 = 0) t where k = 1""",
+        row_number() over (partition by o_orderkey % 5, o_custkey order by o_orderkey desc) as k from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F') t where k = 1""",
     "ledger": f"""select event_id as id, user_id as uid, case event_type when 'purchase' then 'sent' when 'view' then 'skipped' when 'click' then 'not_sent' when 'error' then 'bounced' else 'undone' end as status,
-        ts as decided_at, case when user_id % 2 = 0 then 'voll' else 'kurz' end as arm, case event_id % 3 when 1 then 'seen' when 2 then 'generic' end as contact_kind, concat('f', cast(event_id % 2 as varchar(9))) as frame_version,
+        ts as decided_at, case when user_id % 2 = 0 then 'voll' else 'kurz' end as arm, case event_id % 3 when 1 then 'seen' when 2 then 'generic' end as contact_kind, concat('f', cast(event_id % 2 as varchar(9))) as frame_version, case when event_type = 'purchase' then concat('Für Kunde ', cast(user_id as varchar(20))) end as subject,
+        case when event_type in ('purchase', 'error') then concat('info@site', cast(user_id % 400 as varchar(20)), '.example.com') end as address, case when event_type = 'purchase' and event_id % 3 = 0 then event_id * 4 + 1 end as draft_id,
         case when event_type in ('click', 'error') then max(case when event_type = 'purchase' then event_id end) {_BEFORE}
         when event_type = 'signup' and event_id % 2 = 0 then max(case when event_type = 'error' then event_id end) {_BEFORE} end as reverses from events""",
     "suppression": "select c_custkey as uid from customer where c_acctbal < -850",
@@ -33,10 +35,17 @@ RELATIONS: dict[str, str] = {
         from events where value > 60 group by user_id""",
     "contacts": """select o_orderkey as id, o_custkey as uid, case when o_orderkey % 3 = 0 then null else concat('Person ', cast(o_custkey as varchar(20))) end as person,
         concat('Info@Site', cast(o_custkey % 400 as varchar(20)), '.example.com') as email, case o_orderkey % 4 when 0 then 'third_party' when 1 then 'seen' when 2 then 'generic' else 'constructed' end as email_kind
-        from orders where o_orderkey % 17 = 0""",
+        from orders where o_orderpriority = '2-HIGH'""",
     "drafts": """select o_orderkey as id, o_custkey as uid, o_orderdate as created_at, case o_orderkey % 5 when 0 then null when 1 then 'too long' else '' end as problems,
-        concat('f', cast(o_orderkey % 2 as varchar(9))) as frame_version from orders where o_orderkey % 19 = 0""",
-    "searches": "select o_orderkey as id, o_custkey as uid, o_orderdate as asked_at, o_orderkey % 3 as n_results, o_orderpriority as provider from orders where o_orderkey % 23 = 0",
+        concat('f', cast(o_orderkey % 2 as varchar(9))) as frame_version from orders where o_orderpriority = '3-MEDIUM'""",
+    "searches": "select o_orderkey as id, o_custkey as uid, o_orderdate as asked_at, o_orderkey % 3 as n_results, o_orderstatus as provider from orders where o_orderpriority = '4-NOT SPECIFIED'",
+    "sites": "select page_id + 1 as uid, url from pages",
+    "profiles": "select s_suppkey as uid, concat('https://ch.linkedin.com/in/', s_name, '/') as profile from supplier",
+    "progress": "select o_custkey as uid, o_orderstatus as step from orders where o_orderpriority = '5-LOW'",
+    "runs": f"select {_RUN} as run_id, min(o_orderstatus) as goal, min(case when o_orderstatus = 'F' then o_orderpriority end) as criteria, min(o_orderdate) as started_at from orders group by 1",
+    "requests": """select o_orderkey as id, o_custkey as uid, case o_orderkey % 9 when 0 then 'send' when 1 then 'address' when 2 then 'salutation' when 3 then 'skip' when 4 then 'never' when 5 then 'undo' when 6 then 'not_sent' when 7 then 'bounced' else 'dance' end as action,
+        case when o_orderstatus = 'P' then 'nothing' when o_orderkey % 9 = 1 then concat('Info@Site', cast(o_custkey % 400 as varchar(20)), '.example.com') when o_orderkey % 9 = 2 then 'Frau' when o_orderkey % 9 = 3 then 'not now' end as argument,
+        case when o_orderstatus = 'P' then 'x@y.example' else concat('Info@Site', cast(o_custkey % 400 as varchar(20)), '.example.com') end as to_address, o_orderpriority <> '5-LOW' as confirmed from orders""",
     "invites": """select concat('K', cast(conv_id as varchar(20))) as code, conv_id as uid, min(text) as person, max(turn) as n_notes from conversations where turn >= 0 group by conv_id""",
 }
 
