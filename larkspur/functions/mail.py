@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .drafts import LINK, PATTERNS
-from .text import FEMININE, MONTHS, parted_name
+from .drafts import PATTERNS, has_link
+from .text import FEMININE, MONTHS
 
 #: The words of the frame.
 WEEKDAYS = ("Sonntag", "Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag")
@@ -116,11 +116,10 @@ def body(name: Column, word: Column, kind: Column, source: Column, sentence: Col
 def frame_problems(written: Column, expected: Column, said: Column, sentence: Column, link: Column, subject_: Column, subject_expected: Column, fits: Column) -> Column:
     """What is wrong with the part of a mail that no model wrote, in order."""
     frame = F.replace(F.replace(written, sentence, F.lit("")), link, F.lit(""))
-    links = lambda x: x.rlike(LINK[0]) | x.rlike(LINK[1]) | x.rlike(LINK[2])
     urls = F.regexp_extract_all(written, F.lit(r"https?://\S+"), F.lit(0))
     rules = {
-        "other_url": (F.size(urls) != 1) | (F.get(urls, F.lit(0)) != link), "frame_changed": written != expected, "subject_changed": subject_ != subject_expected, "subject_link": subject_.rlike(PATTERNS["email"]) | links(subject_),
-        "address": frame.rlike(PATTERNS["email"]), "link": ~frame.rlike(PATTERNS["email"]) & links(frame), "placeholder": F.concat_ws("\n", subject_, frame).rlike(PATTERNS["placeholder"]), "eszett": said.contains("ß"),
+        "other_url": (F.size(urls) != 1) | (F.get(urls, F.lit(0)) != link), "frame_changed": written != expected, "subject_changed": subject_ != subject_expected, "subject_link": subject_.rlike(PATTERNS["email"]) | has_link(subject_),
+        "address": frame.rlike(PATTERNS["email"]), "link": ~frame.rlike(PATTERNS["email"]) & has_link(frame), "placeholder": F.concat_ws("\n", subject_, frame).rlike(PATTERNS["placeholder"]), "eszett": said.contains("ß"),
         "too_long": F.length(written) > BODY_CHARS, "mailto": ~fits,
     }
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in rules.items())))
@@ -135,9 +134,8 @@ def as_html(text: Column) -> Column:
     return F.concat(F.lit("<p>"), F.replace(F.replace(linked, F.lit("\n\n"), F.lit("</p><p>")), F.lit("\n"), F.lit("<br>")), F.lit("</p>"))
 
 
-def written_salutation(name: str, texts: Mapping[str, str], role: str | None) -> tuple[str, str] | None:
+def written_salutation(given: list[str], surname: str | None, texts: Mapping[str, str], role: str | None) -> tuple[str, str] | None:
     """Frau or Herr as the pages write it before this person, and whether before the full name; None where it might be somebody else's."""
-    _, given, surname = parted_name(name)
     if not surname:
         return None
     whole, last = r"\s+".join(map(re.escape, given)), re.escape(surname)
@@ -155,7 +153,7 @@ def written_salutation(name: str, texts: Mapping[str, str], role: str | None) ->
 
 
 @F.pandas_udf(T.StructType([T.StructField("word", T.StringType()), T.StructField("origin", T.StringType())]))
-def stated_salutation(name: pd.Series, text: pd.Series, role: pd.Series) -> pd.DataFrame:
-    """written_salutation for the text of all of a company's pages."""
-    found = [written_salutation(n or "", {"": t or ""}, r) or (None, None) for n, t, r in zip(name, text, role, strict=True)]
+def stated_salutation(given: pd.Series, surname: pd.Series, text: pd.Series, role: pd.Series) -> pd.DataFrame:
+    """written_salutation for the text of all of a company's pages. given and surname: of text.split_name."""
+    found = [written_salutation(list(g if g is not None else ()), n, {"": t or ""}, r) or (None, None) for g, n, t, r in zip(given, surname, text, role, strict=True)]
     return pd.DataFrame(found, columns=["word", "origin"])

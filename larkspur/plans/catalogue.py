@@ -438,13 +438,17 @@ def q_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalised("text").alias("normalised"))
 
 
-@_query()
+@_query(
+    """select c_custkey as uid, ['Dr.', 'Prof.', '', ''][c_custkey % 4 + 1] as title, array_to_string([['Anna'], ['Urs'], ['Hans', 'Peter'], []][c_custkey % 4 + 1] || case when c_custkey % 4 = 2 and c_custkey % 3 = 1 then ['Muster'] when c_custkey % 4 = 3 and c_custkey % 3 <> 0 then [['Muster'], ['Probe-Keller']][c_custkey % 3] when c_custkey % 4 = 3 then ['von'] else [] end, ' ') as given,
+    case when c_custkey % 4 = 3 and c_custkey % 3 = 0 then 'Arx' when c_custkey % 4 = 3 or c_custkey % 4 = 2 and c_custkey % 3 = 1 then null else ['von Arx', 'Muster', 'Probe-Keller'][c_custkey % 3 + 1] end as surname from customer"""
+)
 def q_split_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.expr("concat(element_at(array('Dr. Anna ', 'Prof. Urs ', 'Hans Peter ', ''), cast(c_custkey % 4 as int) + 1), element_at(array('von Arx', 'Muster', 'Probe-Keller'), cast(c_custkey % 3 as int) + 1))")
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("uid"), text.split_name(name).alias("name")).select("uid", "name.*")
+    found = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("uid"), text.split_name(name).alias("name"))
+    return found.select("uid", "name.title", F.array_join("name.given", " ").alias("given"), "name.surname")
 
 
-@_query()
+@_query("select conv_id, turn, 'Anna Muster' as name, 'Direktorin' as role, false as departed from conversations union all select conv_id, turn, upper(role[1]) || role[2:] || ' Probe', 'Mitglied', true from conversations")
 def q_parse_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     notice = F.expr("concat('Eingetragene Personen: Muster, Anna, von Bern, in Thun, Direktorin, mit Einzelunterschrift; Treu AG (CHE-100.000.0', cast(conv_id % 10 as string), '), Revisionsstelle. Ausgeschiedene Personen: Probe, ', initcap(role), ', Mitglied.')")
     found = F.explode(gazette.parse_persons(notice)).alias("p")

@@ -82,8 +82,8 @@ def test_normalised_folds(spark):
     ("full", "parts"),
     [("Prof. Dr. Urs Probe", ("Prof.", ["Urs"], "Probe")), ("Anna von Arx", ("", ["Anna"], "von Arx")), ("Hans Peter Muster", ("", ["Hans", "Peter", "Muster"], None)), ("Anna Maria Probe-Keller", ("", ["Anna", "Maria"], "Probe-Keller")), ("Reto Muster, dipl. Ing. FH", ("", ["Reto"], "Muster")), ("Reto", ("", ["Reto"], None)), ("", ("", [], None))],
 )
-def test_split_name(full, parts):
-    assert text.parted_name(full) == parts
+def test_split_name(spark, full, parts):
+    assert tuple(one(spark, text.split_name(F.col("x")), x=full)) == parts
 
 
 def test_salutation(spark):
@@ -132,10 +132,18 @@ def test_page_columns_take_nulls(spark):
     assert one(spark, html.decoded(F.encode(F.lit("é"), "ISO-8859-1"), F.lit("latin-1"))) == "é"
 
 
-def test_notices():
+def test_links_in_sentences(spark):
+    link = lambda x: one(spark, drafts.has_link(F.col("x")), x=x)
+    assert all(map(link, ["siehe https://a", "www.x", "bei Muster.CH gibt es", "auf shop.muster.berlin/x", "(muster.ch)", "hxxps überall", "muster [.] ch", "muster punkt ch", "muster.ch-seite"]))
+    assert not any(map(link, ["z.B. in St. Gallen", "Seit 1.5 Jahren", "Ein Satz. Noch einer", "Grüsse.Ihr", "punkt genau", "9.A"]))
+
+
+def test_notices(spark):
     said = "Eingetragene Personen neu oder mutierend: Muster, Anna, von Bern, in Thun, Direktorin, mit Einzelunterschrift [bisher: ohne]; Treu AG (CHE-100.000.001), Revisionsstelle. Ausgeschiedene Personen und erloschene Unterschriften: Probe Urs, Mitglied."
-    assert gazette.people(said) == [("Anna Muster", "Direktorin", False), ("Probe Urs", "Mitglied", True)]
-    assert gazette.people("Signature individuelle est conférée à X.") == []
+    people = lambda x: [tuple(p) for p in one(spark, gazette.parse_persons(F.col("x")), x=x)]
+    assert people(said) == [("Anna Muster", "Direktorin", False), ("Probe Urs", "Mitglied", True)]
+    assert people("Signature individuelle est conférée à X.") == [] and one(spark, gazette.parse_persons(F.col("x")), x=None) is None
+    assert people("Personnes radiées: Exemple, Léa, citoyenne de Berne, présidente. Neu eingetragene Person: Muster (früher Probe), Urs; Beispiel Jo, wohnhaft in Bern.") == [("Léa Exemple", "présidente", True), ("Beispiel Jo", "wohnhaft in Bern", False)]
 
 
 def test_sitemaps(spark):
@@ -157,6 +165,6 @@ def test_mail(spark):
     assert "(ohne Anmeldung, offen bis Freitag, 30. Oktober):" in out[0].body and "wachsen. Gruss.\n\n" in out[0].body and out[0].subject == "Für Herrn Dr. Probe: Masterarbeit an der HS"
     assert out[1].body.startswith("Zuhanden der Geschäftsleitung –") and "\n\nGuten Tag\n\n" in out[1].body and out[2].body.startswith("Guten Tag Anna Muster") and out[3].privacy is None
     assert one(spark, mail.as_html(F.col("x")), x="a & b\n\nhttps://s.ch/?c=1\nz") == '<p>a &amp; b</p><p><a href="https://s.ch/?c=1">https://s.ch/?c=1</a><br>z</p>'
-    assert mail.written_salutation("Anna Muster", {"u": "Fragen an Frau Anna Muster."}, None) == ("Frau", "page")
-    assert mail.written_salutation("Anna Muster", {"u": "1978 gründete Herr Muster die Firma. Heute führt Anna Muster sie."}, None) is None
-    assert mail.written_salutation("Urs Probe", {"u": "Herr Probe hilft."}, "Inhaberin") is None
+    assert mail.written_salutation(["Anna"], "Muster", {"u": "Fragen an Frau Anna Muster."}, None) == ("Frau", "page")
+    assert mail.written_salutation(["Anna"], "Muster", {"u": "1978 gründete Herr Muster die Firma. Heute führt Anna Muster sie."}, None) is None
+    assert mail.written_salutation(["Urs"], "Probe", {"u": "Herr Probe hilft."}, "Inhaberin") is None
