@@ -7,9 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ledger import current_decision, latest, logged_mails
+from .ledger import current_decision, latest, logged_mails, numbered
 
 Tables = Mapping[str, DataFrame]
+#: Cards that a task looks over together for the next one.
+STRETCH = 1000
 
 
 def answer() -> Column:
@@ -39,7 +41,7 @@ def run_progress(t: Tables, run_id: str) -> DataFrame:
 def in_order_of_work(progress: DataFrame) -> DataFrame:
     """Rows of run_progress with place: the newest batch first, in it what is running, waiting, failed, done, and then by name."""
     state = F.when(F.col("state") == "running", 0).when(F.col("state") == "waiting", 1).when(F.col("state") == "failed", 2).otherwise(3)
-    return progress.withColumn("place", F.row_number().over(Window.orderBy(F.col("batch_no").desc_nulls_last(), state, "name")))
+    return numbered(progress, {"batch": -F.coalesce("batch_no", F.lit(-1)), "state": state}, ["name"], "place")
 
 
 def runs_overview(results: DataFrame) -> DataFrame:
@@ -57,8 +59,8 @@ def cards(t: Tables, run_id: str) -> DataFrame:
     rows = t["results"].where(F.col("run_id") == run_id).join(t["seen"].select("uid", "batch_no"), "uid", "left").join(current_decision(t["ledger"]).select("uid", F.lit(True).alias("closed")), "uid", "left")
     kind = F.when(F.col("error_kind").isNotNull(), "error").otherwise(F.col("recommendation"))
     order = F.when(kind == "send", 0).when(kind == "hold", 1).when(kind == "skip", 2).otherwise(3)
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(order, F.col("batch_no").asc_nulls_last(), "uid"))
-    return rows.select(rank.alias("rank"), "uid", kind.alias("recommendation"), "batch_no", F.coalesce("closed", F.lit(False)).alias("closed"))
+    ranked = numbered(rows, {"order": order, "batch": F.coalesce("batch_no", F.lit(2_147_483_647))}, ["uid"], "rank")
+    return ranked.select("rank", "uid", kind.alias("recommendation"), "batch_no", F.coalesce("closed", F.lit(False)).alias("closed"))
 
 
 def stale_drafts(t: Tables, frame: str) -> DataFrame:
@@ -89,10 +91,14 @@ def address_blocks(contacts: DataFrame, suppression: DataFrame, ledger: DataFram
 
 def next_cards(cards: DataFrame) -> DataFrame:
     """For each card of cards(), the next one without a decision: the nearest after it, else the first of all; null if none waits."""
-    forward = Window.orderBy("rank").rowsBetween(1, Window.unboundedFollowing)
-    every = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    open_ = F.when(~F.col("closed"), F.col("uid"))
-    return cards.select("rank", "uid", F.coalesce(F.first(open_, True).over(forward), F.first(open_, True).over(every)).alias("next_uid"))
+    rows = cards.withColumn("_bucket", F.floor(F.col("rank") / STRETCH)).withColumn("_open", F.when(~F.col("closed"), F.col("uid")))
+    forward = Window.partitionBy("_bucket").orderBy("rank").rowsBetween(1, Window.unboundedFollowing)
+    firsts = rows.groupBy("_bucket").agg(F.min_by("_open", F.when(F.col("_open").isNotNull(), F.col("rank"))).alias("_first"))
+    later = Window.orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    every = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = firsts.select("_bucket", F.first("_first", True).over(later).alias("_later"), F.first("_first", True).over(every).alias("_any"))
+    found = rows.withColumn("_next", F.first("_open", True).over(forward)).join(F.broadcast(firsts), "_bucket")
+    return found.select("rank", "uid", F.coalesce("_next", "_later", "_any").alias("next_uid"))
 
 
 def companies_of_address(t: Tables, key: Column, wanted: str) -> DataFrame:

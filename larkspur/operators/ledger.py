@@ -81,9 +81,26 @@ def off_limits_because(companies: DataFrame, ledger: DataFrame, suppression: Dat
     return rows.select("uid", F.coalesce(*(F.when(F.col(c), c) for c in ("suppressed", "never", "contacted"))).alias("reason"))
 
 
+def numbered(rows: DataFrame, keys: dict[str, Column], order: list, name: str) -> DataFrame:
+    """rows with their number, from 1, in the order of keys (never null) and then of order.
+
+    Rows are numbered within their keys, and keys begin where those before them end, so no task gets all rows: only the counts meet in one.
+    """
+    rows = rows.withColumns({f"_key_{k}": c for k, c in keys.items()})
+    names = [f"_key_{k}" for k in keys]
+    before = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    begins = rows.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_begins", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    return rows.withColumn("_at", within).join(F.broadcast(begins), names).withColumn(name, F.col("_begins") + F.col("_at")).drop("_begins", "_at", *names)
+
+
 def append(ledger: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The ledger with the decisions of a known status, numbered on from its largest id, and the decisions that were refused."""
+    """The ledger with the decisions of a known status, numbered on from its largest id by time and company, and the decisions that were refused.
+
+    Guards on what a card allows are review.answered, whose rows come here.
+    """
     known = F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
-    last = ledger.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = decisions.where(known).withColumn("_n", F.row_number().over(Window.orderBy("decided_at", "uid"))).join(F.broadcast(last)).withColumn("id", F.col("last") + F.col("_n")).drop("last", "_n")
-    return ledger.unionByName(numbered, allowMissingColumns=True), decisions.where(~known)
+    last = ledger.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    new = numbered(decisions.where(known), {"day": F.coalesce(F.to_date("decided_at"), F.lit("0001-01-01").cast("date"))}, ["decided_at", "uid"], "_n")
+    new = new.join(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_n")).drop("_last", "_n")
+    return ledger.unionByName(new, allowMissingColumns=True), decisions.where(~known)

@@ -32,27 +32,39 @@ def replace_groups(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return table.join(new.select(keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def _versions(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """The versions at root, the oldest first, and whether each is whole."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(base)) if fs.exists(base) else []
+    return [(n, fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))) for n in names if n.startswith("version-")]
+
+
 def write_version(table: DataFrame, root: str) -> str:
-    """Writes a new version beside the others and then names it the current one: readers see the old or the new, never parts."""
-    path = f"{root}/version-{uuid.uuid4().hex}"
+    """Writes a new version beside the others, with the next number. It counts once it is whole, so a reader sees the version before or this one, and a crash leaves the one before."""
+    last = max((int(n.split("-")[1]) for n, _ in _versions(table.sparkSession, root)), default=0)
+    path = f"{root}/version-{last + 1:012d}-{uuid.uuid4().hex}"
     table.write.parquet(path)
-    spark = table.sparkSession
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
     return path
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{root}/current").first()["path"])
+    """The newest whole version."""
+    return spark.read.parquet(f"{root}/{[n for n, whole in _versions(spark, root) if whole][-1]}")
 
 
 def drop_old_versions(spark: SparkSession, root: str) -> int:
-    """Deletes all versions but the current one, as erased rows must be gone from the files too."""
-    current = spark.read.schema("path string").json(f"{root}/current").first()["path"]
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs, n = base.getFileSystem(spark._jsc.hadoopConfiguration()), 0
-    for status in fs.listStatus(base):
-        name = status.getPath().getName()
-        if name.startswith("version-") and not current.endswith(name):
-            fs.delete(status.getPath(), True)
-            n += 1
-    return n
+    """Deletes all versions but the current one, parts of versions too, as erased rows must be gone from the files; how many went."""
+    found = _versions(spark, root)
+    current = [n for n, whole in found if whole][-1]
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [n for n, _ in found if n != current]
+    for name in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
+    return len(gone)
+
+
+def snapshot(table: DataFrame, path: str) -> DataFrame:
+    """A copy to work on that later versions don't change, and whose changes don't reach the table."""
+    table.write.parquet(path)
+    return table.sparkSession.read.parquet(path)

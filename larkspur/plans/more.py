@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text, urls
 from ..operators import contacts, decisions, eligibility, ledger, lifecycle, report, retention, review, sites
 from ..sources.driver_tables import relations
+from . import run
 from .catalogue import _CURRENT, _FOLDS, _query, _with
 
 _KEY = ids.address_key
@@ -428,3 +429,46 @@ def q_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_next_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.next_cards(contacts.cards(relations(spark, sf_dir), "r1"))
+
+
+@_query(
+    """select c_nationkey as batch_no, '[' || string_agg('{"uid":' || c_custkey || ',"name":"' || c_name || '","purpose":"' || substr(repeat(c_mktsegment || ' ', 40), 1, 300) || '"}', ',' order by c_custkey) || ']' as data from customer group by 1"""
+)
+def q_prompt_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("batch_no"), F.col("c_custkey").alias("uid"), F.col("c_name").alias("name"), F.repeat(F.concat("c_mktsegment", F.lit(" ")), 40).alias("purpose"))
+    return run.prompt_data(rows)
+
+
+@_query(_with(("results",)) + "select run_id, uid, case when run_id = 'r1' and error_kind is not null then 'hold' else recommendation end as recommendation from results")
+def q_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relations(spark, sf_dir)["results"]
+    return run.retried(rows, "r1", lambda uids: uids.withColumn("recommendation", F.lit("hold"))).select("run_id", "uid", "recommendation")
+
+
+_DECISIONS = "select o_custkey as uid, o_orderdate as decided_at, case max(o_orderstatus) when 'F' then 'sent' when 'O' then 'skipped' else 'dance' end as status from {orders} group by 1, 2"
+
+
+@_query(
+    _with(("ledger",))
+    + f"select id, uid, status from ledger union all select (select max(id) from ledger) + row_number() over (order by decided_at, uid), uid, status from ({_DECISIONS.replace('{orders}', 'orders')}) d where status <> 'dance'"
+)
+def q_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = spark.sql(_DECISIONS, orders=_table(spark, sf_dir, "orders"))
+    return ledger.append(relations(spark, sf_dir)["ledger"], new)[0].select("id", "uid", "status")
+
+
+@_query(f"select page_id, {_URL_HOST} as host, 'https://' || {_URL_HOST} || '/a' as links, '## Impressum' || chr(10) || 'Ein Satz' || chr(10) || chr(10) || '## Start' || chr(10) || 'kurz' as said from pages where {_URL_HOST} <> ''")
+def q_page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = urls.host(F.col("url"))
+    links = F.array(F.concat(F.lit("https://"), host, F.lit("/a#x")), F.lit("https://else.example/b"), F.concat(F.lit("https://"), host, F.lit("/a/")), F.lit("mailto:x"))
+    said = sites.prompt_text({"Impressum": F.lit("Ein Satz mit Worten"), "Kontakt": F.lit(" "), "Start": F.lit("kurz")}, 12)
+    return _table(spark, sf_dir, "pages").where(host != "").select("page_id", host.alias("host"), F.array_join(sites.harvested_links(links, F.col("url")), " ").alias("links"), said.alias("said"))
+
+
+@_query("select c_custkey as uid, 'https://f' || c_custkey || '.ch/' || case when c_nationkey % 3 = 0 then 'impressum' else 'contact' end as url from customer where c_nationkey % 3 <> 2")
+def q_fallback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").withColumn("root", F.concat(F.lit("https://f"), F.col("c_custkey").cast("string"), F.lit(".ch/")))
+    nation = F.col("c_nationkey")
+    there = F.when(nation % 3 == 0, F.array(F.lit("about"), F.lit("impressum"))).when(nation % 3 == 1, F.array(F.lit("contact"))).otherwise(F.array().cast("array<string>"))
+    pages = rows.select("root", F.explode(there).alias("path"), F.lit("Text").alias("text")).unionByName(rows.select("root", F.lit("kontakt").alias("path"), F.lit(" ").alias("text")))
+    return sites.fallback_pages(rows.select(F.col("c_custkey").alias("uid"), "root"), pages.select(F.concat("root", "path").alias("url"), "text"))

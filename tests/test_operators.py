@@ -155,8 +155,25 @@ def test_stale_needs_age_and_no_decision(spark):
     t = {
         "contacts": spark.createDataFrame([(u,) for u in (1, 2, 3, 4)], "uid long"), "drafts": spark.createDataFrame([(4, day(2026, 1, 1))], "uid long, created_at timestamp"),
         "searches": spark.createDataFrame([], "uid long, asked_at timestamp"), "seen": spark.createDataFrame([(1, day(2025, 1, 1)), (2, day(2026, 1, 1))], "uid long, drawn_at timestamp"), "ledger": rows(spark, (1, 3, "sent", None)),
+        "profiles": spark.createDataFrame([(5,)], "uid long"), "sites": spark.createDataFrame([(2, "https://www.muster.ch/x")], "uid long, url string"),
     }
-    assert {r.uid for r in retention.stale(t, datetime.date(2025, 6, 1)).collect()} == {1}
+    assert {r.uid for r in retention.stale(t, datetime.date(2025, 6, 1)).collect()} == {1, 5}
+
+
+def test_erasing_takes_the_pages_of_own_sites_only(spark):
+    t = {n: spark.createDataFrame([(1,), (2,)], "uid long") for n in ("drafts", "searches", "responses", "progress")}
+    t |= {
+        "contacts": spark.createDataFrame([(1, "a@gmail.com", "third_party"), (1, "info@neu.ch", "generic"), (2, "b@x.ch", "seen")], "uid long, email string, email_kind string"), "sites": spark.createDataFrame([(1, "https://www.muster.ch/")], "uid long, url string"),
+        "profiles": spark.createDataFrame([(2, "p")], "uid long, profile string"), "results": spark.createDataFrame([(1, "why"), (2, "why")], "uid long, reason string"),
+        "ledger": spark.createDataFrame([(1, 1, "For Anna", "a@b.ch"), (2, 2, "For Urs", "u@b.ch")], "id long, uid long, subject string, address string"),
+        "pages": spark.createDataFrame([("https://shop.muster.ch/a",), ("https://gmail.com/x",), ("https://neu.ch/b",), ("https://x.ch/",), (None,)], "url string"),
+    }
+    gone = spark.createDataFrame([(1,)], "uid long")
+    left = retention.erase(t, gone, "forgotten")
+    assert {r.url for r in left["pages"].collect()} == {"https://gmail.com/x", "https://x.ch/", None} and {r.uid for r in left["contacts"].collect()} == {2}
+    assert {(r.uid, r.reason) for r in left["results"].collect()} == {(1, "forgotten"), (2, "why")} and {(r.subject, r.address) for r in left["ledger"].collect()} == {(None, None), ("For Urs", "u@b.ch")}
+    assert {r.address for r in retention.erase(t, gone, clear_addresses=False)["ledger"].collect()} == {"a@b.ch", "u@b.ch"}
+    assert {r.table_name: r.n for r in retention.erase_plan(t, gone).collect()} == {"contacts": 2, "drafts": 1, "profiles": 0, "sites": 1, "searches": 1, "responses": 1, "progress": 1, "pages": 2}
 
 
 def test_streamed_decisions_match_the_batch(spark, tmp_path):

@@ -99,10 +99,11 @@ def test_providers_fail_row_by_row(spark):
     assert found == {"1": ("OK", None), "2": (None, "ValueError")}
 
 
-def test_run_loop_stops_at_its_target(spark):
+def test_run_loop_stops_at_its_target(spark, tmp_path):
+    told = []
     enrich = lambda uids: uids.select("uid", F.lit("send").alias("recommendation"), F.lit(None).cast("string").alias("error_kind"))
-    t = run.run_batches(pool(spark), SETTING, "r", enrich, target=2, size=1, most=5, seed="s")
-    assert {r.uid for r in t["results"].collect()} == {1, 4} and {(r.uid, r.batch_no) for r in t["seen"].collect()} == {(1, 1), (4, 2)}
+    t = run.run_batches(pool(spark), SETTING, "r", enrich, target=2, size=1, most=5, seed="s", root=f"file://{tmp_path}", done=lambda k, r: told.append((k, r.count())))
+    assert {r.uid for r in t["results"].collect()} == {1, 4} and {(r.uid, r.batch_no) for r in t["seen"].collect()} == {(1, 1), (4, 2)} and told == [(1, 1), (2, 1)]
 
 
 def test_streamed_answers_in_time(spark, tmp_path):
