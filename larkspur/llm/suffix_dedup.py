@@ -304,10 +304,11 @@ def repeated_runs(runs: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     """SPANS, which may overlap, of the bytes of docs (doc_id, each once; text) that strings of length bytes cover that are found earlier."""
     found = staged(anchors(docs, length), "anchors")
-    again = found.groupBy("anchor").agg(F.count("*").alias("all")).where(F.col("all") > 1)
+    again = staged(found.groupBy("anchor").agg(F.count("*").alias("all")).where(F.col("all") > 1), "anchors_counted")  # a table of its own, so that Spark may split the join at hot anchors
     per_doc = found.join(again, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("low", "anchor", "size", "offset", (F.col("all") > hot).alias("hot"))).alias("found"))
     per_doc = staged(per_doc, "anchors_again")
     drop_staged(found)
+    drop_staged(again)
     met = staged(members(docs.join(per_doc, "doc_id"), length), "members")
     drop_staged(per_doc)
     strings = met.where("kind = 2").select("bytes", "doc_id", "begin")
