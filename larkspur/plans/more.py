@@ -7,8 +7,9 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, text, urls
-from ..operators import contacts, decisions, eligibility, ledger, lifecycle, report, retention, review, sites
+from ..functions import html, ids, mail, text, urls
+from ..operators import candidates, contacts, decisions, eligibility, ledger, lifecycle, report, retention, review, sites
+from ..sources import files
 from ..sources.driver_tables import relations
 from . import run
 from .catalogue import _CURRENT, _FOLDS, _query, _with
@@ -472,3 +473,69 @@ def q_fallback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = F.when(nation % 3 == 0, F.array(F.lit("about"), F.lit("impressum"))).when(nation % 3 == 1, F.array(F.lit("contact"))).otherwise(F.array().cast("array<string>"))
     pages = rows.select("root", F.explode(there).alias("path"), F.lit("Text").alias("text")).unionByName(rows.select("root", F.lit("kontakt").alias("path"), F.lit(" ").alias("text")))
     return sites.fallback_pages(rows.select(F.col("c_custkey").alias("uid"), "root"), pages.select(F.concat("root", "path").alias("url"), "text"))
+
+
+_PAGE = """concat('<html><head><title>T</title><script type="application/ld+json">{"@graph": [{"@type": "Organization", "legalName": "Muster ', k, ' AG", "address": {"postalCode": "3000"}}]}</script><style>p { color: red }</style></head><body>',
+    '<nav><a href="/impressum">Recht</a><a href="https://else.ch/impressum">x</a><a href="/team">Wir</a></nav><p>Hallo <b>Welt</b> ', k, '</p><a href="mailto:anna', k, '%40muster.ch?subject=x">Mail</a> <span data-cfemail="422302206c212a"></span><footer>Musterweg ', k, '</footer></body></html>')"""
+
+
+@_query(
+    """select c_custkey as uid, 'anna' || c_custkey || '@muster.ch' || chr(10) || 'T' || chr(10) || 'RechtxWir' || chr(10) || 'Hallo Welt ' || c_custkey || chr(10) || 'Mail a@b.ch' || chr(10) || 'Musterweg ' || c_custkey as said,
+    'https://www.muster.ch/impressum' as imprint, 'https://www.muster.ch/team' as about, 'Name: Muster ' || c_custkey || ' AG | Address: 3000' as organisation from customer"""
+)
+def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_custkey").cast("string").alias("k")).withColumn("html", F.expr(_PAGE)).withColumn("base", F.lit("https://www.muster.ch/"))
+    rows = rows.select("uid", html.textify("html").alias("said"), html.find_links("html", "base").alias("l"), html.schema_org("html").alias("organisation"))
+    return rows.select("uid", "said", F.array_join("l.imprint", " ").alias("imprint"), F.array_join("l.about", " ").alias("about"), "organisation")
+
+
+@_query("select c_custkey as uid, 'strasse fin ' || lower(c_name) as folded, 'info@xn--mller-kva.ch' as address, '<p>' || c_name || ' &amp; &lt;b&gt;</p><p>x<br><a href=\"https://s.ch/?c=1\">https://s.ch/?c=1</a></p>' as html from customer")
+def q_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").withColumn("said", F.concat(F.lit(" Straße \t \ufb01N  "), "c_name", F.lit(" "))).withColumn("mail", F.lit(" Info@Müller.ch "))
+    written = F.concat("c_name", F.lit(" & <b>\n\nx\nhttps://s.ch/?c=1"))
+    return rows.select(F.col("c_custkey").alias("uid"), text.normalised("said").alias("folded"), text.address_key("mail").alias("address"), mail.as_html(written).alias("html"))
+
+
+@_query(
+    """select c_custkey as uid, case c_nationkey % 3 when 0 then 'Frau' when 1 then null else 'Frau' end as word, case c_nationkey % 3 when 0 then 'page' when 1 then null else 'page-surname' end as origin,
+    c_nationkey % 7 < 5 as unsafe from customer"""
+)
+def q_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.col("c_nationkey")
+    said = F.when(nation % 3 == 0, "Fragen an Frau Anna Muster.").when(nation % 3 == 1, "Heute führt Anna Muster die Firma von Herr Muster.").otherwise("Ihre Frau Muster")
+    host = F.element_at(F.array(*map(F.lit, ("127.0.0.1", "localhost", "10.1.2.3", "192.168.0.1", "[::1]", "muster.ch", "8.8.8.8"))), (nation % 7 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "customer").withColumns({"given": F.array(F.lit("Anna")), "surname": F.lit("Muster"), "said": said, "role": F.lit(None).cast("string"), "unsafe": files.unsafe_address(host)})
+    return rows.withColumn("s", mail.stated_salutation("given", "surname", "said", "role")).select(F.col("c_custkey").alias("uid"), "s.word", "s.origin", "unsafe")
+
+
+@_query(
+    """select c_custkey as uid, case when c_nationkey % 2 = 0 then 'anna muster:' || case when c_nationkey % 4 = 0 then 'anna@muster.ch:false' else 'a@else.ch:true' end else '' end as people,
+    case c_nationkey % 3 when 0 then 'own' when 1 then 'offsite' else 'inbox' end as choice from customer"""
+)
+def q_checked_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.col("c_nationkey")
+    page = F.when(nation % 2 == 0, "anna muster, leiterin, anna@muster.ch, a@else.ch logo@2x.png").otherwise("niemand hier")
+    person = F.struct(F.lit("anna muster").alias("name"), F.lit("leiterin").alias("role"), F.when(nation % 4 == 0, "anna@muster.ch").otherwise("a@else.ch").alias("email"))
+    ghost = F.struct(F.lit("urs probe").alias("name"), F.lit("chef").alias("role"), F.lit("logo@2x.png").alias("email"))
+    found = decisions.checked_people(F.array(person, ghost), page, F.lit("muster ag"), F.lit("muster.ch"))
+    none = F.lit(None).cast("string")
+    choice = decisions.contact_choice(F.when(nation % 3 == 0, "own"), none, F.when(nation % 3 == 1, "offsite"), none, none, F.lit("inbox"), F.lit("lead"))
+    told = F.transform(found, lambda p: F.concat(p["name"], F.lit(":"), p["email"], F.lit(":"), p["offsite"].cast("string")))
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.array_join(told, " ").alias("people"), choice.alias("choice"))
+
+
+@_query("select o_custkey as uid, kind, min(o_orderkey) as pos from (select *, case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 when '3-MEDIUM' then 2 end as kind from orders) x where kind is not null group by 1, 2")
+def q_first_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).when(F.col("o_orderpriority") == "3-MEDIUM", 2)
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("url"), kind.alias("kind"))
+    return candidates.first_of_kind(rows, ["uid"]).select("uid", "kind", F.col("url").cast("long").alias("pos"))
+
+
+@_query("select c_custkey as uid, c_nationkey % 2 = 0 as shell, case when c_nationkey % 2 = 0 then 'muster.ch' end as inbox_domain, c_nationkey % 2 = 1 as blocked, 'Hans & Söhne' as short, 'hans-soehne.ch' as guessed from customer")
+def q_page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("c_nationkey") % 2 == 0
+    page = F.when(even, '<div id="root"></div>').otherwise("<div>Text</div>")
+    url = F.when(even, "https://www.muster.ch/x").otherwise("https://muster.jimdofree.com/")
+    rows = _table(spark, sf_dir, "customer")
+    guessed = F.get(F.filter(ids.guessed_domains(F.lit("Hans & Söhne")), lambda d: d.contains("-")), F.lit(0))
+    return rows.select(F.col("c_custkey").alias("uid"), text.needs_javascript(page, F.lit("kurz")).alias("shell"), urls.inbox_domain(url).alias("inbox_domain"), urls.is_blocked(url, ["muster.jimdofree.com"]).alias("blocked"), text.without_legal_form(F.lit("Hans & Söhne AG in Liquidation")).alias("short"), guessed.alias("guessed"))

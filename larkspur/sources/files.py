@@ -94,11 +94,12 @@ def settled_answers(searches: DataFrame, providers: list[str], baseline: list[st
 
 
 def unsafe_address(host: Column) -> Column:
-    """Whether a literal IPv4 host is private, loopback, link-local, multicast or reserved."""
+    """Whether a host is this machine, or a literal address that is private, loopback, link-local, multicast or reserved."""
     part = lambda k: F.try_element_at(F.split(host, r"\."), F.lit(k)).try_cast("int")
     a, b = part(1), part(2)
     bad = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
-    return (host == "localhost") | (host.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") & F.coalesce(bad, F.lit(True)))
+    six = F.lower(host).rlike(r"^\[(?:::1?|::ffff:.*|f[c-f][0-9a-f]{2}:.*)\]$")
+    return (host == "localhost") | six | (host.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") & F.coalesce(bad, F.lit(True)))
 
 
 def still_named(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
