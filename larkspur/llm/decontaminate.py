@@ -114,10 +114,11 @@ def sound_windows(pairs: DataFrame) -> DataFrame:
     torn = lambda c: F.array_distinct(F.filter(F.zip_with(c, F.slice(c, 2, _ALL), lambda x, y: F.when(x["k"] == y["k"], x["k"])), lambda x: x.isNotNull()))
     made = made.withColumn("_odd", F.struct(torn("_a").alias("a"), torn("_b").alias("b")))  # one column used twice, so that it isn't worked out anew in each place
     odd = lambda x: x["slot"].isNotNull() & (F.array_contains("_odd.a", x["a"]) | F.array_contains("_odd.b", F.coalesce(x["b"], F.lit(""))))
-    fits = lambda x: (x["same"] | F.coalesce(x["alike"], F.lit(False))) & ~odd(x)
-    made = made.withColumn("_fit", F.transform("_at", lambda x: F.struct(fits(x).alias("fits"), x["same"].alias("same"), (x["same"] & ~F.coalesce(x["slot"].isin(NUMBER, UNIT), F.lit(False))).alias("word"))))
-    part = lambda i: F.slice("_fit", i, F.col("size"))
-    holds = lambda i: F.forall(part(i), lambda x: x["fits"]) & (F.forall(part(i), lambda x: x["same"]) | (F.size(F.filter(part(i), lambda x: x["word"])) >= least_words(F.col("size"))))
+    # a letter for each place: W the same word, V the same value, P another value, X neither or at odds
+    letter = lambda x: F.when(odd(x), "X").when(x["same"] & F.coalesce(x["slot"].isin(NUMBER, UNIT), F.lit(False)), "V").when(x["same"], "W").when(F.coalesce(x["alike"], F.lit(False)), "P").otherwise("X")
+    made = made.withColumn("_fit", F.array_join(F.transform("_at", letter), ""))
+    part = lambda i: F.substr("_fit", i, F.col("size"))
+    holds = lambda i: ~part(i).contains("X") & (~part(i).contains("P") | (F.length(F.translate(part(i), "VP", "")) >= least_words(F.col("size"))))
     places = F.sequence(F.lit(1), F.size("item_tokens") - F.col("size") + 1)
     made = made.withColumn("n_windows", F.size(F.filter(places, holds)).cast("long"))
     changed = F.exists("_at", lambda x: F.coalesce(x["alike"], F.lit(False)) & ~x["same"])
@@ -156,6 +157,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float
     texts = docs.join(likely.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]).select("doc_id", "version", tokens().alias("doc_tokens"))
     both = likely.join(texts, ["doc_id", "version"]).join(known.select("item_id", "item", "size", F.col("tokens").alias("item_tokens")), ["item_id", "item"])
     beside = F.transform("item_tokens", lambda t, i: F.get("doc_tokens", i + F.col("shift")))
-    told = sound_windows(both.withColumn("doc_tokens", beside)).where(enough("n_windows", share, run))
-    best = F.max_by(F.struct("n_windows", F.col("n_item_windows").cast("long").alias("n_item_windows")), F.col("n_windows")).alias("best")
-    return told.groupBy("doc_id", "item_id").agg(best, F.min("changed").alias("reparameterised")).select("doc_id", "item_id", "best.*", "reparameterised")
+    told = sound_windows(both.withColumn("doc_tokens", beside))
+    fits = enough("n_windows", share, run)  # asked of sums, not as a filter, which Spark would work out anew below the join
+    best = F.max(F.when(fits, F.struct("n_windows", F.col("n_item_windows").cast("long").alias("n_item_windows")))).alias("best")
+    found = told.groupBy("doc_id", "item_id").agg(best, F.min(F.when(fits, F.col("changed"))).alias("reparameterised"))
+    return found.where("best is not null").select("doc_id", "item_id", "best.*", "reparameterised")
