@@ -125,3 +125,9 @@ def municipality_ids(values: Column) -> Column:
     """The numbers in an array of texts with commas, each once, in order; null if a part isn't a number."""
     parts = F.flatten(F.transform(values, lambda v: F.transform(F.split(v, ","), lambda x: F.trim(x))))
     return F.when(F.forall(parts, lambda p: p.rlike("^[0-9]+$")), F.array_distinct(parts))
+
+
+def outlook(base: str, to: Column, subject: Column, body: Column, most: int = 2000) -> Column:
+    """A link to a web mailer's compose page and whether it fits."""
+    link = F.concat(F.lit(base + ("&" if "?" in base else "?") + "to="), percent_encoded(to), F.lit("&subject="), percent_encoded(subject), F.lit("&body="), percent_encoded(body))
+    return F.struct(link.alias("link"), (F.length(link) < most).alias("fits"))

@@ -117,3 +117,52 @@ def redraft_candidates(t: Tables, run_id: str, frame: str) -> DataFrame:
     open_ = t["results"].where((F.col("run_id") == run_id) & (F.col("recommendation") == "send")).select("uid")
     open_ = open_.join(current_decision(t["ledger"]).select("uid"), "uid", "left_anti").join(t["suppression"].select("uid"), "uid", "left_anti")
     return open_.join(latest(t["drafts"]).select("uid", F.lit(True).alias("there")), "uid", "left").join(stale_drafts(t, frame), "uid", "left").where("there is null or why is not null").select("uid", F.coalesce("why", F.lit("none")).alias("why"))
+
+
+def with_addresses(contacts: DataFrame) -> DataFrame:
+    """contacts with addresses as an array of email and kind; rows from before there were several have their one address in it."""
+    single = F.when(F.col("email").isNotNull(), F.array(F.struct("email", F.col("email_kind").alias("kind")))).otherwise(F.array().cast("array<struct<email:string,kind:string>>"))
+    return contacts.withColumn("addresses", F.coalesce("addresses", single) if "addresses" in contacts.columns else single)
+
+
+def companies_offering(contacts: DataFrame, wanted: str) -> DataFrame:
+    """Companies any of whose offered addresses (array of email and kind) is the wanted one."""
+    from ..functions.ids import address_key
+
+    return contacts.where(F.exists("addresses", lambda a: address_key(a["email"]) == wanted)).select("uid").distinct()
+
+
+def draft_staleness(drafts: DataFrame, contacts: DataFrame, frame: str) -> DataFrame:
+    """uid and why of each company's latest draft (id, uid, frame_version, problems, contact_id, link, expected_link, fails), the first reason that holds; null if it may be sent.
+
+    contacts: the companies to look at; one without a draft has none. A draft for another contact than the newest, with another link than today's, or that today's rules refuse, is stale.
+    """
+    newest = latest(contacts).select("uid", F.col("id").alias("_contact"))
+    rows = newest.join(latest(drafts), "uid", "left")
+    reasons = {
+        "none": F.col("id").isNull(), "old frame": F.col("frame_version") != frame, "unchecked": F.col("problems").isNull(), "failed": F.col("problems") != "",
+        "other contact": ~F.col("contact_id").eqNullSafe(F.col("_contact")), "other link": ~F.col("link").eqNullSafe(F.col("expected_link")), "fails now": F.col("fails"),
+    }
+    return rows.select("uid", F.coalesce(*(F.when(c, F.lit(k)) for k, c in reasons.items())).alias("why"))
+
+
+def run_steps(t: Tables, run_id: str) -> DataFrame:
+    """Rows of run_progress with the last step that a company of the run reported; the run is part of that join too."""
+    steps = t["progress"].where(F.col("run_id") == run_id).groupBy("uid").agg(F.max("step").alias("step"))
+    return run_progress(t, run_id).join(steps, "uid", "left")
+
+
+def row_of(table: DataFrame, **keys: object) -> DataFrame:
+    """The rows of a table with these keys; null is a key like any other."""
+    for column, value in keys.items():
+        table = table.where(F.col(column).eqNullSafe(F.lit(value)))
+    return table
+
+
+def codes_of_profile(invites: DataFrame, key: Column, wanted: str) -> DataFrame:
+    """Codes of links whose profile is the wanted one. key: of invites' rows."""
+    return invites.where(key == wanted).select("code").distinct()
+
+
+def names_of_codes(invites: DataFrame, codes: DataFrame) -> DataFrame:
+    return invites.join(codes.select("code"), "code", "left_semi").where("person is not null").select("person").distinct()

@@ -100,3 +100,32 @@ def known_anywhere(tables: list[DataFrame], uid: int) -> DataFrame:
     """known: whether any table has a row of a company; a row of each at most is looked for."""
     one = reduce(DataFrame.union, (t.where(F.col("uid") == uid).select("uid").limit(1) for t in tables))
     return one.agg((F.count("*") > 0).alias("known"))
+
+
+def link_answers(invites: DataFrame, responses: DataFrame) -> DataFrame:
+    """How many personal links there are, were begun, and were completed."""
+    rows = invites.select("code", "uid").join(responses, "uid", "left")
+    return rows.agg(F.count("*").alias("links"), F.count_if(F.col("started_at").isNotNull()).alias("started"), F.count_if(F.col("completed_at").isNotNull()).alias("completed"))
+
+
+def screen_counts(companies: DataFrame) -> DataFrame:
+    """How many companies a screen keeps and drops."""
+    return companies.agg(F.count_if(F.col("screen_reason").isNull()).alias("kept"), F.count_if(F.col("screen_reason").isNotNull()).alias("dropped"))
+
+
+def moment(text: Column) -> Column:
+    """A time as a survey writes it, with or without seconds or a zone; null if it is none."""
+    return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss[XXX]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")))
+
+
+def tag(uid: Column, code: Column) -> Column:
+    """What an answer is filed under: the company's number if it has one, else the code in capitals."""
+    return F.coalesce(F.nullif(F.trim(uid), F.lit("")), F.nullif(F.upper(F.trim(code)), F.lit("")))
+
+
+def unresponsive(payload: Column) -> Column:
+    """The names, in small letters, of services that a search reports as silent: as pairs of name and reason, or as bare names."""
+    field = F.get_json_object(payload, "$.unresponsive_engines")
+    pairs = F.transform(F.from_json(field, "array<array<string>>"), lambda p: F.get(p, F.lit(0)))
+    bare = F.from_json(field, "array<string>")
+    return F.array_distinct(F.transform(F.when(field.rlike(r"^\s*\[\s*\["), pairs).otherwise(F.coalesce(bare, F.array().cast("array<string>"))), F.lower))

@@ -539,3 +539,67 @@ def q_page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer")
     guessed = F.get(F.filter(ids.guessed_domains(F.lit("Hans & Söhne")), lambda d: d.contains("-")), F.lit(0))
     return rows.select(F.col("c_custkey").alias("uid"), text.needs_javascript(page, F.lit("kurz")).alias("shell"), urls.inbox_domain(url).alias("inbox_domain"), urls.is_blocked(url, ["muster.jimdofree.com"]).alias("blocked"), text.without_legal_form(F.lit("Hans & Söhne AG in Liquidation")).alias("short"), guessed.alias("guessed"))
+
+
+@_query(
+    _with(("contacts", "drafts"))
+    + """, c as (select * from (select uid, id, row_number() over (partition by uid order by id desc) as k from contacts) x where k = 1), d as (select * from (select *, row_number() over (partition by uid order by id desc) as k from drafts) x where k = 1)
+    select c.uid, case when d.id is null then 'none' when frame_version <> 'f1' then 'old frame' when problems is null then 'unchecked' when problems <> '' then 'failed' when d.id % 3 = 0 then 'other contact' when d.id % 4 = 1 then 'other link' when d.id % 4 = 2 then 'fails now' end as why from c left join d on d.uid = c.uid"""
+)
+def q_draft_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, at = relations(spark, sf_dir), F.col("id")
+    newest = ledger.latest(t["contacts"]).select("uid", at.alias("_newest"))
+    rows = t["drafts"].join(newest, "uid", "left").withColumns({"contact_id": F.when(at % 3 == 0, -1).otherwise(F.col("_newest")), "link": F.when(at % 4 == 1, "old").otherwise("new"), "expected_link": F.lit("new"), "fails": at % 4 == 2})
+    return contacts.draft_staleness(rows, t["contacts"], "f1")
+
+
+@_query(_with(("contacts",)) + "select distinct uid from contacts where lower(trim(email)) = 'info@site9.example.com' or uid % 100 = 3")
+def q_companies_offering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    several = F.when(F.col("uid") % 100 == 3, F.array(F.struct(F.lit("a@b.ch").alias("email"), F.lit("seen").alias("kind")), F.struct(F.lit(" INFO@site9.example.com").alias("email"), F.lit("generic").alias("kind"))))
+    rows = relations(spark, sf_dir)["contacts"].withColumn("addresses", several)
+    return contacts.companies_offering(contacts.with_addresses(rows), "info@site9.example.com")
+
+
+@_query(
+    _with(("seen", "results", "companies", "progress"))
+    + """, u as (select uid from seen where run_id = 'r1' union select uid from results where run_id = 'r1')
+    select c.uid, p.step from u join companies c on c.uid = u.uid left join (select uid, max(step) as step from progress where run_id = 'r1' group by uid) p on p.uid = u.uid"""
+)
+def q_run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts.run_steps(relations(spark, sf_dir), "r1").select("uid", "step")
+
+
+@_query(_with(("results",)) + "select run_id, uid, reason from results where uid = 7 and recommendation is null")
+def q_row_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts.row_of(relations(spark, sf_dir)["results"], uid=7, recommendation=None).select("run_id", "uid", "reason")
+
+
+@_query(_with(("invites",)) + "select distinct person from invites where person is not null and uid % 5 = 1")
+def q_names_of_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relations(spark, sf_dir)["invites"].withColumn("profile", F.when(F.col("uid") % 5 == 1, "https://www.linkedin.com/in/X/").otherwise("https://linkedin.com/in/y"))
+    return contacts.names_of_codes(rows, contacts.codes_of_profile(rows, ids.profile_key(F.col("profile")), "linkedin.com/in/x"))
+
+
+@_query(_with(("invites", "responses")) + "select count(*) as links, count(started_at) as started, count(completed_at) as completed from invites i left join responses r on r.uid = i.uid")
+def q_link_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = relations(spark, sf_dir)
+    return report.link_answers(t["invites"], t["responses"])
+
+
+@_query(_with(("companies",)) + "select count(*) filter (where screen_reason is null) as kept, count(*) filter (where screen_reason is not null) as dropped from companies")
+def q_screen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.screen_counts(relations(spark, sf_dir)["companies"])
+
+
+@_query(
+    """select o_orderkey, case o_orderkey % 4 when 0 then '2026-03-07 09:30' when 1 then '2026-03-07 09:30' when 2 then '2026-03-07 00:00' end as at, case when o_orderkey % 2 = 0 then 'CHE1' else 'AB' end as tag,
+    case o_orderkey % 3 when 0 then 'brave,bing' when 1 then 'bing' else '' end as silent, o_orderkey % 2 = 0 as there, 'https://o.example/c?a=1&to=a%40b.ch&subject=' || replace(o_orderpriority, ' ', '%20') || '&body=x%20y' as link from orders"""
+)
+def q_answer_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (key % len(xs) + 1).cast("int"))
+    silent = report.unresponsive(pick('{"unresponsive_engines": [["Brave", "timeout"], ["bing", "x"]]}', '{"unresponsive_engines": ["Bing"]}', '{"results": []}'))
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.date_format(report.moment(pick("2026-03-07 09:30:00", " 2026-03-07 09:30", "2026-03-07", "gestern")), "yyyy-MM-dd HH:mm").alias("at"), report.tag(pick("CHE1", " "), F.lit("ab ")).alias("tag"), F.array_join(silent, ",").alias("silent"),
+        text.appears_in(pick("anna", " "), F.lit("hallo anna muster")).alias("there"), ids.outlook("https://o.example/c?a=1", F.lit("a@b.ch"), F.col("o_orderpriority"), F.lit("x y"))["link"].alias("link"),
+    )
