@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .tokens import encoder
 
 JUMP = 1024
+#: What a range of documents should have at most, by Spark's estimate of their size, and what estimates of tables of unknown size exceed. Rows that share a doc_id fall apart by how their texts begin.
+RANGE_BYTES, UNKNOWN_BYTES = 256 << 20, 1 << 52
 SHARDS = "part int, shard int, before long, n_tokens long, base long, doc_ids array<long>, doc_tokens array<long>, symbols binary, rules binary, rule_tokens binary, jumps binary"
 RANGES = "part int, before long, doc_id long, n_tokens long, ids_crc32 long"
 _SHARD_FIELDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("symbols", "rules", "rule_tokens", "jumps"))])
@@ -194,8 +196,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, base: int
     itself as soon as it has shard_tokens ids, so a task holds one shard and one batch of texts.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES if size < UNKNOWN_BYTES else 0)
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange(parts, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     shards(ordered, tokenizer, end_id, base, shard_tokens).write.option("compression", "zstd").parquet(path)
 
 

@@ -49,6 +49,15 @@ def prose(n, seed=0):
     return [" ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + r.choice(["", "s", "ing", "."]) for _ in range(r.randint(1, 90))) for _ in range(n)]
 
 
+def test_link_graph_takes_long_pages_and_clashing_columns(spark):
+    """Very long pages, null and empty ones, relative links that carry an address, and columns named as those of the result."""
+    long = "<p>x</p>" * 200_000 + '<a href="https://bad.com/de/x">l</a>'
+    rows = [(1, "https://bad.com/de/a", "", "p", "r", "v", "h"), (2, "https://friend.net/", long, "p", "r", "v", "h"), (3, "https://other.net/", '<a href="/out?u=https://bad.com/de/x">l</a>', None, None, None, None), (4, None, None, "p", "r", "v", "h"), (4, None, None, "p", "r", "v", "h")]
+    found = link_graph.judge(spark.createDataFrame(rows, "page_id long, url string, html string, path string, rule string, verdict string, host string"))
+    said = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in found.collect())
+    assert [x[0] for x in said] == [1, 2, 3, 4, 4] and said[0][3:] == ("com/de/", "block") and said[1][4] == "block" and said[2][4] == "allow" and said[3] == (4, "", "", None, "allow")
+
+
 def library_ids(texts):
     return [np.asarray(x.ids, "<u4").tobytes() for x in encoder(BPE).library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
