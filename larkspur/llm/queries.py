@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, conversation_repair, decontaminate, link_graph, nbsvm, packing, quality_rules, secrets, simhash, suffix_dedup, token_files, toxicity
+from . import backoff_lm, collocations, conversation_repair, decontaminate, link_graph, nbsvm, packing, quality_rules, secrets, simhash, suffix_dedup, token_files, toxicity
 from .common import documents, remainder, staged_path
 
 
@@ -71,6 +71,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -82,9 +86,9 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality_rules, op2_secret_ledger, op3_suffix_dedup, op4_link_graph, op5_token_files, op6_decontamination, op7_quality_classifier, op8_language_model, op9_packing, op10_simhash, op12_toxicity, op13_conversation_repair, secret_ledger_rounds)
+    named = (op1_quality_rules, op2_secret_ledger, op3_suffix_dedup, op4_link_graph, op5_token_files, op6_decontamination, op7_quality_classifier, op8_language_model, op9_packing, op10_simhash, op11_collocations, op12_toxicity, op13_conversation_repair, secret_ledger_rounds)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_ledger": secrets.oracle(), "secret_ledger_rounds": secrets.oracle(), "op3_suffix_dedup": suffix_dedup.oracle()}
+    return {"op2_secret_ledger": secrets.oracle(), "secret_ledger_rounds": secrets.oracle(), "op3_suffix_dedup": suffix_dedup.oracle(), "op11_collocations": collocations.oracle()}
