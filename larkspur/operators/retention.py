@@ -6,10 +6,11 @@ import datetime
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, urls
+from . import commits
 
 Tables = Mapping[str, DataFrame]
 HELD = ("contacts", "profiles", "sites", "drafts", "searches")
@@ -62,6 +63,18 @@ def erase(t: Tables, uids: DataFrame, reason: str = "erased", clear_addresses: b
     return out
 
 
+def erase_stored(spark: SparkSession, root: str, uids: DataFrame, reason: str = "erased") -> commits.State:
+    """Erases companies from the tables stored at root in one commit, and puts their keys on the never-again list; then the older files go."""
+
+    def change(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        changed = {n: df for n, df in erase(t, uids, reason).items() if df is not t[n]}
+        return changed | {"suppression": suppress(t["suppression"], forgotten_keys(t, uids))}
+
+    out = commits.update(spark, root, change)
+    commits.forget_old(spark, root)
+    return out
+
+
 def erase_plan(t: Tables, uids: DataFrame) -> DataFrame:
     """table_name and n: how many rows of each table an erasure removes."""
     gone = uids.select("uid").distinct()
@@ -86,5 +99,14 @@ def held_facts(t: Tables, uids: DataFrame) -> DataFrame:
 
 
 def suppress(suppression: DataFrame, keys: DataFrame) -> DataFrame:
-    """The list with the new keys; those on it already stay as they are."""
-    return suppression.unionByName(keys.select("uid").distinct().join(suppression, "uid", "left_anti"), allowMissingColumns=True)
+    """The list (kind, key and what else it has, or uid) with the new keys (the same, or kind and key); those on it already stay as they are.
+
+    kind is uid, address or profile. A list by uid is read as one of kind uid, whose uid column stays.
+    """
+    if "key" not in keys.columns:
+        keys = keys.select(F.lit("uid").alias("kind"), F.col("uid").cast("string").alias("key"))
+    listed = suppression if "key" in suppression.columns else suppression.select("*", F.lit("uid").alias("kind"), F.col("uid").cast("string").alias("key"))
+    new = keys.select("kind", "key").distinct().join(listed, ["kind", "key"], "left_anti")
+    if "uid" in listed.columns:
+        new = new.withColumn("uid", F.when(F.col("kind") == "uid", F.col("key").try_cast(listed.schema["uid"].dataType)))
+    return listed.unionByName(new, allowMissingColumns=True)

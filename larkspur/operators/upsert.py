@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import commits
+
 
 def upsert(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace those of their keys. Of new rows that share keys the one with the greatest _order stays, if they have it."""
@@ -32,36 +32,22 @@ def replace_groups(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return table.join(new.select(keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def _versions(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
-    """The versions at root, the oldest first, and whether each is whole."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(base)) if fs.exists(base) else []
-    return [(n, fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))) for n in names if n.startswith("version-")]
-
-
-def write_version(table: DataFrame, root: str) -> str:
-    """Writes a new version beside the others, with the next number. It counts once it is whole, so a reader sees the version before or this one, and a crash leaves the one before."""
-    last = max((int(n.split("-")[1]) for n, _ in _versions(table.sparkSession, root)), default=0)
-    path = f"{root}/version-{last + 1:012d}-{uuid.uuid4().hex}"
-    table.write.parquet(path)
-    return path
+def write_version(table: DataFrame, root: str, base: commits.State | None = None) -> int:
+    """Commits a new version of a table that is alone at root; its number. base: the state that it was made from, if a commit since then is to be a Conflict."""
+    spark = table.sparkSession
+    if base is not None:
+        return commits.commit(spark, root, {"table": table}, base).number
+    return commits.update(spark, root, lambda _: {"table": table}).number
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The newest whole version."""
-    return spark.read.parquet(f"{root}/{[n for n, whole in _versions(spark, root) if whole][-1]}")
+    """The newest version."""
+    return commits.read(spark, root)["table"]
 
 
 def drop_old_versions(spark: SparkSession, root: str) -> int:
     """Deletes all versions but the current one, parts of versions too, as erased rows must be gone from the files; how many went."""
-    found = _versions(spark, root)
-    current = [n for n, whole in found if whole][-1]
-    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    gone = [n for n, _ in found if n != current]
-    for name in gone:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
-    return len(gone)
+    return commits.forget_old(spark, root)
 
 
 def snapshot(table: DataFrame, path: str) -> DataFrame:

@@ -110,7 +110,7 @@ def q_erase_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     _with(_TABLES)
     + f"""select 'uid' as kind, cast(uid as varchar) as key from suppression union select 'address', lower(trim(address)) from ledger where status = 'sent' and address is not null and {_GONE}
-    union select 'profile', 'linkedin.com/in/' || lower(replace(replace(profile, 'https://ch.linkedin.com/in/', ''), '/', '')) from profiles where {_GONE}"""
+    union select 'profile', 'linkedin.com/in/' || lower(rtrim(regexp_replace(replace(profile, 'https://ch.linkedin.com/in/', ''), '[?#].*$', ''), '/')) from profiles where {_GONE}"""
 )
 def q_forgotten_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = relations(spark, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.eligibility import Setting, draw_batch
 from ..operators.upsert import upsert
+from ..sources import shared
 
 ANSWER = "key string, value string, error_kind string, error_text string"
 
@@ -52,25 +54,31 @@ def run_batches(tables: Mapping[str, DataFrame], setting: Setting, run_id: str,
     """The tables after batches 1, 2, ... of a run, until target results say send, the pool is dry or most batches are drawn.
 
     enrich: uids to results (uid, recommendation, error_kind, finished_at, needs_js). A batch on record is drawn as it was, and companies with a result in this run
-    are not worked on again, so a run that broke off goes on where it was. What a batch draws and finds is written under root, a folder
-    that driver and executors share, before the next is drawn: no answer is asked for twice. done gets each batch's number and results.
+    are not worked on again, so a run that broke off goes on where it was, be it with the tables it began from or with those it gave. What a batch draws and finds is written under root, a folder
+    that driver and executors share, before the next is drawn; what is there whole is read, never written again, so no answer of a finished batch is asked for twice. A batch that broke off half-way
+    is asked for anew. done gets each batch's number and results.
     """
     now, spark = dict(tables), tables["seen"].sparkSession
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{run_id}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{run_id}/{name}")
+    def kept(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        path = f"{root}/{run_id}/{name}"
+        if not shared.there(spark, f"{path}/_SUCCESS"):
+            shared.remove(spark, path)
+            make().write.parquet(path)
+        return spark.read.parquet(path)
+
+    def added(name: str, rows: DataFrame) -> None:
+        own = now[name].where(F.col("run_id") == run_id).select("uid")
+        now[name] = now[name].unionByName(rows.join(own, "uid", "left_anti").select(rows.columns), allowMissingColumns=True)
 
     for batch_no in range(1, most + 1):
-        batch = written(draw_batch(now, setting, run_id, batch_no, size, seed).select("uid"), f"batch-{batch_no}")
+        batch = kept(f"batch-{batch_no}", partial(lambda k: draw_batch(now, setting, run_id, k, size, seed).select("uid"), batch_no))
         if batch.isEmpty():
             break
-        there = now["seen"].where((F.col("run_id") == run_id) & (F.col("batch_no") == batch_no)).select("uid")
-        new = batch.join(there, "uid", "left_anti").select("uid", F.lit(run_id).alias("run_id"), F.lit(batch_no).alias("batch_no"))
-        now["seen"] = now["seen"].unionByName(written(new, f"seen-{batch_no}"), allowMissingColumns=True)
+        added("seen", batch.select("uid", F.lit(run_id).alias("run_id"), F.lit(batch_no).alias("batch_no")))
         left = batch.join(now["results"].where(F.col("run_id") == run_id).select("uid"), "uid", "left_anti")
-        results = written(enrich(left).withColumn("run_id", F.lit(run_id)), f"results-{batch_no}")
-        now["results"] = now["results"].unionByName(results, allowMissingColumns=True)
+        results = kept(f"results-{batch_no}", partial(lambda rows: enrich(rows).withColumn("run_id", F.lit(run_id)), left))
+        added("results", results)
         if done:
             done(batch_no, results)
         if now["results"].where((F.col("run_id") == run_id) & (F.col("recommendation") == "send")).count() >= target:

@@ -40,7 +40,7 @@ RELATIONS: dict[str, str] = {
         concat('f', cast(o_orderkey % 2 as varchar(9))) as frame_version from orders where o_orderpriority = '3-MEDIUM'""",
     "searches": "select o_orderkey as id, o_custkey as uid, o_orderdate as asked_at, o_orderkey % 3 as n_results, o_orderstatus as provider from orders where o_orderpriority = '4-NOT SPECIFIED'",
     "sites": "select page_id + 1 as uid, url from pages",
-    "profiles": "select s_suppkey as uid, concat('https://ch.linkedin.com/in/', s_name, '/') as profile from supplier",
+    "profiles": "select s_suppkey as uid, concat('https://ch.linkedin.com/in/', replace(s_name, '#', '-'), case s_suppkey % 3 when 0 then '/' when 1 then '/?trk=x' else '#about' end) as profile from supplier",
     "progress": f"select {_RUN} as run_id, o_custkey as uid, o_orderstatus as step from orders where o_orderpriority = '5-LOW'",
     "runs": f"select {_RUN} as run_id, min(o_orderstatus) as goal, min(case when o_orderstatus = 'F' then o_orderpriority end) as criteria, min(o_orderdate) as started_at from orders group by 1",
     "requests": """select o_orderkey as id, o_custkey as uid, case o_orderkey % 9 when 0 then 'send' when 1 then 'address' when 2 then 'salutation' when 3 then 'skip' when 4 then 'never' when 5 then 'undo' when 6 then 'not_sent' when 7 then 'bounced' else 'dance' end as action,

@@ -113,3 +113,36 @@ def test_streamed_answers_in_time(spark, tmp_path):
     read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
     out = streams.run_to_end(streams.answers_in_time(read("m", "uid long, id long, sent_at timestamp"), read("r", "uid long, answered_at timestamp")), spark, "answers_now", f"{tmp_path}/ck", "append")
     assert {r.answered_at for r in out.collect()} == {at(2, 1), at(23)}
+
+
+def test_a_run_that_broke_off_asks_nothing_twice(spark, tmp_path):
+    asked, root = [], f"file://{tmp_path}"
+
+    def enrich(uids):
+        found = [r.uid for r in uids.collect()]
+        asked.extend(found)
+        return spark.createDataFrame([(u, "send", None, None, None) for u in found], "uid long, recommendation string, error_kind string, finished_at timestamp, needs_js int")
+
+    def go(tables, target):
+        t = run.run_batches(tables, SETTING, "r", enrich, target=target, size=1, most=5, seed="s", root=root)
+        return t, sorted((r.uid, r.recommendation) for r in t["results"].where("run_id = 'r'").collect())
+
+    tables, first = go(pool(spark), 1)
+    before = list(asked)
+    assert first and len(before) == len(set(before))
+    _, again = go(tables, 1)  # from the tables that it gave
+    assert again == first and asked == before
+    _, anew = go(pool(spark), 1)  # from those it began with
+    assert anew == first and asked == before
+    _, more = go(tables, 2)
+    assert set(first) < set(more) and len(asked) == len(set(asked)) > len(before)
+    _, all_anew = go(pool(spark), 2)
+    assert all_anew == more and len(asked) == len(set(asked))
+
+
+def test_a_batch_that_broke_off_is_made_whole(spark, tmp_path):
+    (tmp_path / "r" / "results-1").mkdir(parents=True)
+    (tmp_path / "r" / "results-1" / "part-0.parquet").write_bytes(b"half a file")
+    enrich = lambda uids: uids.select("uid", F.lit("send").alias("recommendation"), F.lit(None).cast("string").alias("error_kind"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("int").alias("needs_js"))
+    t = run.run_batches(pool(spark), SETTING, "r", enrich, target=1, size=1, most=5, seed="s", root=f"file://{tmp_path}")
+    assert t["results"].where("run_id = 'r' and recommendation = 'send'").count() == 1
