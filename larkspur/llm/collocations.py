@@ -24,8 +24,8 @@ DEPTH = 2
 #: Cells of a row of the sketch, as powers of two: for small tables, and at most, as each task counts in 4 bytes a cell and row.
 LEAST_BITS, MOST_BITS = 16, 24
 PIECE = 1 << 16
-#: Bytes of text that are worked on at once, and that a task of the first pass has at least, if there are more tasks than cores.
-WINDOW, SHARE = 1 << 22, 1 << 28
+#: Bytes of text that are worked on at once, bytes that a task has at least, if there are more tasks than cores, and rows of counts that a task holds to add them up.
+WINDOW, SHARE, HELD = 1 << 21, 1 << 28, 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9] = 32
@@ -199,11 +199,32 @@ def _strings(words: Words, at: np.ndarray, n: int) -> pa.Array:
     return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data[keep]))
 
 
-def count_survivors(docs: DataFrame, bit: list[np.ndarray], bits: int, window: int = WINDOW) -> DataFrame:
-    """lang, size, phrase and f (its occurrences) of the n-grams of docs (text, lang) whose cells are all set; with size 0, the words of each lang."""
+def count_survivors(docs: DataFrame, bit: list[np.ndarray], bits: int, window: int = WINDOW, held: int = HELD) -> DataFrame:
+    """lang, size, phrase and f (its occurrences) of the n-grams of docs (text, lang) whose cells are all set; with size 0, the words of each lang.
+
+    A task adds up what its windows give, and hands it on when that is over half of held rows, so that each n-gram is shuffled about once a task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in counted(batches):
+            waiting.append(batch)
+            n += batch.num_rows
+            if n > held:
+                waiting = added(waiting)
+                n = sum(b.num_rows for b in waiting)
+                if 2 * n > held:
+                    yield from waiting
+                    waiting, n = [], 0
+        yield from added(waiting) if waiting else []
+
+    def added(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        keys = ["lang", "size", "phrase"]
+        out = pa.Table.from_batches(batches).group_by(keys, use_threads=False).aggregate([("f", "sum")]).select([*keys, "f_sum"])
+        return out.rename_columns([*keys, "f"]).to_batches(max_chunksize=1 << 16)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value
         for texts, langs in _windows(batches, window):
             words, names, seeds = _read(texts, langs)
@@ -266,7 +287,7 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2000, bits: int | None =
 
     The sketch has four cells a row for each n-gram that could be frequent, by the bytes of all texts, up to 2^MOST_BITS: 128 MB in each task that counts, and 4 MB of bits, which are broadcast.
     Beyond some 400 million words it fills up: more survive it, down to none sifted out, and the exact counting has more to do. What is
-    found stays the same. A task of the first pass reads SHARE bytes, as each hands on a sketch.
+    found stays the same. A task reads SHARE bytes in either pass, as each hands on a sketch, and each n-gram that it has.
     """
     spark = docs.sparkSession
     texts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).where("text is not null")
@@ -274,7 +295,8 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2000, bits: int | None =
     if bits is None:
         bits = min(MOST_BITS, max(LEAST_BITS, (4 * LONGEST * size // (6 * least)).bit_length()))
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // SHARE))
-    bit = sketch(texts.coalesce(tasks), least, bits, window)
+    texts = texts.coalesce(tasks)
+    bit = sketch(texts, least, bits, window)
     counts = staged(count_survivors(texts, bit, bits, window).where((F.col("f") >= least) | (F.col("size") == 0)), "frequent")
     return scored(counts, most)
 

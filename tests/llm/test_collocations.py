@@ -74,6 +74,15 @@ def test_a_sketch_never_counts_too_little(spark):
             assert all(c[times >= 25].all() for c in cells)
 
 
+def test_counts_are_added_up_in_tasks(spark):
+    said = [(t or "", "en") for t, _ in rows(200, 9)]
+    docs = spark.createDataFrame(said, "text string, lang string").coalesce(1)
+    bit = [np.full(2, 255, np.uint8)] * 2
+    found = {held: sorted(tuple(r) for r in co.count_survivors(docs, bit, 4, 500, held).collect()) for held in (1, 700, co.HELD)}
+    assert found[1] == found[700] == found[co.HELD] and len(found[1]) > 1000
+    assert sum(f for _, size, _, f in found[1] if size == 1) == next(f for _, size, _, f in found[1] if size == 0)
+
+
 def test_numbers_tell_words_apart():
     words, _, _ = co._read([b"one two, one\tThree one. twos two", b"two"], ["en", "de"])
     said = [words.codes[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)]
