@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import site_search
+from ..operators import site_search, walks
 from ..sources import shared
 from .catalogue import _query
 
@@ -99,3 +99,32 @@ def q_search_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every customer as a company whose searches are recorded, with a second provider."""
     companies, out = outside(spark, sf_dir, second=True)
     return site_search.search(companies, out, shared.shared_folder(spark, "site_search")).select("uid", "site", "verdict", "reason")
+
+
+#: A customer's orders stand for the sitemaps of a site: the r-th has 2r and 2r + 1 nested, and the first again; every third lists the order's lines as pages instead.
+_MAPS = """select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) as r from orders"""
+_LIMIT = 1
+
+
+@_query(
+    f"""with recursive maps as ({_MAPS}),
+    walk(site, r) as (select o_custkey, r from maps where r = 1 union select m.o_custkey, m.r from walk w join maps m on m.o_custkey = w.site and m.r in (2 * w.r, 2 * w.r + 1, 1) where w.r % 3 <> 0),
+    met as (select w.site, w.r, m.o_orderkey, count(l_orderkey) as n from walk w join maps m on m.o_custkey = w.site and m.r = w.r left join lineitem on l_orderkey = m.o_orderkey and w.r % 3 = 0 group by all),
+    read_ as (select *, coalesce(sum(n) over (partition by site order by r rows between unbounded preceding and 1 preceding), 0) < {10 * _LIMIT} as ok from met),
+    pages_ as (select site, r, l_linenumber as c, l_partkey as d, 'part' || l_partkey as url from read_ join lineitem on l_orderkey = o_orderkey where ok and r % 3 = 0),
+    every_ as (select * from pages_ union all select c_custkey, -1, k, 0, 'home' || c_nationkey || '/' || k from customer cross join (select unnest([0, 1]) as k) x where c_custkey not in (select site from pages_)
+        union all select c_custkey, 1000000, 0, 0, cast(c_custkey as varchar) from customer)
+    select site, row_number() over (partition by site order by r, c, d) as n, url from every_"""
+)
+def q_sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of all customers as sites, by a walk through their sitemaps."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem", "customer")}
+    orders = spark.sql(_MAPS.replace("from orders", "from {orders}"), orders=t["orders"])
+    lines = t["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("part"), x["l_partkey"].cast("string"))).alias("pages"))
+    named = lambda r: F.concat("o_custkey", F.lit("/"), r)
+    leaf = F.col("r") % 3 == 0
+    none = F.array().cast("array<string>")
+    maps = orders.join(lines, "o_orderkey", "left").select(named(F.col("r")).alias("url"), F.when(leaf, F.coalesce("pages", none)).otherwise(none).alias("pages"), F.when(leaf, none).otherwise(F.array(named(2 * F.col("r")), named(2 * F.col("r") + 1), named(F.lit(1)))).alias("nested"))
+    sites = t["customer"].select(F.col("c_custkey").alias("site"), F.concat("c_custkey", F.lit("/1")).alias("start"))
+    homes = t["customer"].select(F.col("c_custkey").alias("site"), F.transform(F.array(F.lit("0"), F.lit("1")), lambda k: F.concat(F.lit("home"), F.col("c_nationkey").cast("string"), F.lit("/"), k)).alias("links"))
+    return walks.sitemap_pages(sites, maps, homes, _LIMIT, shared.shared_folder(spark, "sitemaps"))

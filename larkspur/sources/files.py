@@ -109,16 +109,3 @@ def still_named(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     wanted = F.array(*map(F.lit, names)).cast("array<string>")
     found = files.where(~packed).select("path", F.explode(F.filter(wanted, lambda n: F.col("content").contains(n))).alias("name"))
     return found.unionByName(files.where(packed).select("path", F.lit(None).cast("string").alias("name")))
-
-
-def page_walk(links: DataFrame, start: DataFrame, most: int, rounds: int = 10) -> DataFrame:
-    """url and depth of pages that links (source, target) reach from start (url), none twice, until most are found."""
-    seen = start.select("url", F.lit(0).alias("depth")).distinct()
-    edge = seen
-    for depth in range(1, rounds + 1):
-        edge = edge.join(links, edge["url"] == links["source"]).select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)).persist()
-        n = edge.count()
-        seen = seen.unionByName(edge)
-        if not n or seen.count() >= most:
-            break
-    return seen

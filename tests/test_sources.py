@@ -68,11 +68,6 @@ def test_files_that_still_name_somebody(spark, tmp_path):
     assert found == {("a.txt", "Anna Muster"), ("b.gz", None)}
 
 
-def test_page_walk_never_turns_back(spark):
-    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")], "source string, target string")
-    assert {(r.url, r.depth) for r in files.page_walk(links, spark.createDataFrame([("a",)], "url string"), 10).collect()} == {("a", 0), ("b", 1), ("c", 2)}
-
-
 def test_verdicts(spark):
     c = F.col
     rows = [(None, None, None, None, None), ("s", None, None, None, None), ("s", "Anna", None, None, "shab"), ("s", "Anna", "a@b.ch", "seen", "site"), ("s", None, "a@b.ch", "third_party", "site")]
