@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, nbsvm, packing, secrets, simhash
@@ -25,20 +25,25 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose shingles of five words have 0.8 or more in common, the row of the smallest doc_id, once.
+    """Of each group of texts whose shingles of five words have 0.8 or more in common, the row of the smallest doc_id, once; of texts that share it, that of the least hash.
 
-    Where the group's smallest doc_id has several of its texts, the one of the least hash stays. Rows without a doc_id stay.
+    Texts of one doc_id that aren't alike are in groups of their own. Rows without a doc_id stay.
     """
     found = simhash.similar_groups(docs, similarity=0.8, width=5)
-    first = found.where("component_id = doc_id").groupBy("doc_id").agg(F.min("version").alias("_version"))
-    kept = docs.withColumn("_version", F.xxhash64(F.coalesce("text", F.lit("")))).join(first, ["doc_id", "_version"], "left_semi").dropDuplicates(["doc_id"])
+    first = found.where("component_id = doc_id and component_version = version").select("doc_id", F.col("version").alias("_version"))
+    kept = docs.withColumn("_version", _version()).join(first, ["doc_id", "_version"], "left_semi").dropDuplicates(["doc_id", "_version"])
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+def _version() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold no benchmark item; of texts that share a doc_id, each is judged by itself. Rows without a doc_id stay."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontaminate.contaminated(docs, items, versions=True).select("doc_id", F.col("version").alias("_version")).distinct()
+    return docs.withColumn("_version", _version()).join(leaks, ["doc_id", "_version"], "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,14 +125,14 @@ def sound_windows(pairs: DataFrame) -> DataFrame:
     return made.withColumn("changed", changed).drop("_at", "_a", "_b", "_odd", "_fit")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float = 0.5, run: int = 6) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float = 0.5, run: int = 6, versions: bool = False) -> DataFrame:
     """Documents that hold benchmark items: doc_id, item_id, n_windows, n_item_windows and reparameterised, a row for each pair.
 
     docs: doc_id, text; items: item_id, text; other columns are left out. A pair is told if in one alignment at least share of
     the item's windows of size template words, or run of them (as 13 words in a row have), fit with values that correspond one
     to one. An item of fewer words is one window; an item without words is none. reparameterised: some value differs in
     every such alignment. Null texts count as empty and rows without an id are left out. Rows that repeat, in either table, count
-    once; of texts that share an id, each is held against each item by itself, and the pair is told once. Empty tables give no rows.
+    once; of texts that share an id, each is held against each item by itself, and the pair is told once, or, with versions, once for each text, whose xxhash64 is version. Empty tables give no rows.
     Windows are met with names as placeholders and with names as words in lower case, so that copies in another case are found,
     and those that have few words besides values as they stand. A window with one name in another case and
     another name exchanged is met by neither.
@@ -160,5 +160,6 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, share: float
     told = sound_windows(both.withColumn("doc_tokens", beside))
     fits = enough("n_windows", share, run)  # asked of sums, not as a filter, which Spark would work out anew below the join
     best = F.max(F.when(fits, F.struct("n_windows", F.col("n_item_windows").cast("long").alias("n_item_windows")))).alias("best")
-    found = told.groupBy("doc_id", "item_id").agg(best, F.min(F.when(fits, F.col("changed"))).alias("reparameterised"))
-    return found.where("best is not null").select("doc_id", "item_id", "best.*", "reparameterised")
+    keys = ["doc_id", *["version"] * versions, "item_id"]
+    found = told.groupBy(*keys).agg(best, F.min(F.when(fits, F.col("changed"))).alias("reparameterised"))
+    return found.where("best is not null").select(*keys, "best.*", "reparameterised")

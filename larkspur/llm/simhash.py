@@ -135,20 +135,18 @@ class Block:
         at = np.arange(0, len(prints), TILE)
         counts = byte_counts(prints).astype(np.int16)
         self.prints, self.low, self.high = prints, np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
-        self.least, self.most = np.minimum.reduceat(sizes, at), np.maximum.reduceat(sizes, at)
+        self.sizes, self.least, self.most = sizes, np.minimum.reduceat(sizes, at), np.maximum.reduceat(sizes, at)
 
     def __len__(self) -> int:
         return len(self.prints)
 
 
-def forest(a: Block, b: Block | None, radius: int, similarity: float = 0.0, depth: int = 1) -> list[tuple[int, int]]:
-    """Links (places in a, then b, in one numbering) that span all links of at most radius bits between a and b, or within a if b is None.
+def close(a: Block, b: Block | None, radius: int, similarity: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in a, then b, in one numbering) of all pairs of at most radius bits between a and b, or within a if b is None, two tiles at a time, the closest pairs first.
 
-    The closest pairs of two tiles are joined first. Tiles whose texts can't have shingles in common to a share of similarity are skipped. depth: so many
-    forests, each of links that those before it didn't need.
+    Tiles, and then pairs, whose texts can't have shingles in common to a share of similarity are skipped.
     """
     other, shift = (a, 0) if b is None else (b, len(a))
-    out = [Forest(len(a) + (0 if b is None else len(b))) for _ in range(depth)]
     for i in range(len(a.low)):
         mine = a.prints[i * TILE : (i + 1) * TILE, None]
         near = (apart(a.low[i], a.high[i], other.low, other.high) <= radius) & (a.most[i] >= similarity * other.least) & (other.most >= similarity * a.least[i])
@@ -167,13 +165,27 @@ def forest(a: Block, b: Block | None, radius: int, similarity: float = 0.0, dept
             if mine.shape[2] > 1:
                 order = np.argsort(bits, kind="stable")
                 x, y = x[order], y[order]
-            x, y = x + i * TILE, y + j * TILE + shift
+            x, y = x + i * TILE, y + j * TILE
+            if similarity:
+                one, two = a.sizes[x], other.sizes[y]
+                fits = np.minimum(one, two) >= similarity * np.maximum(one, two)
+                x, y = x[fits], y[fits]
+            y = y + shift
             if b is None:
                 x, y = x[x < y], y[x < y]
-            for one in out:
-                used = one.join(x, y)
-                x, y = np.delete(x, used), np.delete(y, used)
-    return [link for one in out for link in one.links]
+            if len(x):
+                yield x, y
+
+
+def forest(a: Block, b: Block | None, radius: int, similarity: float = 0.0, depth: int = 1) -> tuple[list[tuple[int, int]], int]:
+    """Links that span all of close(), and how many pairs they leave out. depth: so many forests, each of links that those before it didn't need."""
+    out, left = [Forest(len(a) + (0 if b is None else len(b))) for _ in range(depth)], 0
+    for x, y in close(a, b, radius, similarity):
+        for one in out:
+            used = one.join(x, y)
+            x, y = np.delete(x, used), np.delete(y, used)
+        left += len(x)
+    return [link for one in out for link in one.links], left
 
 
 def _near(one: str, two: str, radius: int, similarity: float) -> Column:
@@ -183,13 +195,9 @@ def _near(one: str, two: str, radius: int, similarity: float) -> Column:
     return (F.aggregate(gaps, F.lit(0), lambda total, x: total + x) <= radius) & (c(one, "most") >= similarity * c(two, "least")) & (c(two, "most") >= similarity * c(one, "least"))
 
 
-def links(nodes: DataFrame, radius: int, block_rows: int = 1 << 16, least_blocks: int = 12, similarity: float = 0.0, depth: int = 1) -> DataFrame:
-    """Links (a, b: nodes) that connect what links of at most radius bits connect. nodes: node and fp, each fp once; or node, fp, fp2 and size, each three once.
-
-    Each pair of blocks is at most block_rows squared comparisons and 48 bytes a fingerprint; a task takes one after the other. Pairs are planned from
-    a row for each block, in Spark; the driver gets how many there are.
-    """
-    spark, n = nodes.sparkSession, nodes.count()
+def _blocks(nodes: DataFrame, radius: int, block_rows: int, least_blocks: int, similarity: float) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks of nodes, the pairs of them that can have links, and how many words a print has."""
+    n = nodes.count()
     many = max(least_blocks, -(-n // block_rows))
     prints = [c for c in ("fp", "fp2") if c in nodes.columns]
     nodes = nodes.select("node", *prints, (F.col("size") if "size" in nodes.columns else F.lit(0)).cast("long").alias("size"))
@@ -212,31 +220,93 @@ def links(nodes: DataFrame, radius: int, block_rows: int = 1 << 16, least_blocks
     ranges = blocks.select("block", "low", "high", "least", "most")
     later = ranges.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(many - 1)))).alias("one")
     pairs = later.join(ranges.alias("two"), F.col("one.other") == F.col("two.block")).where(_near("one", "two", radius, similarity)).select(F.col("one.block").alias("first"), F.col("two.block").alias("second"))
-    pairs = staged(pairs.withColumn("pair", F.col("first") * F.lit(many).cast("long") + F.col("second")), "block_pairs")
-    width, bits, share, many_forests = len(prints), radius, similarity, depth
+    return blocks, staged(pairs.withColumn("pair", F.col("first") * F.lit(many).cast("long") + F.col("second")), "block_pairs"), len(prints)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(held: list) -> pa.RecordBatch:
-            a, b = held[0][0], held[1][0] if len(held) > 1 else None
-            both = np.concatenate([ids for _, ids in held])
-            ends = np.array(forest(a, b, bits, share, many_forests), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both[ends[:, k]]) for k in (0, 1)], names=["a", "b"])
 
+def _compared(blocks: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
+    """What work makes of each pair of blocks (pair, and of each of the two the rows of blocks, in order), one pair after the other in a task. blocks: block and binary columns."""
+    spark, columns = blocks.sparkSession, [c for c in blocks.columns if c != "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for k in range(len(batch)):
-                pair, raw, sizes, ids = (batch.column(c)[k].as_py() for c in range(4))
-                if pair != at and held:
-                    yield found(held)
+            for row in batch.to_pylist():
+                if row["pair"] != at and held:
+                    yield from work(at, held)
                     held = []
-                at = pair
-                held.append((Block(np.frombuffer(raw, np.uint64).reshape(-1, width), np.frombuffer(sizes, np.int64)), np.frombuffer(ids, np.int64)))
+                at = row["pair"]
+                held.append({c: np.frombuffer(row[c], np.int64) for c in columns})
         if held:
-            yield found(held)
+            yield from work(at, held)
 
     sides = pairs.select("pair", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
     tasks = max(1, min(pairs.count(), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return blocks.join(sides, "block").repartition(tasks, "pair").sortWithinPartitions("pair", "block").select("pair", "prints", "sizes", "nodes").mapInArrow(compare, LINKS)
+    return blocks.join(sides, "block").repartition(tasks, "pair").sortWithinPartitions("pair", "block").select("pair", *columns).mapInArrow(run, schema)
+
+
+def _block(held: dict[str, np.ndarray], width: int) -> Block:
+    return Block(held["prints"].view(np.uint64).reshape(-1, width), held["sizes"])
+
+
+def _first_links(blocks: DataFrame, pairs: DataFrame, width: int, radius: int, similarity: float, depth: int) -> DataFrame:
+    """a and b of the links that each pair of blocks hands on; and, with a null, the numbers (b) of the pairs that left some out."""
+
+    def work(pair: int, held: list) -> Iterator[pa.RecordBatch]:
+        ends, left = forest(_block(held[0], width), _block(held[1], width) if len(held) > 1 else None, radius, similarity, depth)
+        both, ends = np.concatenate([h["nodes"] for h in held]), np.array(ends, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(both[ends[:, k]]) for k in (0, 1)], names=["a", "b"])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([pair], pa.int64())], names=["a", "b"])
+
+    return _compared(blocks.select("block", "prints", "sizes", "nodes"), pairs, work, LINKS)
+
+
+def links(nodes: DataFrame, radius: int, block_rows: int = 1 << 16, least_blocks: int = 12) -> DataFrame:
+    """Links (a, b: nodes) that connect what links of at most radius bits connect. nodes: node and fp, each fp once.
+
+    Each pair of blocks is at most block_rows squared comparisons and 48 bytes a fingerprint; a task takes one after the other. Pairs are planned from
+    a row for each block, in Spark; the driver gets how many there are.
+    """
+    blocks, pairs, width = _blocks(nodes, radius, block_rows, least_blocks, 0.0)
+    return _first_links(blocks, pairs, width, radius, 0.0, 1).where("a is not null")
+
+
+def similar_links(nodes: DataFrame, radius: int, similarity: float, confirm, block_rows: int = 1 << 16, least_blocks: int = 12, depth: int = 4) -> DataFrame:
+    """Links (a, b: nodes) that confirm, of links to those of them that hold, says hold, and that connect all that pairs of at most radius bits which hold connect. nodes: node, fp, fp2 and size, each three once.
+
+    First each pair of blocks hands on depth spanning forests, closest pairs first: that joins groups of copies without all their pairs. Those that aren't confirmed may have kept
+    others out, so the pairs of blocks that left any out are compared once more, and of these all pairs are confirmed whose ends aren't joined yet.
+    """
+    blocks, pairs, width = _blocks(nodes, radius, block_rows, least_blocks, similarity)
+    first = staged(_first_links(blocks, pairs, width, radius, similarity, depth), "first_links")
+    met = first.where("a is not null")
+    sound = staged(confirm(met), "sound_links")
+    again = pairs.join(first.where("a is null").select(F.col("b").alias("pair")), "pair", "left_semi")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(raw.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int32)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], names=["block", "place", "node"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = [np.array(x, np.int64).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary())], names=["block", "roots"])
+
+    wanted = again.select(F.explode(F.array("first", "second")).alias("block")).distinct()
+    places = blocks.join(wanted, "block", "left_semi").select("block", "nodes").mapInArrow(listed, "block int, place int, node long").join(components(sound), "node", "left")
+    roots = places.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("root", "node").alias("root")))), lambda x: x["root"]).alias("roots")).mapInArrow(packed, "block int, roots binary")
+
+    def work(pair: int, held: list) -> Iterator[pa.RecordBatch]:
+        ids, root = (np.concatenate([h[c] for h in held]) for c in ("nodes", "roots"))
+        for x, y in close(_block(held[0], width), _block(held[1], width) if len(held) > 1 else None, radius, similarity):
+            open_ = root[x] != root[y]
+            if open_.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x[open_]]), pa.array(ids[y[open_]])], names=["a", "b"])
+
+    rest = _compared(blocks.select("block", "prints", "sizes", "nodes").join(roots, "block"), again, work, LINKS)
+    return sound.unionByName(confirm(staged(rest.join(met, ["a", "b"], "left_anti"), "later_links")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,32 +353,33 @@ def radius_of(similarity: float, bits: int = 128, spread: float = 2.0) -> int:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, depth: int = 4) -> DataFrame:
-    """doc_id, version (a hash of the text) and component_id of each different pair of doc_id and text of docs (doc_id, text; other columns are left out).
+    """doc_id, version (a hash of the text), component_id and component_version of each different pair of doc_id and text of docs (doc_id, text; other columns are left out).
 
-    component_id is the smallest doc_id reached over texts whose sets of word shingles have at least a share of similarity in common. Pairs
-    are met by 128-bit fingerprints at radius_of(similarity), two deviations beyond what is expected at that very similarity, and confirmed by
-    their shingles. Each pair of blocks hands on depth spanning forests, closest links first, so that others stand in for a link that isn't confirmed. Null texts count as empty, and all texts without words
+    The latter two are the smallest doc_id, and of that the smallest version, reached over texts whose sets of word shingles have at least a share of similarity in common: texts
+    of one doc_id that aren't alike are in different components. Pairs are met by 128-bit fingerprints at radius_of(similarity), two deviations beyond what is expected at that very similarity, and confirmed by
+    their shingles (`similar_links`), however many unlike texts are as close. Null texts count as empty, and all texts without words
     are alike. Rows without a doc_id are left out; an empty table gives no rows.
     """
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     prints = staged(wide_prints(known, width, seed), "wide_prints")
     nodes = staged(prints.groupBy("fp", "fp2", "size").agg(F.min(F.struct("doc_id", "version")).alias("first")).select("fp", "fp2", "size", F.xxhash64("first.doc_id", "first.version").alias("node"), "first.*"), "wide_nodes")
-    met = staged(links(nodes, radius_of(similarity), similarity=similarity, depth=depth), "similar_links")
-    ends = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingles(t, width, seed)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    wanted = nodes.join(ends, "node", "left_semi").select("node", "doc_id", "version")
-    texts = known.join(wanted, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
-    sets = staged(texts.mapInArrow(run, "node long, shingles array<long>"), "shingles")
-    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    sound = met.join(side("a"), "a").join(side("b"), "b").where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
-    roots = components(sound)
-    least = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    names = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_nodes = least.join(names, "root").select("node", "component_id").join(nodes.select("node", "fp", "fp2", "size"), "node")
-    return prints.join(of_nodes, ["fp", "fp2", "size"]).select("doc_id", "version", "component_id").distinct()
+    def confirm(met: DataFrame) -> DataFrame:
+        ends = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = nodes.join(ends, "node", "left_semi").select("node", "doc_id", "version")
+        texts = known.join(wanted, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
+        sets = staged(texts.mapInArrow(run, "node long, shingles array<long>"), "shingles")
+        side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        return met.join(side("a"), "a").join(side("b"), "b").where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+
+    roots = components(similar_links(nodes, radius_of(similarity), similarity, confirm, depth=depth))
+    least = nodes.select("node", "doc_id", "version").join(roots, "node", "left").select("node", "doc_id", "version", F.coalesce("root", "node").alias("root"))
+    names = least.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("x")).select("root", F.col("x.doc_id").alias("component_id"), F.col("x.version").alias("component_version"))
+    of_nodes = least.select("node", "root").join(names, "root").drop("root").join(nodes.select("node", "fp", "fp2", "size"), "node")
+    return prints.join(of_nodes, ["fp", "fp2", "size"]).select("doc_id", "version", "component_id", "component_version").distinct()
