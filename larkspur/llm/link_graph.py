@@ -1,7 +1,8 @@
 """URL filters: rules on hosts and paths, and trust and distrust over the links between hosts, all in DataFrame operations.
 
 Trust is a personalised PageRank from hosts that rules allow, along links; distrust one from hosts that rules block,
-against them, so that it reaches hosts that link to blocked ones. Both are counted in wholly allowed or blocked hosts. A
+against them, so that it reaches hosts that link to blocked ones. Both are taken as the seeds' contributions to a host, that is, by the host's own links: a host's distrust is what blocked hosts get of
+the PageRank that starts at it, its trust what trusted ones get of the one that starts at it against the links. So what a host has doesn't hang on how many others link to the same seed. A
 page without a rule is blocked if its host's distrust is above a threshold and above its trust.
 """
 
@@ -58,48 +59,58 @@ def host_links(pages: DataFrame) -> DataFrame:
     return linked.where("source <> '' and source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: float = 1e-4) -> DataFrame:
-    """kind, host, rank and gain (what of the rank came by links). seeds: kind (trust or distrust), host, weight; the weights of a kind sum to one.
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: float = 1e-4, contributions: bool = False) -> DataFrame:
+    """kind, host, rank and gain (what of the rank came by links). seeds: kind (trust or distrust), host, weight.
 
-    What reaches a host without links of the kind's direction goes back to the seeds. Rounds end when the ranks of a kind have moved by less than close in all,
-    which a round's share of damping brings about after log(close / 2) / log(damping) rounds at the latest; each is written to the shared folder, and the driver sees a sum.
+    A host shares its rank among the hosts that its links (against them: that link to it) lead to; the weights of a kind sum to one, and what reaches a host without such links goes back to the seeds. With
+    contributions, a host has instead the mean of the ranks of the hosts that it links to (for trust: that link to it), less what damping takes, besides its weight: the sum over seeds of how much of
+    the PageRank personalised to the host they get. Then weights are as they are, and no rank is over 1 / (1 - damping) times the largest.
+    Rounds end when the ranks of a kind have moved by less than close in all, or, with contributions, no rank by more,
+    which a round's share of damping brings about after log(close / 2) / log(damping) rounds at the latest; each is written to the shared folder, and the driver sees a number.
     """
     both = links.select(F.lit("trust").alias("kind"), F.col("source").alias("from"), F.col("target").alias("to"), "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("target").alias("from"), F.col("source").alias("to"), "n"))
-    whole = both.groupBy("kind", "from").agg(F.sum("n").alias("all"))
-    arcs = staged(both.join(whole, ["kind", "from"]).select("kind", "from", "to", (F.col("n") / F.col("all")).alias("share")), "arcs")
+    by = ["kind", "to" if contributions else "from"]
+    whole = both.groupBy(*by).agg(F.sum("n").alias("all"))
+    arcs = staged(both.join(whole, by).select("kind", "from", "to", (F.col("n") / F.col("all")).alias("share")), "arcs")
     rank = staged(seeds.select("kind", "host", F.col("weight").alias("rank"), "weight"), "ranks")
     if arcs.isEmpty():
         return rank.select("kind", "host", "rank", F.lit(0.0).alias("gain"))
+    off = F.abs(F.col("rank") - F.col("old"))
     for _ in range(math.ceil(math.log(close / 2) / math.log(damping))):
         moved = arcs.join(rank.withColumnRenamed("host", "from"), ["kind", "from"]).groupBy("kind", F.col("to").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("gain"))
         kept = moved.groupBy("kind").agg(F.sum("gain").alias("kept"))
         new = moved.select("kind", "host", "gain", F.lit(0.0).alias("weight"), F.lit(0.0).alias("old")).unionByName(rank.select("kind", "host", F.lit(0.0).alias("gain"), "weight", F.col("rank").alias("old")))
-        new = new.groupBy("kind", "host").agg(F.sum("gain").alias("gain"), F.sum("weight").alias("weight"), F.sum("old").alias("old")).join(F.broadcast(kept), "kind", "left")
-        new = staged(new.select("kind", "host", (F.col("gain") + (1 - F.coalesce("kept", F.lit(0.0))) * F.col("weight")).alias("rank"), "gain", "weight", "old"), "ranks")
-        change = max((r["moved"] for r in new.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")).collect()), default=0.0)
+        new = new.groupBy("kind", "host").agg(F.sum("gain").alias("gain"), F.sum("weight").alias("weight"), F.sum("old").alias("old"))
+        if contributions:
+            new = new.select("kind", "host", (F.col("gain") + F.col("weight")).alias("rank"), "gain", "weight", "old")
+        else:
+            new = new.join(F.broadcast(kept), "kind", "left").select("kind", "host", (F.col("gain") + (1 - F.coalesce("kept", F.lit(0.0))) * F.col("weight")).alias("rank"), "gain", "weight", "old")
+        new = staged(new, "ranks")
+        change = max((r["moved"] for r in new.groupBy("kind").agg((F.max(off) if contributions else F.sum(off)).alias("moved")).collect()), default=0.0)
         drop_staged(rank)
         at = new.staged_at
         rank = new.drop("old")
         rank.staged_at = at
         if change < close:
             break
+    drop_staged(arcs)
     return rank.select("kind", "host", "rank", "gain")
 
 
-def blocked_hosts(pages: DataFrame, rules: tuple[Rule, ...], seed_share: float = 0.5, threshold: float = 1e-4) -> DataFrame:
+def blocked_hosts(pages: DataFrame, rules: tuple[Rule, ...], seed_share: float = 0.5, threshold: float = 0.05) -> DataFrame:
     """host, of hosts whose distrust is over threshold and over their trust. pages: host, path, html.
 
     A host is a seed if rules that allow, or rules that block, decide any of its pages, and weighs as much as their share of
-    them. Ranks times the sum of these shares don't shrink as seeds become more. What comes by links counts; what
+    them. A host all of whose links lead to a wholly blocked host has a distrust of 0.85, one with a twentieth of them there a twentieth of that, whatever the number of
+    seeds and of other hosts that link there. What comes by links counts; what
     a host has from its own pages does only if they are more than seed_share of them, as the rest of its pages may differ.
     """
     verdict = rule_of(F.col("host"), F.col("path"), rules, "verdict")
     shares = pages.where("host <> ''").groupBy("host").agg(F.avg((F.coalesce(verdict, F.lit("")) == "allow").cast("int")).alias("trust"), F.avg((F.coalesce(verdict, F.lit("")) == "block").cast("int")).alias("distrust"))
     seeds = shares.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "share")).where(F.col("share") > 0)
     seeds = staged(seeds.select("kind", "host", "share"), "seeds")
-    mass = seeds.groupBy("kind").agg(F.sum("share").alias("mass"))
-    ranks = propagate(host_links(pages), seeds.join(F.broadcast(mass), "kind").select("kind", "host", (F.col("share") / F.col("mass")).alias("weight")))
-    ranks = ranks.join(seeds, ["kind", "host"], "left").join(F.broadcast(mass), "kind").withColumn("rank", F.col("mass") * F.when(F.col("share") > seed_share, F.col("rank")).otherwise(F.col("gain")))
+    ranks = propagate(host_links(pages), seeds.withColumnRenamed("share", "weight"), contributions=True)
+    ranks = ranks.join(seeds, ["kind", "host"], "left").withColumn("rank", F.when(F.col("share") > seed_share, F.col("rank")).otherwise(F.col("gain")))
     rank = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return ranks.groupBy("host").agg(rank("trust"), rank("distrust")).where((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))).select("host")
 
