@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls
-from ..operators import site_search, walks
+from ..functions import density, urls
+from ..operators import names, site_search, walks
 from ..sources import shared
 from .catalogue import _query
 
@@ -128,3 +128,37 @@ def q_sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = t["customer"].select(F.col("c_custkey").alias("site"), F.concat("c_custkey", F.lit("/1")).alias("start"))
     homes = t["customer"].select(F.col("c_custkey").alias("site"), F.transform(F.array(F.lit("0"), F.lit("1")), lambda k: F.concat(F.lit("home"), F.col("c_nationkey").cast("string"), F.lit("/"), k)).alias("links"))
     return walks.sitemap_pages(sites, maps, homes, _LIMIT, shared.shared_folder(spark, "sitemaps"))
+
+
+_NAMED = """with names as (select distinct lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as name from pages)"""
+
+
+@_query(_NAMED + " select page_id, name from pages join names on contains(lower(html), name) where name <> ''")
+def q_hosts_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages name which of all hosts, in one pass of an automaton."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return names.named_in(pages, pages.select(urls.host(F.col("url")).alias("name")), "page_id", "html")
+
+
+_WORDS_OF = "case when {0} = '' then 0 else len(string_split({0}, ' ')) end"
+
+
+def _plain_sql(x: str) -> str:
+    x = f"regexp_replace({x}, '{density.TAG_PATTERN}', '', 'g')"
+    for name, char in density.ENTITIES:
+        x = f"replace({x}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({x}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
+
+
+@_query(
+    f"""with parts as (select page_id, generate_subscripts(p, 1) as i, unnest(p) as part from (select page_id, regexp_split_to_array(regexp_replace(html, '{density.UNSEEN_PATTERN}', ' ', 'g'), '{density.BLOCK_PATTERN}') as p from pages where html is not null) x),
+    said as (select page_id, i, {_plain_sql("part")} as text, trim(array_to_string(list_transform(regexp_extract_all(part, '{density.LINK_PATTERN}', 1), lambda x: {_plain_sql("x")}), ' ')) as linked from parts),
+    counted as (select page_id, i, text, {_WORDS_OF.format("text")} as n, {_WORDS_OF.format("linked")} as links from said where text <> ''),
+    beside as (select *, links / n as d, coalesce(lag(links / n) over w, 0) as bd, coalesce(lag(n) over w, 0) as bn, coalesce(lead(n) over w, 0) as an from counted window w as (partition by page_id order by i)),
+    judged as (select *, case when d > {density.LINKS} then false when bd <= {density.LINKS_BEFORE} then n > {density.FEW} or an > {density.FEW_AFTER} or bn > {density.FEW_BEFORE} else n > {density.LONG} or an > {density.FEW_AFTER_LINKS} end as main from beside),
+    totals as (select page_id, coalesce(sum(n) filter (where main), 0) as m, sum(n) as every_ from judged group by page_id)
+    select p.page_id, case when p.html is not null then coalesce(string_agg(j.text, chr(10) order by j.i), '') end as main_text from pages p left join totals t on t.page_id = p.page_id left join judged j on j.page_id = p.page_id and (j.main or (t.m < {density.THIN} and t.every_ > t.m)) group by p.page_id, p.html"""
+)
+def q_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages by the density of text and links."""
+    return density.with_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")).drop("html")

@@ -100,12 +100,3 @@ def unsafe_address(host: Column) -> Column:
     bad = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
     six = F.lower(host).rlike(r"^\[(?:::1?|::ffff:.*|f[c-f][0-9a-f]{2}:.*)\]$")
     return (host == "localhost") | six | (host.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") & F.coalesce(bad, F.lit(True)))
-
-
-def still_named(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """path and name of files that still hold a name, and null names for compressed files, which can't be searched. names: of one erasure, so few."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("content"))
-    packed = F.col("path").rlike(r"\.(gz|zip|bz2|xz|zst)$")
-    wanted = F.array(*map(F.lit, names)).cast("array<string>")
-    found = files.where(~packed).select("path", F.explode(F.filter(wanted, lambda n: F.col("content").contains(n))).alias("name"))
-    return found.unionByName(files.where(packed).select("path", F.lit(None).cast("string").alias("name")))

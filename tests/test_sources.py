@@ -61,13 +61,6 @@ def test_unsafe_addresses(spark, host, unsafe):
     assert spark.createDataFrame([(host,)], "h string").select(files.unsafe_address(F.col("h")).alias("x")).first().x is unsafe
 
 
-def test_files_that_still_name_somebody(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("Anna Muster")
-    (tmp_path / "b.gz").write_bytes(b"x")
-    found = {(r.path.rsplit("/", 1)[1], r.name) for r in files.still_named(spark, str(tmp_path), ["Anna Muster", "Urs"]).collect()}
-    assert found == {("a.txt", "Anna Muster"), ("b.gz", None)}
-
-
 def test_verdicts(spark):
     c = F.col
     rows = [(None, None, None, None, None), ("s", None, None, None, None), ("s", "Anna", None, None, "shab"), ("s", "Anna", "a@b.ch", "seen", "site"), ("s", None, "a@b.ch", "third_party", "site")]
