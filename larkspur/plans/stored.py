@@ -11,6 +11,7 @@ from ..functions import suffixes, urls
 from ..operators import commits, ledger, retention
 from ..sources import paged, shared
 from ..sources.driver_tables import relations
+from ..streaming import scores as score_streams
 from .catalogue import _query, _with
 from .more import _GONE, _OWN, _TABLES
 
@@ -69,3 +70,19 @@ def q_suffix_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = spark.read.parquet(f"{sf_dir}/pages.parquet").select(urls.host(F.col("url")).alias("host")).distinct()
     rules = spark.sql(_SUFFIX_RULES.replace("from hosts", "from {hosts}"), hosts=hosts)
     return suffixes.resolved(hosts, rules)
+
+
+@_query(_with(("scores",)) + """, first_ as (select uid, max(score) as score from scores where model = 'm0' group by uid)
+    select uid, score, 'before' as origin from first_ union all select c_custkey, cast(c_custkey % 11 as int), 'stream' from customer where c_custkey not in (select uid from first_)""")
+def q_streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers as a stream of companies to score, of which some have scores; its batches come a second time, as after a crash that lost where it was."""
+    root, t = shared.shared_folder(spark, "scores"), relations(spark, sf_dir)
+    first = t["scores"].where("model = 'm0'").groupBy("uid").agg(F.max("score").alias("score")).withColumn("origin", F.lit("before"))
+    commits.commit(spark, root, {"scores": first}, commits.state(spark, root))
+    came = t["companies"].select("uid")
+    came.repartition(2, "uid").write.parquet(f"{root}-in")
+    for turn in ("one", "two"):
+        stream = spark.readStream.schema(came.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}-in")
+        score = lambda rows: rows.select("uid", (F.col("uid") % 11).cast("int").alias("score"), F.lit("stream").alias("origin"))
+        score_streams.score_stream(stream, ["uid"], score, root, f"{root}-checkpoint-{turn}").awaitTermination()
+    return commits.read(spark, root)["scores"]
