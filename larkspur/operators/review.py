@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from .contacts import address_blocks
 from .decisions import send_block
 from .ledger import current_decision, latest
@@ -29,22 +30,45 @@ def undoable_bounce(ledger: DataFrame) -> DataFrame:
     return last.where("status = 'bounced'").select("uid", F.col("id").alias("bounce_id"), F.col("address").alias("bounce_address"))
 
 
-def card_states(t: Tables, frame: str, key: Column) -> DataFrame:
-    """A row for each company with what its guards ask about: the decision that stands, the last mail, the draft, the addresses offered and which are barred."""
+def drift(written_for: Column, contact: Column, greeting: Column, rebuilt: Column) -> Column:
+    """Why a draft no longer matches what it was built from: a newer contact than the one it names, or a greeting other than today's; null if it does. Without a contact nothing is compared."""
+    other = (written_for != contact) | (greeting != rebuilt)
+    return F.when(contact.isNotNull() & F.coalesce(other, F.lit(False)), F.when(F.coalesce(written_for != contact, F.lit(False)), "a newer contact").otherwise("another greeting"))
+
+
+def placeholder_link(link: Column) -> Column:
+    """Whether a survey's link is an example's: its host is example, or under that ending."""
+    host = urls.host(link)
+    return F.coalesce((host == "example") | host.endswith(".example"), F.lit(False))
+
+
+def foreign_link(link: Column, survey_url: str) -> Column:
+    """Whether a link doesn't lead to the survey; without a survey each does not."""
+    base = survey_url.rstrip("/")
+    return ~F.coalesce(link.startswith(base), F.lit(False)) if base else F.lit(True)
+
+
+def card_states(t: Tables, frame: str, key: Column, survey_url: str, approved: Column) -> DataFrame:
+    """A row for each company with what its guards ask about: the decision that stands, the last mail, the draft, the addresses offered and which are barred.
+
+    A draft that passed its checks must also still be what would be written today (`drift`), and its link lead to the survey. approved: whether sending is approved, of the companies' rows.
+    """
     decision = current_decision(t["ledger"]).select("uid", F.col("status").alias("decision"), F.col("id").alias("decision_id"))
     mail = t["ledger"].select("id", F.col("address").alias("sent_address"))
-    draft = latest(t["drafts"]).select("uid", F.col("id").alias("draft_id"), F.col("frame_version").alias("body"), "problems", (F.col("frame_version") != frame).alias("old_frame"))
-    contact = latest(t["contacts"]).select("uid", F.col("email"), "person", F.col("email_kind").alias("kind"))
+    draft = latest(t["drafts"]).select("uid", F.col("id").alias("draft_id"), F.col("frame_version").alias("body"), "problems", (F.col("frame_version") != frame).alias("old_frame"), "contact_id", "greeting", "link")
+    contact = latest(t["contacts"]).select("uid", F.col("id").alias("newest_contact"), F.col("email"), "person", F.col("email_kind").alias("kind"))
     offered = t["contacts"].groupBy("uid", "email").agg(F.max_by("email_kind", "id").alias("email_kind")).groupBy("uid").agg(F.map_from_entries(F.collect_set(F.struct("email", "email_kind"))).alias("offered"))
     barred = address_blocks(t["contacts"], t["suppression"], t["ledger"], key).groupBy("uid").agg(F.map_from_entries(F.collect_set(F.struct("key", "reason"))).alias("barred"))
     flag = t["suppression"].select("uid").distinct().withColumn("suppressed", F.lit(True))
-    rows = t["companies"].select("uid").join(decision, "uid", "left").join(mail, F.col("id") == F.col("decision_id"), "left").drop("id")
+    rows = t["companies"].select("uid", approved.alias("approved")).join(decision, "uid", "left").join(mail, F.col("id") == F.col("decision_id"), "left").drop("id")
     for side in (draft, contact, offered, barred, flag, undoable_bounce(t["ledger"])):
         rows = rows.join(side, "uid", "left")
     last = t["ledger"].agg(F.max_by(F.struct("id", "uid", "status"), "id").alias("newest"))
-    false, true = F.lit(False), F.lit(True)
-    rows = rows.join(F.broadcast(last)).withColumns({
-        "decided": F.col("decision").isNotNull(), "suppressed": F.coalesce("suppressed", false), "drifted": false, "approved": true, "placeholder_link": false, "foreign_link": false,
+    false = F.lit(False)
+    rebuilt = F.concat_ws(" ", F.lit("Guten Tag"), "person")
+    rows = rows.join(F.broadcast(last)).withColumn("drift", drift(F.col("contact_id"), F.col("newest_contact"), F.col("greeting"), rebuilt)).withColumns({
+        "decided": F.col("decision").isNotNull(), "suppressed": F.coalesce("suppressed", false), "drifted": F.col("drift").isNotNull(), "approved": F.coalesce("approved", false),
+        "placeholder_link": placeholder_link(F.col("link")), "foreign_link": foreign_link(F.col("link"), survey_url),
         "problems": F.when(F.col("problems") == "", F.array().cast("array<string>")).otherwise(F.split("problems", "; ")),
     })
     return send_block(rows)

@@ -27,11 +27,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _DECIDE = (
     _with(("requests", "companies", "contacts", "drafts", "suppression", "ledger"), f"{_FOLDS}, {_CURRENT}, {_BARRED}")
     + """, newest as (select id, uid, status, address from ledger order by id desc limit 1),
-    d as (select * from (select uid, id as draft_id, frame_version as body, problems, row_number() over (partition by uid order by id desc) as k from drafts) x where k = 1),
-    c as (select * from (select uid, email, person, row_number() over (partition by uid order by id desc) as k from contacts) x where k = 1),
+    d as (select * from (select uid, id as draft_id, frame_version as body, problems, contact_id, greeting, link, row_number() over (partition by uid order by id desc) as k from drafts) x where k = 1),
+    c as (select * from (select uid, id as contact, email, person, row_number() over (partition by uid order by id desc) as k from contacts) x where k = 1),
     offered as (select uid, email, arg_max(email_kind, id) as kind from contacts group by uid, email),
     q as (select r.id, r.uid, r.action, coalesce(r.argument, '') as argument, r.to_address, r.confirmed, co.uid is not null as there, x.status as decision, x.id as decision_id, sl.address as sent_address, d.draft_id, d.body, c.email, c.person, b.reason as bar, o.kind as kind,
-        case when x.status is not null then 'decided' when r.uid in (select uid from suppression) then 'suppressed' when d.body is null then 'no draft' when d.body <> 'f1' then 'old frame' when d.problems is null then 'unchecked' when d.problems <> '' then 'failed' when c.email is null then 'no address' end as blocked,
+        case when x.status is not null then 'decided' when r.uid in (select uid from suppression) then 'suppressed' when d.body is null then 'no draft' when d.body <> 'f1' then 'old frame' when d.problems is null then 'unchecked' when d.problems <> '' then 'failed' when c.email is null then 'no address'
+            when coalesce(d.contact_id <> c.contact, false) or d.greeting <> 'Guten Tag' || coalesce(' ' || c.person, '') then 'contact changed' when co.municipality % 5 = 2 then 'not approved'
+            when regexp_extract(d.link, '://([^/]*)', 1) like '%.example' then 'placeholder link' when not starts_with(d.link, 'https://umfrage.ch') then 'foreign link' end as blocked,
         coalesce(r.id % 2 = 0 and d.draft_id is not null and d.body = 'f1', false) as shown, nb.uid is not null as bounce, n.id as newest_id, nb.id as bounce_id, coalesce(n.uid = r.uid and n.status = 'sent', false) as newest_sent
         from requests r left join companies co on co.uid = r.uid left join current_ x on x.uid = r.uid left join ledger sl on sl.id = x.id left join d on d.uid = r.uid left join c on c.uid = r.uid
         left join barred b on b.uid = r.uid and b.key = lower(trim(case when r.action = 'send' then r.to_address else r.argument end)) left join offered o on o.uid = r.uid and o.email = case when r.action = 'send' then r.to_address else r.argument end
@@ -55,7 +57,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = relations(spark, sf_dir)
     last, draft = t["ledger"].agg(F.max("id").alias("sent_id")), ledger.latest(t["drafts"]).select("uid", F.when(F.col("frame_version") == "f1", F.col("id")).alias("_draft"))
     shown = t["requests"].join(F.broadcast(last)).join(draft, "uid", "left").withColumn("shown_draft", F.when(F.col("id") % 2 == 0, F.col("_draft"))).withColumn("shown_body", F.sha2(F.lit("f1"), 256)).withColumn("argument", F.coalesce("argument", F.lit(""))).drop("_draft")
-    return review.answered(shown, review.card_states(t, "f1", _KEY(F.col("email"))), F.lower(F.trim("_to")))
+    return review.answered(shown, review.card_states(t, "f1", _KEY(F.col("email")), "https://umfrage.ch/", F.col("municipality") % 5 != 2), F.lower(F.trim("_to")))
 
 
 @_query(_DECIDE + "select id, uid, cast(substr(answer, 1, 3) as int) as code, substr(answer, 5) as said, status, reverses, address from w")

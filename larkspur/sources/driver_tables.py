@@ -37,7 +37,11 @@ RELATIONS: dict[str, str] = {
         concat('Info@Site', cast(o_custkey % 400 as varchar(20)), '.example.com') as email, case o_orderkey % 4 when 0 then 'third_party' when 1 then 'seen' when 2 then 'generic' else 'constructed' end as email_kind
         from orders where o_orderpriority = '2-HIGH'""",
     "drafts": """select o_orderkey as id, o_custkey as uid, o_orderdate as created_at, case o_orderkey % 5 when 0 then null when 1 then 'too long' else '' end as problems,
-        concat('f', cast(o_orderkey % 2 as varchar(9))) as frame_version from orders where o_orderpriority = '3-MEDIUM'""",
+        concat('f', cast(o_orderkey % 2 as varchar(9))) as frame_version, case o_orderkey % 4 when 1 then first_contact when 3 then last_contact end as contact_id,
+        case when o_orderkey % 7 = 0 or last_contact % 3 = 0 then 'Guten Tag' else concat('Guten Tag Person ', cast(o_custkey as varchar(20))) end as greeting,
+        concat(case o_orderkey % 6 when 1 then 'https://umfrage.example' when 3 then 'https://anders.ch' else 'https://umfrage.ch' end, '/?c=', cast(o_custkey as varchar(20))) as link
+        from (select *, min(case when o_orderpriority = '2-HIGH' then o_orderkey end) over (partition by o_custkey) as first_contact, max(case when o_orderpriority = '2-HIGH' then o_orderkey end) over (partition by o_custkey) as last_contact from orders) x
+        where o_orderpriority = '3-MEDIUM'""",
     "searches": "select o_orderkey as id, o_custkey as uid, o_orderdate as asked_at, o_orderkey % 3 as n_results, o_orderstatus as provider from orders where o_orderpriority = '4-NOT SPECIFIED'",
     "sites": "select page_id + 1 as uid, url from pages",
     "profiles": "select s_suppkey as uid, concat('https://ch.linkedin.com/in/', replace(s_name, '#', '-'), case s_suppkey % 3 when 0 then '/' when 1 then '/?trk=x' else '#about' end) as profile from supplier",
