@@ -271,17 +271,18 @@ def links(nodes: DataFrame, radius: int, block_rows: int = 1 << 16, least_blocks
     return _first_links(blocks, pairs, width, radius, 0.0, 1).where("a is not null")
 
 
-def similar_links(nodes: DataFrame, radius: int, similarity: float, confirm, block_rows: int = 1 << 16, least_blocks: int = 12, depth: int = 4) -> DataFrame:
-    """Links (a, b: nodes) that confirm, of links to those of them that hold, says hold, and that connect all that pairs of at most radius bits which hold connect. nodes: node, fp, fp2 and size, each three once.
+def similar_links(nodes: DataFrame, radius: int, similarity: float, confirm, sets_of, block_rows: int = 1 << 16, least_blocks: int = 12, depth: int = 1) -> DataFrame:
+    """Links (a, b: nodes) that connect what pairs of at most radius bits, of nodes whose sets are alike to a share of similarity, connect. nodes: node, fp, fp2 and size, each three once.
 
-    First each pair of blocks hands on depth spanning forests, closest pairs first: that joins groups of copies without all their pairs. Those that aren't confirmed may have kept
-    others out, so the pairs of blocks that left any out are compared once more, and of these all pairs are confirmed whose ends aren't joined yet.
+    First each pair of blocks hands on depth spanning forests, closest pairs first, and confirm tells which of those links hold: that joins groups of copies without all their pairs. Those that don't hold may have kept
+    others out, so the pairs of blocks that left any out are compared once more. The nodes that have a close pair with a node of another group meet, with their sets (sets_of: nodes to node and shingles), in small blocks again, and there
+    all their close pairs are tried, the closest first, unless they are joined already.
     """
     blocks, pairs, width = _blocks(nodes, radius, block_rows, least_blocks, similarity)
     first = staged(_first_links(blocks, pairs, width, radius, similarity, depth), "first_links")
-    met = first.where("a is not null")
-    sound = staged(confirm(met), "sound_links")
+    sound = staged(confirm(first.where("a is not null")), "sound_links")
     again = pairs.join(first.where("a is null").select(F.col("b").alias("pair")), "pair", "left_semi")
+    grouped = staged(components(sound), "first_groups")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,18 +296,75 @@ def similar_links(nodes: DataFrame, radius: int, similarity: float, confirm, blo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary())], names=["block", "roots"])
 
     wanted = again.select(F.explode(F.array("first", "second")).alias("block")).distinct()
-    places = blocks.join(wanted, "block", "left_semi").select("block", "nodes").mapInArrow(listed, "block int, place int, node long").join(components(sound), "node", "left")
+    places = blocks.join(wanted, "block", "left_semi").select("block", "nodes").mapInArrow(listed, "block int, place int, node long").join(grouped, "node", "left")
     roots = places.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("root", "node").alias("root")))), lambda x: x["root"]).alias("roots")).mapInArrow(packed, "block int, roots binary")
 
     def work(pair: int, held: list) -> Iterator[pa.RecordBatch]:
         ids, root = (np.concatenate([h[c] for h in held]) for c in ("nodes", "roots"))
+        there = np.zeros(len(ids), bool)
         for x, y in close(_block(held[0], width), _block(held[1], width) if len(held) > 1 else None, radius, similarity):
-            open_ = root[x] != root[y]
-            if open_.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x[open_]]), pa.array(ids[y[open_]])], names=["a", "b"])
+            other = root[x] != root[y]
+            there[x[other]] = there[y[other]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(ids[there])], names=["node"])
 
-    rest = _compared(blocks.select("block", "prints", "sizes", "nodes").join(roots, "block"), again, work, LINKS)
-    return sound.unionByName(confirm(staged(rest.join(met, ["a", "b"], "left_anti"), "later_links")))
+    open_ = staged(_compared(blocks.select("block", "prints", "sizes", "nodes").join(roots, "block"), again, work, "node long").distinct(), "open_nodes")
+    known = nodes.join(open_, "node", "left_semi").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets_of(open_), "node")
+    return sound.unionByName(_tried(staged(known.select("node", "root", "fp", "fp2", "size", "shingles"), "open_sets"), radius, similarity))
+
+
+def _tried(nodes: DataFrame, radius: int, similarity: float, most_bytes: int = 1 << 24) -> DataFrame:
+    """Links between nodes (node, root, fp, fp2, size, shingles) of different groups (root) that are close and whose shingles are alike: as many as join all that such pairs join.
+
+    Blocks are of nodes of one size within a factor of two, and of about most_bytes of shingles, however large their texts; sets of a similarity of a half and more are at most a factor of two apart, so
+    blocks meet those of their own size and the next. The driver gets a count for each size.
+    """
+    klass = F.floor(F.log2(F.greatest("size", F.lit(1)).cast("double"))).cast("int")
+    nodes = nodes.withColumn("klass", klass)
+    many = {r["klass"]: max(1, -(-r["n"] * (16 << r["klass"]) // most_bytes)) for r in nodes.groupBy("klass").agg(F.count("*").alias("n")).collect()}
+    part = F.coalesce(*(F.when(F.col("klass") == k, F.pmod(F.xxhash64("node"), F.lit(n))) for k, n in many.items()), F.lit(0))
+    nodes = nodes.withColumn("block", F.col("klass") * F.lit(1 << 32) + part)
+    each = nodes.select("klass", "block").distinct()
+    later = each.select(F.col("block").alias("first"), F.explode(F.array(F.col("klass"), F.col("klass") + 1)).alias("klass"))
+    pairs = later.join(each.select("klass", F.col("block").alias("second")), "klass").where("second >= first").select("first", "second", F.xxhash64("first", "second").alias("pair"))
+    sides = pairs.select("pair", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
+
+    def work(rows: list[dict]) -> pa.RecordBatch:
+        halves = [[r for r in rows if r["block"] == k] for k in sorted({r["block"] for r in rows})]
+        both = [r for half in halves for r in half]
+        made = [Block(np.array([[r["fp"], r["fp2"]] for r in half], np.int64).view(np.uint64), np.array([r["size"] for r in half], np.int64)) for half in halves]
+        sets = [np.array(r["shingles"], np.int64) for r in both]
+        numbers, root = np.unique([r["root"] for r in both], return_inverse=True)
+        above, ends = list(range(len(numbers))), []
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for x, y in close(made[0], made[1] if len(made) > 1 else None, radius, similarity):
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                one, two = top(int(root[i])), top(int(root[j]))
+                if one != two:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                        above[max(one, two)] = min(one, two)
+                        ends.append((both[i]["node"], both[j]["node"]))
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["pair"] != at and held:
+                    yield work(held)
+                    held = []
+                at = row["pair"]
+                held.append(row)
+        if held:
+            yield work(held)
+
+    dealt = nodes.drop("klass").join(sides, "block").repartition("pair").sortWithinPartitions("pair", "block")
+    return dealt.mapInArrow(run, LINKS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -352,7 +410,7 @@ def radius_of(similarity: float, bits: int = 128, spread: float = 2.0) -> int:
     return math.ceil(bits * part + spread * math.sqrt(bits * part * (1 - part)))
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, depth: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, depth: int = 1) -> DataFrame:
     """doc_id, version (a hash of the text), component_id and component_version of each different pair of doc_id and text of docs (doc_id, text; other columns are left out).
 
     The latter two are the smallest doc_id, and of that the smallest version, reached over texts whose sets of word shingles have at least a share of similarity in common: texts
@@ -369,16 +427,18 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, see
             sets = [np.unique(shingles(t, width, seed)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    def confirm(met: DataFrame) -> DataFrame:
-        ends = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(ends: DataFrame) -> DataFrame:
         wanted = nodes.join(ends, "node", "left_semi").select("node", "doc_id", "version")
         texts = known.join(wanted, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
-        sets = staged(texts.mapInArrow(run, "node long, shingles array<long>"), "shingles")
+        return texts.mapInArrow(run, "node long, shingles array<long>")
+
+    def confirm(met: DataFrame) -> DataFrame:
+        sets = staged(sets_of(met.select("a").union(met.select("b")).toDF("node").distinct()), "shingles")
         side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
         common = F.size(F.array_intersect("of_a", "of_b"))
         return met.join(side("a"), "a").join(side("b"), "b").where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
-    roots = components(similar_links(nodes, radius_of(similarity), similarity, confirm, depth=depth))
+    roots = components(similar_links(nodes, radius_of(similarity), similarity, confirm, sets_of, depth=depth))
     least = nodes.select("node", "doc_id", "version").join(roots, "node", "left").select("node", "doc_id", "version", F.coalesce("root", "node").alias("root"))
     names = least.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("x")).select("root", F.col("x.doc_id").alias("component_id"), F.col("x.version").alias("component_version"))
     of_nodes = least.select("node", "root").join(names, "root").drop("root").join(nodes.select("node", "fp", "fp2", "size"), "node")
