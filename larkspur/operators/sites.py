@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import ids, text, urls
 
 #: Local parts of inboxes, and where legal and contact pages stand on sites that don't link them.
-GENERIC = ("info", "kontakt", "contact", "office", "mail", "hello", "welcome", "sekretariat", "admin", "verkauf", "sales")
+GENERIC = (
+    "info", "kontakt", "contact", "office", "mail", "post", "hello", "hallo", "welcome", "admin", "sekretariat", "empfang", "verkauf", "sales",
+    "service", "team", "buero", "bureau", "zentrale", "anfrage", "inquiry",
+)
 FALLBACKS = ("/impressum", "/kontakt", "/contact", "/about", "/ueber-uns")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import density, urls
-from ..operators import names, site_search, walks
+from ..functions import density, text, urls
+from ..operators import contact_choice, names, site_search, walks
 from ..sources import shared
 from .catalogue import _query
 
@@ -162,3 +162,67 @@ def _plain_sql(x: str) -> str:
 def q_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages by the density of text and links."""
     return density.with_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")).drop("html")
+
+
+#: Suppliers as companies, with customers as the people of their sites, documents as pages, and orders as the register's notices.
+_SITES = """select s_suppkey as uid, case when s_suppkey % 4 = 0 then concat('https://de.mail', s_suppkey % 10, '.example.com/') else concat('https://www.mail', s_suppkey % 10, '.example.com/') end as site from supplier"""
+_PEOPLE = """select c_custkey % n as uid, c_custkey as pos, case when c_custkey % 5 = 0 then 'Anna' else concat('Anna K', c_custkey) end as name,
+    case c_mktsegment when 'BUILDING' then 'Inhaberin' when 'MACHINERY' then 'Präsident' when 'AUTOMOBILE' then 'Monteur' when 'FURNITURE' then 'CEO' end as role,
+    case when c_acctbal > 7000 then concat('k', c_custkey, '@mail', c_custkey % n % 10, '.example.com') when c_acctbal < 3000 then concat('k', c_custkey, '@else.example.org') end as email
+    from customer cross join (select count(*) as n from supplier) x where c_nationkey < 2"""
+_PAGES = """select doc_id % n as uid, doc_id as pos, concat('https://page', doc_id) as url, concat(text, case when length(text) % 3 = 0 then concat(' info@mail', doc_id % n % 10, '.example.com') when length(text) % 7 = 0 then concat(' Anna K', doc_id % n) else '' end) as text
+    from documents cross join (select count(*) as n from supplier) x where text is not null"""
+_NOTICES = """select o_custkey % n as uid, o_orderkey as pos, concat('Reg K', o_custkey) as name, case o_orderpriority when '1-URGENT' then 'Geschäftsführer' when '2-HIGH' then 'Präsident' when '3-MEDIUM' then 'Mitglied' end as role,
+    cast(o_orderdate as date) as published, o_orderstatus = 'F' as departed, concat('https://notice', o_orderkey) as url from orders cross join (select count(*) as n from supplier) x where o_custkey % 3 = 0"""
+_LEADS = "select s_suppkey as uid, concat('https://ch.linkedin.com/in/s', s_suppkey) as url from supplier where s_nationkey % 2 = 0"
+_ADDRESS_SQL = "'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}'"
+
+
+def _apex_sql(host: str) -> str:
+    return rf"case when regexp_matches({host}, '[^.]+\.example\.(com|net|org)$') then regexp_extract({host}, '([^.]+\.example\.(com|net|org))$', 1) else regexp_extract({host}, '([^.]+\.[^.]+)$', 1) end"
+
+
+def _rank_sql(role: str) -> str:
+    return f"case when {role} is null then 3 when regexp_matches(lower({role}), '{text.HEADS}') then 0 when regexp_matches(lower({role}), '{text.CHAIRS}') then 1 else 2 end"
+
+
+_CONTACTS = f"""with sites as (select *, 'mail' || (uid % 10) || '.example.com' as domain, case when uid % 4 <> 0 then 'mail' || (uid % 10) || '.example.com' end as guess from ({_SITES}) s), people as ({_PEOPLE}), docs as ({_PAGES}), notices as ({_NOTICES}), leads as ({_LEADS}),
+    found as (select uid, pos, url, generate_subscripts(e, 1) as place, unnest(e) as email from (select *, list_transform(regexp_extract_all(text, {_ADDRESS_SQL}), lambda x: lower(x)) as e from docs) x),
+    first_ as (select uid, email, arg_min(url, pos * 100000 + place) as url, min(pos * 100000 + place) as slot from found group by uid, email),
+    kinds as (select f.*, case when {_apex_sql("split_part(email, '@', 2)")} <> domain then 'third_party' when split_part(email, '@', 1) in ({", ".join(f"'{g}'" for g in ("info", "kontakt", "contact", "office", "mail", "post", "hello", "hallo", "welcome", "admin", "sekretariat", "empfang", "verkauf", "sales", "service", "team", "buero", "bureau", "zentrale", "anfrage", "inquiry"))}) then 'generic' else 'seen' end as kind from first_ f join sites using (uid)),
+    box as (select uid, arg_min(email, slot) as email, arg_min(url, slot) as url from kinds where kind = 'generic' group by uid), off as (select uid, arg_min(email, slot) as email, arg_min(url, slot) as url from kinds where kind = 'third_party' group by uid),
+    named as (select p.*, email is not null and email not like '%@' || domain as offsite, row_number() over (partition by p.uid order by email is null or email not like '%@' || domain, {_rank_sql("role")}, pos) as k from people p join sites using (uid) where name <> 'Anna'),
+    said as (select uid, list(concat_ws(', ', name, role, email) order by k) filter (where k > 1) as alternatives from named group by uid),
+    newest as (select * from (select *, rank() over (partition by uid, name order by published desc) as r from notices where uid not in (select uid from named)) x where r = 1 and not departed),
+    current_ as (select * from newest qualify row_number() over (partition by uid, name order by pos) = 1),
+    reg as (select *, row_number() over (partition by uid order by {_rank_sql("role")}, published desc, pos) as k from current_), reg_said as (select uid, list(concat_ws(', ', name, role) order by k) filter (where k > 1) as alternatives from reg group by uid),
+    j as (select s.*, p.name as p_name, p.role as p_role, p.email as p_email, p.offsite, n.name as n_name, n.role as n_role, n.url as n_url, n.published, b.email as b_email, b.url as b_url, o.email as o_email, o.url as o_url, l.url as l_url,
+        coalesce((select arg_min(url, pos) from docs d where d.uid = s.uid and contains(lower(d.text), lower(p.name))), s.site) as name_at, (select arg_min(url, pos) from docs d where d.uid = s.uid and contains(lower(d.text), lower(p.email))) as email_at,
+        case when p.name is not null then sa.alternatives when n.name is not null then ra.alternatives end as alternatives from sites s left join named p on p.uid = s.uid and p.k = 1 left join reg n on n.uid = s.uid and n.k = 1 left join box b on b.uid = s.uid left join off o on o.uid = s.uid left join leads l on l.uid = s.uid
+        left join said sa on sa.uid = s.uid left join reg_said ra on ra.uid = s.uid),
+    v as (select *, case when p_name is not null then case when p_email is not null and not offsite then 'seen' when b_email is not null then 'generic' when p_email is not null then 'third_party' when guess is not null then 'constructed' end
+        when n_name is not null then case when b_email is not null then 'generic' when guess is not null then 'constructed' end when b_email is not null then 'generic' when o_email is not null then 'third_party' end as kind from j),
+    w as (select *, case kind when 'seen' then p_email when 'generic' then b_email when 'constructed' then 'info@' || guess when 'third_party' then coalesce(p_email, o_email) end as email, case when kind is null or kind = 'constructed' then l_url end as lead from v),
+    rest as (select w.uid, list(k.email || ' ' || k.kind order by k.slot) as others from w join kinds k on k.uid = w.uid and k.email is distinct from w.email group by w.uid)
+    select w.uid, coalesce(p_name, n_name) as name, case when p_name is not null then p_role else n_role end as role, email, kind as email_kind, case when p_name is null and n_name is not null then 'shab' else 'site' end as source,
+        case when p_name is not null then case kind when 'seen' then coalesce(email_at, name_at) when 'generic' then b_url else name_at end when n_name is not null then n_url when kind = 'generic' then b_url when kind = 'third_party' then o_url end as source_url,
+        case when p_name is null then cast(published as varchar) end as source_date, coalesce(array_to_string(alternatives, '; '), '') as alternatives, lead,
+        array_to_string(list_slice(list_concat(case when email is not null and kind is not null then [email || ' ' || kind] else [] end, coalesce(others, [])), 1, 8), ', ') as addresses
+    from w left join rest using (uid) where p_name is not null or n_name is not null or email is not null or lead is not null"""
+
+
+@_query(_CONTACTS)
+def q_contact_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom to write to at each supplier as a company."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("supplier", "customer", "documents", "orders")}
+
+    def made(said: str) -> DataFrame:
+        for n in t:
+            said = said.replace(f"from {n}", f"from {{{n}}}")
+        return spark.sql(said, **{n: df for n, df in t.items() if f"{{{n}}}" in said})
+
+    apex = lambda h: urls.apex(h, suffixes=("example.com", "example.net", "example.org"))
+    inbox = lambda u: F.when(F.regexp_replace(urls.host(u), r"^www\.", "") == apex(urls.host(u)), apex(urls.host(u)))
+    found = contact_choice.contact_choice(made(_SITES), made(_PEOPLE), made(_PAGES), made(_NOTICES), made(_LEADS), lambda x: text.page_addresses(x, noise=True), _domain, inbox, apex)
+    listed = F.array_join(F.transform("addresses", lambda a: F.concat(a["email"], F.lit(" "), a["kind"])), ", ")
+    return found.withColumns({"alternatives": F.array_join("alternatives", "; "), "addresses": listed, "source_date": F.col("source_date").cast("string")})
