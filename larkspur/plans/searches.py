@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import density, text, urls
-from ..operators import contact_choice, names, site_search, walks
+from ..operators import contact_choice, fetching, names, site_search, walks
 from ..sources import shared
+from . import answers
 from .catalogue import _query
 
 _BLOCKED = ("casino-win.example.com", "spam-farm.example.com", "free-bets.example.com", "cheap-pills.example.com")
@@ -226,3 +229,52 @@ def q_contact_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contact_choice.contact_choice(made(_SITES), made(_PEOPLE), made(_PAGES), made(_NOTICES), made(_LEADS), lambda x: text.page_addresses(x, noise=True), _domain, inbox, apex)
     listed = F.array_join(F.transform("addresses", lambda a: F.concat(a["email"], F.lit(" "), a["kind"])), ", ")
     return found.withColumns({"alternatives": F.array_join("alternatives", "; "), "addresses": listed, "source_date": F.col("source_date").cast("string")})
+
+
+#: Answers recorded of pages: a third of them lead to another page, a third to one without its scheme or to a folder beside them, some to a machine of one's own.
+_RECORDED = """select url, case when length(html) % 13 = 0 then 404 when length(html) % 3 = 0 then 200 else 301 end as status, case when length(html) % 13 = 0 or length(html) % 3 = 0 then null when length(html) % 17 = 0 then concat('http://10.0.0.', cast(page_id % 250 as varchar(9)), '/x')
+    when length(html) % 3 = 1 then target when length(html) % 6 = 2 then regexp_replace(target, '^[a-z]+:', '') else '../../../y' end as location from (select p.url, p.html, p.page_id, t.url as target from pages p cross join (select count(*) as n from pages) c join pages t on t.page_id = (p.page_id * 7 + 3) % n) x"""
+
+
+@_query(
+    f"""with recursive recorded as (select * from ({_RECORDED}) r qualify row_number() over (partition by url order by location) = 1),
+    walk(url, final_url, hops, status, error, open_) as (select url, url, 0, null::int, null::varchar, true from pages
+        union all select w.url, case when r.location is not null and w.hops < 5 then case when r.location like 'http%' then r.location when r.location like '//%' then regexp_extract(w.final_url, '^([^:]*:)', 1) || r.location else regexp_extract(w.final_url, '^([a-z]+://[^/?#]*)', 1) || '/y' end
+            when r.location is not null then case when r.location like 'http%' then r.location when r.location like '//%' then regexp_extract(w.final_url, '^([^:]*:)', 1) || r.location else regexp_extract(w.final_url, '^([a-z]+://[^/?#]*)', 1) || '/y' end else w.final_url end,
+            w.hops + case when g.bad is null and r.location is not null then 1 else 0 end, case when g.bad is null then case when r.location is null then r.status end end,
+            case when g.bad is not null then g.bad when r.status is null then 'no answer is recorded' when r.location is not null and w.hops = 5 then 'more than 5 redirects' when r.location is not null then null when r.status >= 400 then 'HTTP ' || r.status end,
+            g.bad is null and r.location is not null and w.hops < 5
+        from walk w left join lateral (select case when w.final_url like 'http://10.%' then 'refused ' || regexp_extract(w.final_url, '://([^/]*)', 1) || ': not a public address' end as bad) g on true left join recorded r on r.url = w.final_url and g.bad is null where w.open_)
+    select url, final_url, hops, status, error from walk where not open_"""
+)
+def q_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each page's address leads, over recorded answers."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    recorded = spark.sql(_RECORDED.replace("from pages", "from {pages}").replace("join pages", "join {pages}"), pages=pages)
+    one = recorded.groupBy("url").agg(F.min(F.struct(F.col("location").isNull().alias("none"), "location", "status")).alias("x")).select("url", "x.status", "x.location")
+    return fetching.followed(pages, one)
+
+
+def _model(text: str, attempt: int) -> dict:
+    """A model that answers by the length of what it is asked: well, with another type, cut off, not at all, or well the second time."""
+    n = len(text)
+    kind = n % 7
+    if kind == 4:
+        raise TimeoutError("silent")
+    if kind == 5 and attempt == 1 or kind == 6:
+        return {"status": 503 if kind == 5 else 404}
+    said = json.dumps({"score": n % 11 if kind != 1 else "high", "reasons": [f"because of {n}"]})
+    return {"text": said[: -3 if kind == 2 else None], "finish_reason": "length" if kind == 2 else "stop", "model": "m1", "prompt_tokens": n, "completion_tokens": len(said)}
+
+
+@_query(
+    """with n as (select doc_id, length(text) as n, length(text) % 7 as k from documents)
+    select cast(doc_id as varchar) as key, case when k in (0, 3, 5) then n % 11 end as score, case when k in (0, 3, 5) then 'because of ' || n end as reason, case when k in (1, 4) then 'unusable' when k = 2 then 'truncated' when k = 6 then 'rejected' end as error_kind,
+        case k when 1 then 'no usable answer after 2 attempts: answer.score is no int' when 4 then 'no usable answer after 2 attempts: TimeoutError: silent' when 2 then 'cut off at 4096 tokens' when 6 then 'status 404' end as error_text,
+        case when k in (0, 2, 3, 5) then 'm1' end as model, 'v3' as prompt_version, case when k in (0, 2, 3, 5) then n end as prompt_tokens, case when k in (0, 3, 5) then 'stop' when k = 2 then 'length' when k = 6 then '' end as finish_reason, case when k in (1, 4, 5) then 2 else 1 end as attempts from n"""
+)
+def q_typed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed answer about each document, of a model whose answers hang on the length of the text."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("prompt_text"))
+    told = answers.typed_answers(rows, _model, "score int not null, reasons array<string>", "score", "v3")
+    return told.select("key", "answer.score", F.get("answer.reasons", F.lit(0)).alias("reason"), "error_kind", "error_text", "model", "prompt_version", "prompt_tokens", "finish_reason", "attempts")
