@@ -498,4 +498,4 @@ def q_companies_of_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.companies_of_address(relations(spark, sf_dir), ids.address_key(F.col("email")), "info@site7.example.com")
 
 
-from . import more, searches, stored  # noqa: E402, F401  they add to QUERIES and SQL
+from . import columns, more, searches, stored  # noqa: E402, F401  they add to QUERIES and SQL
