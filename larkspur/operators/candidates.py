@@ -40,9 +40,9 @@ def current_notices(notices: DataFrame) -> DataFrame:
 
 
 def validated_scores(answers: DataFrame, asked: DataFrame, least: int = 0, most: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Answers that count (one for each company asked about, the first, in range), and companies to ask about again. answers: pos, uid, score."""
-    known = answers.join(asked.select("uid"), "uid", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("uid").orderBy("pos"))).where("_k = 1").drop("_k")
-    good = known.where(F.col("score").between(least, most))
+    """Answers that count (for each company asked about the first that is in range), and companies to ask about again. answers: pos, uid, score."""
+    known = answers.where(F.col("score").between(least, most)).join(asked.select("uid"), "uid", "left_semi")
+    good = known.withColumn("_k", F.row_number().over(Window.partitionBy("uid").orderBy("pos"))).where("_k = 1").drop("_k")
     return good, asked.join(good.select("uid"), "uid", "left_anti")
 
 

@@ -378,7 +378,7 @@ def q_head_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ANSWERS = "select o_orderkey as pos, o_custkey as uid, cast(o_orderkey % 13 as int) as score from {orders}"
 _ASKED = "select c_custkey as uid from {customer} where c_mktsegment <> 'BUILDING'"
-_GOOD = f"good as (select pos, uid, score from (select *, row_number() over (partition by uid order by pos) as k from ({_ANSWERS.replace('{orders}', 'orders')}) a where uid in (select c_custkey from customer where c_mktsegment <> 'BUILDING')) t where k = 1 and score between 0 and 10)"
+_GOOD = f"good as (select pos, uid, score from (select *, row_number() over (partition by uid order by pos) as k from ({_ANSWERS.replace('{orders}', 'orders')}) a where score between 0 and 10 and uid in (select c_custkey from customer where c_mktsegment <> 'BUILDING')) t where k = 1)"
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

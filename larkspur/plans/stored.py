@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import suffixes, urls
-from ..operators import commits, ledger, retention
+from ..operators import candidates, commits, ledger, overview, retention, review
 from ..sources import paged, shared
 from ..sources.driver_tables import relations
 from ..streaming import scores as score_streams
-from .catalogue import _query, _with
-from .more import _GONE, _OWN, _TABLES
+from .catalogue import _ANSWER, _CURRENT, _FOLDS, RUN, _query, _with
+from .more import _DECIDE, _GONE, _KEY, _OWN, _TABLES
 
 _STORED = (*retention.ERASED, "results", "ledger", "pages", "suppression")
 _KEYS = f"""select 'uid' as kind, cast(uid as varchar) as key from suppression union select 'address', lower(trim(address)) from ledger where status = 'sent' and address is not null and {_GONE}
@@ -86,3 +86,58 @@ def q_streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         score = lambda rows: rows.select("uid", (F.col("uid") % 11).cast("int").alias("score"), F.lit("stream").alias("origin"))
         score_streams.score_stream(stream, ["uid"], score, root, f"{root}-checkpoint-{turn}").awaitTermination()
     return commits.read(spark, root)["scores"]
+
+
+@_query(
+    _with(("companies", "ledger", "responses", "invites", "contacts"), _FOLDS)
+    + f""", mails as (select uid, max_by(decided_at, id) as sent_at from ledger where status = 'sent' and id not in (select id from taken_back) group by uid), p as (select uid, person, row_number() over (partition by uid order by id desc) as k from contacts),
+    l as (select 'link' as kind, code as tag, coalesce(name, cast(i.uid as varchar)) as company, person, r.started_at as at_, {_ANSWER} as answer from invites i left join responses r on r.uid = i.uid left join companies c on c.uid = i.uid
+    union all select 'mail', cast(m.uid as varchar), coalesce(name, cast(m.uid as varchar)), person, m.sent_at, {_ANSWER} from mails m left join p on p.uid = m.uid and k = 1 left join companies c on c.uid = m.uid left join responses r on r.uid = m.uid)
+    select row_number() over (order by cast(at_ as date) desc nulls last, at_ desc nulls last, kind, tag) as n, kind, tag, company, person, strftime(at_, '%Y-%m-%d %H:%M:%S') as at, answer from l"""
+)
+def q_log_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.log_in_order(relations(spark, sf_dir)).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@_query(
+    _with(("results", "ledger"), _FOLDS + ", " + _CURRENT)
+    + """, w as (select run_id, count(*) as waiting from results where recommendation = 'send' and uid not in (select uid from current_) group by run_id),
+    r as (select run_id, count(*) as n, count(*) filter (where recommendation = 'send') as send, count(*) filter (where error_kind is not null) as failed, max(finished_at) as finished_at from results group by run_id)
+    select r.*, coalesce(waiting, 0) as waiting, run_id = (select x.run_id from r x join w y on y.run_id = x.run_id order by x.finished_at desc, x.run_id desc limit 1) as first_waiting from r left join w using (run_id)"""
+)
+def q_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.home(relations(spark, sf_dir))
+
+
+@_query(
+    _DECIDE
+    + """, seen_ as (select * from (select o_custkey as uid, concat('r', cast(o_orderkey % 5 as varchar(9))) as run_id, cast(o_orderkey % 3 + 1 as int) as batch_no, row_number() over (partition by o_custkey order by o_orderkey desc) as k from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F') t where k = 1),
+    results_ as (select * from (select concat('r', cast(o_orderkey % 5 as varchar(9))) as run_id, o_custkey as uid, case o_orderkey % 4 when 1 then 'send' when 2 then 'hold' when 3 then 'skip' else 'error' end as recommendation, concat('because of ', o_orderpriority) as reason,
+        row_number() over (partition by o_orderkey % 5, o_custkey order by o_orderkey desc) as k from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F') t where k = 1 and run_id = 'r1'),
+    site_ as (select page_id + 1 as uid, min(url) as site from pages group by 1)
+    select row_number() over (order by case r.recommendation when 'send' then 0 when 'hold' then 1 when 'skip' then 2 else 3 end, s.batch_no asc nulls last, r.uid) as rank, r.uid, co.name, co.municipality, r.recommendation, s.batch_no, r.reason, si.site, c.person, c.email, x.status as decision, d.draft_id
+    from results_ r left join seen_ s on s.uid = r.uid left join companies co on co.uid = r.uid left join site_ si on si.uid = r.uid left join c on c.uid = r.uid left join d on d.uid = r.uid left join current_ x on x.uid = r.uid"""
+)
+def q_wide_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = relations(spark, sf_dir)
+    states = review.card_states(t, "f1", _KEY(F.col("email")), "https://umfrage.ch/", F.col("municipality") % 5 != 2)
+    return overview.wide_cards(t, RUN, states).select("rank", "uid", "name", "municipality", "recommendation", "batch_no", "reason", "site", "person", "email", "decision", "draft_id")
+
+
+@_query(
+    """with a as (select c_custkey as uid, case when c_acctbal < 0 then null when c_custkey % 7 = 0 then 99 else cast(c_custkey % 11 as int) end as first_, case when c_custkey % 7 = 0 and c_custkey % 5 > 0 then 5 end as second_ from customer)
+    select uid, coalesce(case when first_ <= 10 then first_ end, second_) as score, case when first_ <= 10 then 1 when second_ is not null then 2 end as round from a"""
+)
+def q_scores_asked_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all customers from a model that leaves some out, is out of range for others, and mends some when asked again."""
+    asked, calls = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("uid"), "c_acctbal"), []
+
+    def score(rows: DataFrame) -> DataFrame:
+        calls.append(1)
+        odd = F.col("uid") % 7 == 0
+        value = F.when(odd, 99).otherwise((F.col("uid") % 11).cast("int")) if len(calls) == 1 else F.when(odd & (F.col("uid") % 5 > 0), 5)
+        said = rows.where("c_acctbal >= 0") if len(calls) == 1 else rows
+        return said.select(F.col("uid").alias("pos"), "uid", value.alias("score"), F.lit(len(calls)).alias("round")).where("score is not null")
+
+    good, missing = overview.asked_again(asked, score, candidates.validated_scores)
+    return good.select("uid", "score", "round").unionByName(missing.select("uid", F.lit(None).cast("int").alias("score"), F.lit(None).cast("int").alias("round")))
