@@ -313,7 +313,7 @@ def similar_links(nodes: DataFrame, radius: int, similarity: float, confirm, set
 
 
 def _tried(nodes: DataFrame, radius: int, similarity: float, most_bytes: int = 1 << 24) -> DataFrame:
-    """Links between nodes (node, root, fp, fp2, size, shingles) of different groups (root) that are close and whose shingles are alike: as many as join all that such pairs join.
+    """Links between nodes (node, root, fp, fp2, size, and shingles, 8 bytes each) of different groups (root) that are close and whose shingles are alike: as many as join all that such pairs join.
 
     Blocks are of nodes of one size within a factor of two, and of about most_bytes of shingles, however large their texts; sets of a similarity of a half and more are at most a factor of two apart, so
     blocks meet those of their own size and the next. The driver gets a count for each size.
@@ -332,7 +332,7 @@ def _tried(nodes: DataFrame, radius: int, similarity: float, most_bytes: int = 1
         halves = [[r for r in rows if r["block"] == k] for k in sorted({r["block"] for r in rows})]
         both = [r for half in halves for r in half]
         made = [Block(np.array([[r["fp"], r["fp2"]] for r in half], np.int64).view(np.uint64), np.array([r["size"] for r in half], np.int64)) for half in halves]
-        sets = [np.array(r["shingles"], np.int64) for r in both]
+        sets = [r["shingles"] for r in both]
         numbers, root = np.unique([r["root"] for r in both], return_inverse=True)
         above, ends = list(range(len(numbers))), []
 
@@ -354,12 +354,13 @@ def _tried(nodes: DataFrame, radius: int, similarity: float, most_bytes: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            found = batch.column(batch.schema.get_field_index("shingles"))
+            for k, row in enumerate(batch.drop_columns(["shingles"]).to_pylist()):
                 if row["pair"] != at and held:
                     yield work(held)
                     held = []
                 at = row["pair"]
-                held.append(row)
+                held.append(row | {"shingles": np.frombuffer(found[k].as_buffer(), np.int64).copy()})
         if held:
             yield work(held)
 
@@ -423,17 +424,25 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, see
     nodes = staged(prints.groupBy("fp", "fp2", "size").agg(F.min(F.struct("doc_id", "version")).alias("first")).select("fp", "fp2", "size", F.xxhash64("first.doc_id", "first.version").alias("node"), "first.*"), "wide_nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
             sets = [np.unique(shingles(t, width, seed)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    def sets_of(ends: DataFrame) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
+            sets = [np.unique(shingles(t, width, seed)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def texts_of(ends: DataFrame) -> DataFrame:
         wanted = nodes.join(ends, "node", "left_semi").select("node", "doc_id", "version")
-        texts = known.join(wanted, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
-        return texts.mapInArrow(run, "node long, shingles array<long>")
+        return known.join(wanted, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        return texts_of(ends).mapInArrow(pack, "node long, shingles binary")
 
     def confirm(met: DataFrame) -> DataFrame:
-        sets = staged(sets_of(met.select("a").union(met.select("b")).toDF("node").distinct()), "shingles")
+        ends = met.select("a").union(met.select("b")).toDF("node").distinct()
+        sets = staged(texts_of(ends).mapInArrow(run, "node long, shingles array<long>"), "shingles")
         side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
         common = F.size(F.array_intersect("of_a", "of_b"))
         return met.join(side("a"), "a").join(side("b"), "b").where(common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
