@@ -25,7 +25,7 @@ DEPTH = 2
 LEAST_BITS, MOST_BITS = 16, 24
 PIECE = 1 << 16
 #: Bytes of text that are worked on at once, bytes that a task has at least, if there are more tasks than cores, and rows of counts that a task holds to add them up.
-WINDOW, SHARE, HELD = 1 << 21, 1 << 28, 1 << 20
+WINDOW, SHARE, HELD = 1 << 20, 1 << 28, 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9] = 32
