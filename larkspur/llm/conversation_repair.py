@@ -309,3 +309,31 @@ def repair(conversations: DataFrame, most_rows: int = 1024, most_bytes: int = 1
     joined = every.alias("a").join(found.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")), "left")
     empty = {"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
     return joined.select("a.conv_id", *(F.coalesce(f"b.{c}", F.lit(empty.get(c, 0))).alias(c) for c in names))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of repair over `conversations`: all edits of a row at a time, and for each state the least of cost and audit so far."""
+    more = lambda s, n, ch: f"(lpad(cast(cast(substr({s}, 1, 6) as int) + {n} as varchar), 6, '0') || substr({s}, 7) || '{ch}')"
+    step = "i2 as (select {keep}, s0, s1, s3, least(s2, {a}, {b}, {c}) as t2 from x), i3 as (select *, least(s3, {d}) as t3 from i2), i as (select {keep}, s0 as i0, s1 as i1, least(t2, {e}) as i2, t3 as i3 from i3)"
+    insert = lambda keep: step.format(keep=keep, a=more("s0", INSERT, "I"), b=more("s1", INSERT, "I"), c=more("s3", INSERT, "I"), d=more("t2", INSERT, "I"), e=more("t3", INSERT, "I"))
+    kept = lambda s, initial: f"case when fault < 2 and initial = '{initial}' then {more(s, f'{CUT} * fault', 'K')} end"
+    other = lambda s: f"case when fault < 2 then {more(s, f'{REROLE} + {CUT} * fault', 'R')} end"
+    crc = "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({0}, ''), lambda z: [ascii(z)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda p, q: case when xor(p, q) & 1 = 1 then xor(xor(p, q) >> 1, 3988292384) else xor(p, q) >> 1 end))"
+    key = "(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))"
+    return f"""with recursive d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc.format(key)} % 20 as kind from conversations),
+    e as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text from d cross join (select unnest([1, 2]) as copy) c where kind <> 0 and (copy = 1 or kind = 3)),
+    o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as k from e), r as (select *, row_number() over (partition by conv_id, role, text order by k) as again, substr(role, 1, 1) as initial, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from o),
+    f as (select *, case when bare = '' then 2 when again > 1 then 3 when right(bare, 1) not in ('.', '!', '?') then 1 else 0 end as fault, lag(initial) over (partition by conv_id order by k) as before from r),
+    s(conv_id, k, s0, s1, s2, s3) as (select distinct conv_id, 0::bigint, '000000', null::varchar, null::varchar, null::varchar from f
+        union all (with x as (select s.*, f.fault, f.initial from s join f on f.conv_id is not distinct from s.conv_id and f.k = s.k + 1), {insert("conv_id, k, fault, initial")}
+        select conv_id, k + 1, {more("i0", DELETE, "D")}, least({more("i1", DELETE, "D")}, {kept("i0", "s")}), least({more("i2", DELETE, "D")}, {kept("i0", "u")}, {kept("i1", "u")}, {kept("i3", "u")}, {other("i0")}, {other("i1")}, {other("i3")}), least({more("i3", DELETE, "D")}, {kept("i2", "a")}, {other("i2")}) from i)),
+    x as (select * from s qualify row_number() over (partition by conv_id order by k desc) = 1), {insert("conv_id")}, best as (select conv_id, least(i0, i3) as said from i),
+    letters as (select conv_id, substr(said, 6 + j, 1) as letter, j from best, lateral (select unnest(range(1, length(said) - 5)) as j) n),
+    placed as (select *, count(*) filter (where letter <> 'I') over w as k, count(*) filter (where letter <> 'D') over w as m from letters window w as (partition by conv_id order by j)),
+    met as (select p.*, f.role, f.text, f.initial from placed p left join f on p.letter <> 'I' and f.conv_id is not distinct from p.conv_id and f.k = p.k),
+    starts as (select conv_id, max(case when m = 1 and letter = 'K' and initial = 's' then 1 else 0 end) as system_ from met where letter <> 'D' group by conv_id),
+    lines as (select met.conv_id, j, case letter when 'K' then role else case when (m - system_) % 2 = 1 then 'user' else 'assistant' end end || ':' || case letter when 'I' then '' else text end as line from met join starts on starts.conv_id is not distinct from met.conv_id where letter <> 'D'),
+    told as (select conv_id, string_agg(line, chr(10) order by j) as whole from lines group by conv_id),
+    counted as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 2) as blank, count(*) filter (where fault = 3) as duplicate, count(*) filter (where fault = 1) as truncated, count(*) filter (where before || initial not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+    select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cast(substr(said, 1, 6) as int), 0) as cost, coalesce(substr(said, 7), '') as audit, sha256(coalesce(whole, '')) as repaired_sha256
+    from (select distinct conv_id from conversations) a left join counted c on c.conv_id is not distinct from a.conv_id left join best b on b.conv_id is not distinct from a.conv_id left join told t on t.conv_id is not distinct from a.conv_id"""

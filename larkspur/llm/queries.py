@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_ledger": secrets.oracle(), "secret_ledger_rounds": secrets.oracle(), "op3_suffix_dedup": suffix_dedup.oracle(), "op11_collocations": collocations.oracle()}
+    return {"op2_secret_ledger": secrets.oracle(), "secret_ledger_rounds": secrets.oracle(), "op3_suffix_dedup": suffix_dedup.oracle(), "op11_collocations": collocations.oracle(), "op13_conversation_repair": conversation_repair.oracle()}

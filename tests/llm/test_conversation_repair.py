@@ -5,6 +5,7 @@ import re
 import zlib
 from itertools import product
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -171,3 +172,11 @@ def every(rows, q="", k=0, limit=3):
             if re.fullmatch("s?(ua)*u?", q + new):
                 best += [(cost + c, letter + a) for c, a in [every(rows, q + new, k + 1)]]
     return min(best, default=(10**6, ""))
+
+
+def test_sql_against_all_edits():
+    rows = mixed()
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted((tuple(r) for r in con.sql(cr.oracle()).fetchall()), key=str) == brute(rows)
