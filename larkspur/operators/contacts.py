@@ -94,6 +94,7 @@ def next_cards(cards: DataFrame) -> DataFrame:
     rows = cards.withColumn("_bucket", F.floor(F.col("rank") / STRETCH)).withColumn("_open", F.when(~F.col("closed"), F.col("uid")))
     forward = Window.partitionBy("_bucket").orderBy("rank").rowsBetween(1, Window.unboundedFollowing)
     firsts = rows.groupBy("_bucket").agg(F.min_by("_open", F.when(F.col("_open").isNotNull(), F.col("rank"))).alias("_first"))
+    # windows over a row for each STRETCH cards: few, so that one task can have them
     later = Window.orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
     every = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("_bucket", F.first("_first", True).over(later).alias("_later"), F.first("_first", True).over(every).alias("_any"))

@@ -13,6 +13,7 @@ def recommend(site: Column, distributor: Column, foreign: Column, name: Column,
     who = F.coalesce(name, F.lit("nobody named"))
     true = lambda c: F.coalesce(c, F.lit(False))
     say = lambda verdict, *said: F.struct(F.lit(verdict).alias("recommendation"), F.concat(*(s if isinstance(s, Column) else F.lit(s) for s in said)).alias("reason"))
+    # fixed values: the reasons, in their order
     rules = [
         (site.isNull(), say("skip", "no website of its own was found")),
         (true(distributor), say("skip", "its site says it resells what others make")),
