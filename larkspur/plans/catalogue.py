@@ -376,7 +376,7 @@ def q_head_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", text.head_clause(F.col("p")).alias("head"), text.screen_reason(F.col("n"), F.col("p")).alias("reason"))
 
 
-_ANSWERS = "select o_orderkey as pos, o_custkey as uid, cast(o_orderkey % 13 as int) as score from {orders}"
+_ANSWERS = "select o_orderkey as pos, o_custkey as uid, cast(case when o_custkey % 9 = 0 then 11 + o_orderkey % 3 else o_orderkey % 13 end as int) as score from {orders}"
 _ASKED = "select c_custkey as uid from {customer} where c_mktsegment <> 'BUILDING'"
 _GOOD = f"good as (select pos, uid, score from (select *, row_number() over (partition by uid order by pos) as k from ({_ANSWERS.replace('{orders}', 'orders')}) a where score between 0 and 10 and uid in (select c_custkey from customer where c_mktsegment <> 'BUILDING')) t where k = 1)"
 
