@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import drafts, gazette, html, ids, text, urls
 from ..operators import candidates, contacts, decisions, eligibility, ledger, report, upsert
+from ..sources import shared
 from ..sources.driver_tables import relations, with_relations
 
 SETTING = eligibility.Setting("O", "1-URGENT", ("m0", "m1"), "c1", 5)
@@ -430,7 +431,8 @@ def q_gazette_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def q_textify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html.textify("html").alias("text"), html.find_links("html", "url").alias("links"), html.schema_org("html").alias("schema_org"))
+    pages = shared.spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).select("page_id", html.page_parts("html", "url").alias("x"))
+    return pages.select("page_id", F.col("x.said").alias("text"), F.struct("x.imprint", "x.legal", "x.about").alias("links"), F.col("x.organisation").alias("schema_org"))
 
 
 @_query()

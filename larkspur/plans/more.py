@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, ids, mail, text, urls
 from ..operators import candidates, contacts, decisions, eligibility, ledger, lifecycle, report, retention, review, sites
-from ..sources import files
+from ..sources import files, shared
 from ..sources.driver_tables import relations
 from . import run
 from .catalogue import _CURRENT, _FOLDS, _query, _with
@@ -486,9 +486,9 @@ _PAGE = """concat('<html><head><title>T</title><script type="application/ld+json
     'https://www.muster.ch/impressum' as imprint, 'https://www.muster.ch/team' as about, 'Name: Muster ' || c_custkey || ' AG | Address: 3000' as organisation from customer"""
 )
 def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_custkey").cast("string").alias("k")).withColumn("html", F.expr(_PAGE)).withColumn("base", F.lit("https://www.muster.ch/"))
-    rows = rows.select("uid", html.textify("html").alias("said"), html.find_links("html", "base").alias("l"), html.schema_org("html").alias("organisation"))
-    return rows.select("uid", "said", F.array_join("l.imprint", " ").alias("imprint"), F.array_join("l.about", " ").alias("about"), "organisation")
+    rows = shared.spread(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_custkey").cast("string").alias("k"))).withColumn("html", F.expr(_PAGE)).withColumn("base", F.lit("https://www.muster.ch/"))
+    rows = rows.select("uid", html.page_parts("html", "base").alias("x"))
+    return rows.select("uid", "x.said", F.array_join("x.imprint", " ").alias("imprint"), F.array_join("x.about", " ").alias("about"), "x.organisation")
 
 
 @_query("select c_custkey as uid, 'strasse fin ' || lower(c_name) as folded, 'info@xn--mller-kva.ch' as address, '<p>' || c_name || ' &amp; &lt;b&gt;</p><p>x<br><a href=\"https://s.ch/?c=1\">https://s.ch/?c=1</a></p>' as html from customer")

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -20,6 +20,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out over all tasks, for work that costs much more than moving them: a file of few row groups would leave it to few tasks, however large it is."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def _of(spark: SparkSession, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
