@@ -460,7 +460,7 @@ def q_parse_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def q_sentence_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit(drafts.PREFIX), "text", F.lit("."))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(drafts.sentence_problems(said), ",").alias("problems"))
+    return shared.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.array_join(drafts.sentence_problems(said), ",").alias("problems"))
 
 
 @_query(
