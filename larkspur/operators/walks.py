@@ -28,10 +28,11 @@ def sitemap_pages(sites: DataFrame, maps: DataFrame, homes: DataFrame, limit: in
     index's nested ones NESTED are followed, and a site's walk ends when ten times limit pages are found (the feature). A site without any takes its home page's links. Sitemaps are read in the order in
     which they were met, so which one is the last to be read is the same as in a walk of one site after the other.
 
-    Rounds go on until no site has anything left; each is stored under root, a folder that driver and executors share, where a walk that broke off goes on.
+    What maps says is stored once, as each round joins it. Rounds go on until no site has anything left; each is stored under root, a folder that driver and executors share, where a walk that broke off goes on.
     """
     spark, most = sites.sparkSession, 10 * limit
     edge, tried, k = sites.select("site", F.col("start").alias("url"), F.lit(1).alias("seq")), [], 0
+    maps = _kept(spark, f"{root}/maps", maps.select("url", "pages", "nested"))
     within = Window.partitionBy("site").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     while True:
         new = edge.groupBy("site", "url").agg(F.min("seq").alias("seq"))

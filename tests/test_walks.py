@@ -72,3 +72,19 @@ def test_links_are_followed_to_the_end_and_never_back(spark, tmp_path):
     found = {(r.url, r.depth) for r in walks.reached(links, start, None, f"file://{tmp_path}/all").collect()}
     assert found == {("a", 0), ("b", 1), ("c", 2), *((f"x{k}", k) for k in range(15))}
     assert walks.reached(links, start, 4, f"file://{tmp_path}/some").count() == 4
+
+
+def test_maps_are_stored_once_for_all_rounds(spark, tmp_path):
+    sites = spark.createDataFrame([(1, "m1")], "site long, start string")
+    maps = spark.createDataFrame([("m1", [], ["m2"]), ("m2", [], ["m3"]), ("m3", ["p"], [])], "url string, pages array<string>, nested array<string>")
+    homes = spark.createDataFrame([], "site long, links array<string>")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    found = walks.sitemap_pages(sites, maps.coalesce(1).mapInPandas(counted, maps.schema), homes, 5, f"file://{tmp_path}/w")
+    assert [r.url for r in found.orderBy("n").collect()] == ["p", "1"]
+    assert read.value == 3
