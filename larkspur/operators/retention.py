@@ -15,6 +15,8 @@ from . import commits
 Tables = Mapping[str, DataFrame]
 HELD = ("contacts", "profiles", "sites", "drafts", "searches")
 ERASED = ("contacts", "drafts", "profiles", "sites", "searches", "responses", "progress")
+#: Keys of each domain, where its pages meet it in a join.
+SALTS = 32
 #: Kinds of addresses on a company's own site.
 ON_SITE = ("seen", "generic", "constructed")
 
@@ -46,7 +48,9 @@ def own_domains(t: Tables, uids: DataFrame) -> DataFrame:
 
 
 def _of_domains(pages: DataFrame, domains: DataFrame, how: str) -> DataFrame:
-    found = pages.withColumn("domain", urls.registered_domain(F.col("url"))).join(domains, "domain", how)
+    """The pages that are, or aren't, of these domains. A domain may have any share of all pages, so each domain's are dealt out over SALTS keys."""
+    dealt = pages.withColumns({"domain": urls.registered_domain(F.col("url")), "_salt": F.pmod(F.xxhash64("url"), F.lit(SALTS))})
+    found = dealt.join(domains.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["domain", "_salt"], how)
     return found.select(pages.columns)
 
 
