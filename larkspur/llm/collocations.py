@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from .common import staged
 
 LONGEST = 5
+SIZES = tuple(range(1, LONGEST + 1))
 DEPTH = 2
-#: Cells of a row of the sketch, as powers of two: for small tables, and at most, as each task counts in 4 bytes a cell and row.
-LEAST_BITS, MOST_BITS = 16, 24
+#: Cells of a row of the sketch, as powers of two: for small tables, and at most, as each task counts in a byte or two a cell and row.
+LEAST_BITS, MOST_BITS = 16, 26
+#: N-grams to a cell beyond which a sketch of all lengths would sift too little, so that longer ones have a sketch of their own.
+FULL = 32
 PIECE = 1 << 16
 #: Bytes of text that are worked on at once, bytes that a task has at least, if there are more tasks than cores, and rows of counts that a task holds to add them up.
 WINDOW, SHARE, HELD = 1 << 20, 1 << 28, 1 << 20
@@ -143,26 +146,50 @@ def _read(texts: list[bytes], langs: list[str]) -> tuple[Words, list[str], np.nd
     return read(texts, [number[x] for x in langs]), names, mixed(seeds)
 
 
-def sketch(docs: DataFrame, least: int, bits: int, window: int = WINDOW) -> list[np.ndarray]:
+def _present(rows: list[np.ndarray], key: np.ndarray, bits: int) -> np.ndarray:
+    """Whether all cells of each n-gram reach the least count."""
+    there = np.ones(len(key), bool)
+    for row, cell in zip(rows, cells(key, bits), strict=True):
+        there &= (row[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
+    return there
+
+
+def sketch(docs: DataFrame, least: int, bits: int, window: int = WINDOW, sizes: tuple[int, ...] = SIZES, below: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """For each row of the sketch over docs (text, lang) of 2^bits cells, which cells reach least: 2^bits / 8 bytes a row on the driver.
 
-    A task hands on its cells, in pieces, cut off at least, so that a byte or two hold one; pieces are added up where they meet, each in a table of its own.
+    sizes: the lengths that are counted. below: such bits of shorter n-grams; longer ones are counted only if all their parts of the longest of those lengths have passed.
+
+    A task counts in cells that stop at least, so that a byte or two hold one, and hands them on in pieces; pieces are added up where they meet, each in a table of its own.
     """
     kind = np.uint8 if least <= 255 else np.uint16 if least < 1 << 16 else np.uint32
+    shared = docs.sparkSession.sparkContext.broadcast(below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((DEPTH, 1 << bits), np.uint32)
+        table, known = np.zeros((DEPTH, 1 << bits), kind), shared.value
         for texts, langs in _windows(batches, window):
             words, _, seeds = _read(texts, langs)
-            for _, _, key in grams(words, seeds):
-                for row, at in zip(table, cells(key, bits), strict=True):
-                    np.add.at(row, at, np.uint32(1))
-            np.minimum(table, np.uint32(1 << 31), out=table)
+            alive = None
+            for n, at, key in grams(words, seeds):
+                if known is not None and n == sizes[0] - 1:
+                    alive = np.zeros(len(words.start), bool)
+                    alive[at[_present(known, key, bits)]] = True
+                if n not in sizes:
+                    continue
+                if alive is not None:
+                    there = alive[at]
+                    for k in range(1, n - sizes[0] + 2):
+                        there &= alive[at + k]
+                    key = key[there]
+                for row, cell in zip(table, cells(key, bits), strict=True):
+                    cell.sort()
+                    first = np.flatnonzero(np.diff(cell, prepend=-1))
+                    times = np.diff(first, append=len(cell))
+                    row[cell[first]] = np.minimum(row[cell[first]] + times, least).astype(kind)
         for r, row in enumerate(table):
             for k in range(0, 1 << bits, PIECE):
                 part = row[k : k + PIECE]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([r * (1 << MOST_BITS) // PIECE + k // PIECE], pa.int32()), pa.array([np.minimum(part, least).astype(kind).tobytes()], pa.binary())], names=["piece", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r * (1 << MOST_BITS) // PIECE + k // PIECE], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["piece", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -199,12 +226,12 @@ def _strings(words: Words, at: np.ndarray, n: int) -> pa.Array:
     return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data[keep]))
 
 
-def count_survivors(docs: DataFrame, bit: list[np.ndarray], bits: int, window: int = WINDOW, held: int = HELD) -> DataFrame:
-    """lang, size, phrase and f (its occurrences) of the n-grams of docs (text, lang) whose cells are all set; with size 0, the words of each lang.
+def count_survivors(docs: DataFrame, bit: list[np.ndarray] | dict[int, list[np.ndarray]], bits: int, window: int = WINDOW, held: int = HELD) -> DataFrame:
+    """lang, size, phrase and f (its occurrences) of the n-grams of docs (text, lang) whose cells are all set in the sketch, or in that of their length; with size 0, the words of each lang.
 
     A task adds up what its windows give, and hands it on when that is over half of held rows, so that each n-gram is shuffled about once a task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bit)
+    shared = docs.sparkSession.sparkContext.broadcast(bit if isinstance(bit, dict) else dict.fromkeys(SIZES, bit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, n = [], 0
@@ -234,9 +261,7 @@ def count_survivors(docs: DataFrame, bit: list[np.ndarray], bits: int, window: i
             for n, at, key in grams(words, seeds):
                 if not len(at):
                     break
-                there = np.ones(len(at), bool)
-                for row, cell in zip(rows, cells(key, bits), strict=True):
-                    there &= (row[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
+                there = _present(rows[n], key, bits)
                 if n > 1:
                     there &= alive[at] & alive[at + 1]
                 at = at[there]
@@ -279,15 +304,15 @@ def scored(counts: DataFrame, most: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def mine(docs: DataFrame, least: int = 100, most: int = 2000, bits: int | None = None, window: int = WINDOW) -> DataFrame:
+def mine(docs: DataFrame, least: int = 100, most: int = 2000, bits: int | None = None, window: int = WINDOW, full: int = FULL) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the first most phrases of each lang of docs (text, lang), of those found least times.
 
     A null text counts as empty, a null lang as `und`; other columns are left out. Words without a piece, empty texts and empty tables
     give no rows; rows that repeat count each. Texts are worked on in windows cut between pieces, so only a piece has to fit a task's memory.
 
-    The sketch has four cells a row for each n-gram that could be frequent, by the bytes of all texts, up to 2^MOST_BITS: 128 MB in each task that counts, and 4 MB of bits, which are broadcast.
-    Beyond some 400 million words it fills up: more survive it, down to none sifted out, and the exact counting has more to do. What is
-    found stays the same. A task reads SHARE bytes in either pass, as each hands on a sketch, and each n-gram that it has.
+    The sketch has four cells a row for each n-gram that could be frequent, by the bytes of all texts, up to 2^MOST_BITS: 128 MB in each task that counts, and 16 MB of bits, which are broadcast. Where more
+    than FULL n-grams would come to a cell, those of one and two words have a sketch, and longer ones another, which counts only those all of whose pairs have passed.
+    What is found stays the same. A task reads SHARE bytes in each pass, as each hands on a sketch, and each n-gram that it has.
     """
     spark = docs.sparkSession
     texts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).where("text is not null")
@@ -296,7 +321,11 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2000, bits: int | None =
         bits = min(MOST_BITS, max(LEAST_BITS, (4 * LONGEST * size // (6 * least)).bit_length()))
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // SHARE))
     texts = texts.coalesce(tasks)
-    bit = sketch(texts, least, bits, window)
+    if LONGEST * size // 6 <= full << bits:
+        bit = dict.fromkeys(SIZES, sketch(texts, least, bits, window))
+    else:
+        short = sketch(texts, least, bits, window, SIZES[:2])
+        bit = dict.fromkeys(SIZES[:2], short) | dict.fromkeys(SIZES[2:], sketch(texts, least, bits, window, SIZES[2:], short))
     counts = staged(count_survivors(texts, bit, bits, window).where((F.col("f") >= least) | (F.col("size") == 0)), "frequent")
     return scored(counts, most)
 

@@ -101,3 +101,15 @@ def test_products_beyond_64_bits(spark):
 
 def test_empty_table(spark):
     assert co.mine(spark.createDataFrame([], "text string, lang string")).count() == 0
+
+
+def test_longer_ones_have_a_sketch_of_their_own_where_one_would_fill_up(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") + rng.choice("abcdefghijkl") for _ in range(rng.randrange(60))) + " sie sah das alte haus. so war es" for _ in range(300)]
+    docs = spark.createDataFrame([(t, "de") for t in texts], "text string, lang string")
+    one, two = (sorted(tuple(r) for r in co.mine(docs, 20, 2000, 16, 900, full).collect()) for full in (1 << 30, 0))
+    assert one == two and one
+    short = co.sketch(docs, 20, 8, 900, (1, 2))
+    longer = co.sketch(docs, 20, 12, 900, (3, 4, 5), co.sketch(docs, 20, 12, 900, (1, 2)))
+    every = co.sketch(docs, 20, 12, 900)
+    assert np.unpackbits(short[0]).all() and np.unpackbits(longer[0]).sum() < np.unpackbits(every[0]).sum() / 2
