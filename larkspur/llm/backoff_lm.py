@@ -27,13 +27,17 @@ from pyspark.sql import functions as F
 
 from .common import drop_staged, remainder, staged
 
-SCORED = "row long, doc_id long, n_tokens long, head_known long, head_base double, head_score double, rest array<struct<word: string, times: long>>, grams array<long>"
-_REST = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
+#: A key and the places of its texts after row, each as often as it is found there; or, where row is -1 less that of a text, what the traversal says of it, as OWN.
+MET = "row long, key long, at binary"
+OWN = np.dtype([("doc_id", "<i8"), ("there", "<i8"), ("n_tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+SUMS = "row long, doc_id long, n_tokens long, known long, base double, score double"
+#: Keys of texts that a task holds before it hands them on, each with all its texts.
+TOGETHER = 2_000_000
 #: Distinct words, or n-grams, that a task holds before it hands their counts on.
 HELD = 400_000
 END = b""
-#: Bits of a map of keys, which goes to every task, and of a block of it.
-BITS, _BLOCK = 1 << 28, 1 << 18
+#: Bits of a map of keys, which goes to every task, at most and at least, and of a block of it.
+BITS, LEAST, _BLOCK = 1 << 28, 1 << 20, 1 << 18
 _P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -125,8 +129,9 @@ def runs(texts: list[list[bytes]], keys: Keys, order: int) -> Iterator[tuple[np.
         yield of[: len(key)][fits], a[fits], b[fits], key[fits]
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """BITS bits, those at the low bits of the keys set. What has no bit is not among the keys; a full map only lets more pass to where keys are compared."""
+def bitmap(keys: DataFrame, n: int) -> np.ndarray:
+    """Some 32 bits for each of about n keys, a power of two from LEAST to BITS, those at the low bits of the keys set. What has no bit is not among the keys; a full map only lets more pass to where keys are compared."""
+    size = min(max(1 << (32 * n).bit_length(), LEAST), BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
@@ -137,21 +142,21 @@ def bitmap(keys: DataFrame) -> np.ndarray:
         for block, bits in blocks.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
 
-    low = F.col("key").bitwiseAND(F.lit(BITS - 1))
+    low = F.col("key").bitwiseAND(F.lit(size - 1))
     dealt = keys.select(F.floor(low / _BLOCK).alias("block"), (low % _BLOCK).alias("bit")).repartition("block")
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for r in dealt.mapInArrow(run, "block long, bits binary").toLocalIterator():
         out[r["block"] * (_BLOCK // 8) : (r["block"] + 1) * (_BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def there(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    low = key & np.uint64(BITS - 1)
+    low = key & np.uint64(len(bits) * 8 - 1)
     return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def count_grams(docs: DataFrame, shorter: np.ndarray, n: int) -> DataFrame:
-    """a, b and n: every run of n words that is found twice or more, by the keys of its first and its last n - 1 words, and how often it is.
+    """a, b and n, staged: every run of n words that is found twice or more, by the keys of its first and its last n - 1 words, and how often it is.
 
     shorter has the bits of the shorter runs found twice or more: a run that is found twice has parts that are, so none is missed.
     """
@@ -169,7 +174,59 @@ def count_grams(docs: DataFrame, shorter: np.ndarray, n: int) -> DataFrame:
             yield from (pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (a, b, times)], names=["a", "b", "n"]) for i in range(0, len(a), 50_000))
 
     counted = docs.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return counted.where("n > 1")
+    out = staged(counted.where("n > 1"), "grams")
+    shared.destroy()  # else each executor keeps its copy on disk
+    return out
+
+
+def gathered(first: int, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of MET for keys at places, fewer than 2^16, after the row first: each distinct key once."""
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order].astype("<u2")
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    ends = np.append(starts, len(key))
+    for i in range(0, len(starts), 50_000):
+        here = ends[i : i + 50_001]
+        n, bytes_ = len(here) - 1, place[here[0] : here[-1]].tobytes()
+        at = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(((here - here[0]) * 2).astype(np.int32).tobytes()), pa.py_buffer(bytes_)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, first)), pa.array(key[starts[i : i + n]].view(np.int64)), at], names=_names(MET))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SUMS from (row, at, base_weight, more): texts' own as they are, and of keys that met a weight what they add to each of their texts."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def give() -> Iterator[pa.RecordBatch]:
+        row, base, more = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        rows, at = np.unique(row, return_inverse=True)
+        n = len(rows)
+        sums = [np.bincount(at, base > 0, n).astype(np.int64), np.bincount(at, base, n), np.bincount(at, more, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *map(pa.array, sums)], names=_names(SUMS))
+
+    for batch in batches:
+        row, at = batch.column(0).to_numpy(), batch.column(1)
+        ends = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1]
+        data, own = np.frombuffer(at.buffers()[2], np.uint8), np.flatnonzero(row < 0)
+        if len(own):
+            x = np.frombuffer(b"".join(data[ends[k] : ends[k + 1]].tobytes() for k in own), OWN)
+            doc_id = pa.array(x["doc_id"], mask=x["there"] == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - row[own]), doc_id, *(pa.array(np.ascontiguousarray(x[n])) for n in OWN.names[2:])], names=_names(SUMS))
+        base, more = (batch.column(k).fill_null(0.0).to_numpy(zero_copy_only=False) for k in (2, 3))
+        fits = (row >= 0) & batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+        if fits.any():
+            many = np.diff(ends) // 2
+            place = data[ends[0] : ends[-1]].view("<u2")[np.repeat(fits, many)]
+            many = many[fits]
+            held.append((np.repeat(row[fits], many) + place, np.repeat(base[fits], many), np.repeat(more[fits], many)))
+            if sum(len(x[0]) for x in held) > TOGETHER // 2:
+                yield from give()
+    if held:
+        yield from give()
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int, usual: float = 0.75) -> tuple[float, float, float]:
@@ -250,19 +307,19 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, contex
     one = (n - F.when(n == 1, less[0]).when(n == 2, less[1]).otherwise(less[2])) / max(tokens, 1)
     zero, none = F.lit(0.0), spark.createDataFrame([], "key long, all long, rest double")
     level = vocabulary.select(F.xxhash64("word").alias("key"), "n", one.alias("p")).where("n > 1")
-    grams, rests, bits = [], [], [bitmap(level)]
+    grams, rests, bits = [], [], [bitmap(level, kinds - totals[2])]
     for size in range(2, order + 1):
-        counted = staged(count_grams(training, bits[-1], size), "grams")
+        counted = count_grams(training, bits[-1], size)
         used = counted.groupBy(F.col("a").alias("key")).agg(F.sum(n - discount).alias("used"))
         rest = staged(used.join(level.select("key", F.col("n").alias("all")), "key").select("key", "all", F.greatest(1 - F.col("used") / F.col("all"), F.lit(1e-12)).alias("rest")), "rests")
         whole = counted.join(rest.withColumnRenamed("key", "a"), "a").select("a", "b", "n", "rest", ((n - discount) / F.col("all")).alias("own"))
         whole = whole.join(level.select(F.col("key").alias("b"), F.col("p").alias("short")), "b").withColumn("p", F.col("own") + F.col("rest") * F.col("short"))
         often_found = [F.when(n >= tokens / share, F.col(x)).alias(x) for x in ("a", "b")]
-        level = staged(whole.select(F.xxhash64("a", "b").alias("key"), *often_found, "n", "p", (F.log10("p") - F.log10("rest") - F.log10("short")).alias("more")), "level")
+        level = staged(whole.select(F.xxhash64("a", "b").alias("key"), *often_found, "n", F.when(F.lit(size < order) | (n >= tokens / share), F.col("p")).alias("p"), (F.log10("p") - F.log10("rest") - F.log10("short")).alias("more")), "level")
         drop_staged(counted)
         grams.append(level)
         rests.append(rest)
-        bits.append(bitmap(level))
+        bits.append(bitmap(level, level.count()))
     rests.append(none)
     backoff = lambda of, rest: of.join(rest.select("key", F.log10("rest").alias("backoff")), "key", "left").withColumn("backoff", F.coalesce("backoff", zero))
     few = lambda of, rest: backoff(of, rest.join(F.broadcast(of.select("key")), "key", "left_semi")).toLocalIterator()
@@ -293,39 +350,53 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, contex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, arc, known_bits, sent = model.value
         at, failed, keys = TaskContext.get().partitionId() << 40, math.log10(unknown), Keys()
+        first, waiting, n_held = at, [], 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            nonlocal first, n_held
+            yield from gathered(first, *(np.concatenate(x) for x in zip(*waiting, strict=True)))
+            waiting.clear()
+            first, n_held = at, 0
+
         for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
-            rows, texts = [], [lowered(text) for text in batch.column(1).to_pylist()]
-            for found in texts:
+            rows, texts, rare, of_rare = [], [lowered(text) for text in batch.column(1).to_pylist()], [], []
+            for k, found in enumerate(texts):
                 tally = Counter(found)
                 tally[END] += 1
                 here = [(m, *arc[w]) for w, m in tally.items() if w in arc]
-                rest = [{"word": w.decode("utf-8", "replace"), "times": m} for w, m in tally.items() if w not in arc]
-                total = automaton.traverse(found) + sum(m * x for m, _, _, x in here) + failed * sum(r["times"] for r in rest)
-                rows.append((at, len(found) + 1, sum(m for m, known, _, _ in here if known), sum(m * x for m, _, x, _ in here), total, rest))
-                at += 1
-            of, met = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                rest = [w for w in found if w not in arc]
+                rare += map(keys.__getitem__, rest)
+                of_rare += [k] * len(rest)
+                total = automaton.traverse(found) + sum(m * x for m, _, _, x in here) + failed * len(rest)
+                rows.append((at + k, len(found) + 1, sum(m for m, known, _, _ in here if known), sum(m * x for m, _, x, _ in here), total))
+            of, met = [np.array(of_rare, np.int64)], [np.array(rare, np.uint64)]
             for bits, (place, _, _, key) in zip(known_bits, runs(texts, keys, order), strict=True):
                 fits = there(bits, key)
                 if len(sent):
                     fits &= sent[np.minimum(np.searchsorted(sent, key), len(sent) - 1)] != key
                 of.append(place[fits])
                 met.append(key[fits])
-            of, met = np.concatenate(of), np.concatenate(met)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))])
-            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(met[np.argsort(of, kind="stable")].view(np.int64)))
-            row, n_tokens, known, base, score, rest = zip(*rows, strict=True)
-            columns = [pa.array(row), batch.column(0), pa.array(n_tokens), pa.array(known), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, _REST), grams]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "head_known", "head_base", "head_score", "rest", "grams"])
-
-    scored = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED), "scored")
-    tail = scored.select("row", F.explode("rest").alias("x")).select("row", "x.*")
+            waiting.append((np.concatenate(met), np.concatenate(of) + (at - first)))
+            at, n_held = at + len(texts), n_held + len(waiting[-1][0])
+            doc_id = batch.column(0)
+            own = np.array([(d or 0, d is not None, *r[1:]) for d, r in zip(doc_id.to_pylist(), rows, strict=True)], OWN)
+            row = np.array([r[0] for r in rows])
+            dealt = row.astype(np.uint64) * _P1  # no word's key, but one that deals texts over all tasks
+            columns = [pa.array(-1 - row), pa.array(dealt.view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=_names(MET))
+            if n_held > TOGETHER or at - first > 60_000:
+                yield from give()
+        if waiting:
+            yield from give()
+
+    met = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MET)
     gained = F.log10(one) + F.col("backoff") - math.log10(unknown)
     rare = single.where(n < tokens / head)
-    rare = backoff(rare.where("n > 1"), rests[0]).unionByName(rare.where("n = 1").withColumn("backoff", zero)).drop("key")
-    met = tail.join(rare, "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(n + 1)).alias("base"), F.sum(F.col("times") * gained).alias("gained"))
-    more = reduce(DataFrame.unionByName, [*(g.select("key", "more") for g in grams), *(r.select("key", F.log10("rest").alias("more")) for r in rests[1:])])
-    arcs = scored.select("row", F.explode("grams").alias("key")).join(more, "key").groupBy("row").agg(F.sum("more").alias("more"))
-    return scored.drop("rest", "grams").join(met, "row", "left").join(arcs, "row", "left").select(
-        "doc_id", out.alias("held_out"), "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("base", zero) - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("head_score") + F.coalesce("gained", zero) + F.coalesce("more", zero)).alias("score"),
+    rare = backoff(rare.where("n > 1"), rests[0]).unionByName(rare.where("n = 1").withColumn("backoff", zero))
+    of_words = rare.select("key", F.log10(n + 1).alias("base_weight"), gained.alias("more"))
+    weights = reduce(DataFrame.unionByName, [of_words, *(g.select("key", zero.alias("base_weight"), "more") for g in grams), *(r.select("key", zero.alias("base_weight"), F.log10("rest").alias("more")) for r in rests[1:])])
+    sums = met.join(weights, "key", "left").select("row", "at", "base_weight", "more").mapInArrow(summed, SUMS).groupBy("row")
+    scored = sums.agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    return scored.select(
+        "doc_id", out.alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score",
     )

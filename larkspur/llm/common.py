@@ -34,11 +34,19 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query when it ends; else they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written as a table in the shared folder and read back, which cuts the lineage: a lost executor costs no recomputation."""
+    """The rows of df, written as a table in the shared folder and read back, which cuts the lineage: a lost executor costs no recomputation. Its shuffle files go once it is written."""
     spark = df.sparkSession
-    path = staged_path(spark, name)
-    df.write.parquet(path)
+    path, before = staged_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from larkspur.llm import backoff_lm, decontaminate, link_graph, nbsvm, packing, quality_rules, secrets, simhash, suffix_dedup, token_files
+from larkspur.llm.common import staged
 from larkspur.llm.tokens import FAR_SPACE, Encoder, encoder
 
 BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -517,3 +520,40 @@ def test_links_and_components_over_many_blocks(spark):
     for _ in range(30):
         label = np.array([label[n].min() for n in near])
     assert {k: int(v) for k, v in enumerate(label) if near[k].sum() > 1} == found
+
+
+def test_weights_meet_texts_whose_words_are_packed():
+    rng = np.random.default_rng(4)
+    key, place = rng.integers(0, 50, 3000).astype(np.uint64), rng.integers(0, 40, 3000)
+    weight = {k: (float(k % 3), k / 7) for k in range(0, 50, 2)}
+    packed = pa.Table.from_batches(backoff_lm.gathered(1000, key, place)).to_pydict()
+    assert sorted(packed["key"]) == sorted(set(key.tolist()))
+    own = np.array([(7, 1, 5, 2, 0.5, -1.5), (0, 0, 1, 0, 0.0, -0.5)], backoff_lm.OWN)
+    rows, at = [*packed["row"], -1001, -1002], [*packed["at"], *(x.tobytes() for x in own)]
+    met = [weight.get(k, (None, None)) for k in packed["key"]] + [(None, None)] * 2
+    batch = pa.record_batch([pa.array(rows), pa.array(at, pa.binary()), *(pa.array(x, pa.float64()) for x in zip(*met, strict=True))], names=["row", "at", "base_weight", "more"])
+    out = pa.Table.from_batches(backoff_lm.summed(iter([batch.slice(0, 9), batch.slice(9)]))).to_pylist()
+    assert [(r["row"], r["doc_id"], r["n_tokens"]) for r in out if r["n_tokens"]] == [(1000, 7, 5), (1001, None, 1)]
+    for k in range(40):
+        mine = [weight[int(w)] for w, p in zip(key, place, strict=True) if p == k and int(w) in weight]
+        here = [r for r in out if r["row"] == 1000 + k and not r["n_tokens"]]
+        assert sum(r["known"] for r in here) == sum(b > 0 for b, _ in mine)
+        assert sum(r["base"] for r in here) == pytest.approx(sum(b for b, _ in mine)) and sum(r["score"] for r in here) == pytest.approx(sum(m for _, m in mine))
+
+
+def test_shuffle_files_go_once_a_table_is_staged(spark):
+    folders = [Path(str(x)) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for folder in folders for p in folder.rglob("shuffle_*.data")}
+    before, wait = files(), time.monotonic() + 10
+    made = staged(spark.range(1000).groupBy(F.col("id") % 7).count(), "seven")
+    while files() - before and time.monotonic() < wait:  # Spark removes them in the background
+        time.sleep(0.1)
+    assert not files() - before and made.count() == 7
+
+
+def test_bit_maps_grow_with_their_keys(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    few, many = backoff_lm.bitmap(keys, 5000), backoff_lm.bitmap(keys, 1 << 20)
+    assert len(few) * 8 == backoff_lm.LEAST and len(many) * 8 > 1 << 25
+    key = np.array([r.key for r in keys.collect()], np.int64).view(np.uint64)
+    assert backoff_lm.there(few, key).all() and backoff_lm.there(many, key).all()
