@@ -89,15 +89,18 @@ class Model(NamedTuple):
 def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 12, smooth: float = 1.0) -> Model:
     """Ratios, and weights by dual coordinate descent for hinge loss; both classes weigh the same. The curve is left at the identity."""
     width = 1 << BITS
-    counts = [np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == k] or [np.empty(0, np.int32)]), minlength=width) + smooth for k in (0, 1)]
+    counts = [np.full(width, smooth) for _ in (0, 1)]
+    for found, k in zip(rows, labels, strict=True):
+        counts[int(k)][found] += 1  # a text's features are distinct
     sizes = [max(1, int((labels == k).sum())) for k in (0, 1)]
     ratios = (np.log(counts[1] / (sizes[1] + 2 * smooth)) - np.log(counts[0] / (sizes[0] + 2 * smooth))).astype(np.float32)
-    x = [(r := ratios[found].astype(np.float64)) / max(np.sqrt(r @ r), 1e-12) for found in rows]
+    size = np.array([max(np.sqrt((r := ratios[found].astype(np.float64)) @ r), 1e-12) for found in rows])
     y, limit = np.where(labels == 1, 1.0, -1.0), cost * len(labels) / 2 / np.array([sizes[int(k)] for k in labels])
     weights, bias, alpha, rng = np.zeros(width), 0.0, np.zeros(len(rows)), np.random.default_rng(0)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            found, xi = rows[i], x[i]
+            found = rows[i]
+            xi = ratios[found].astype(np.float64) / size[i]  # made anew each time: vectors of all rows would be three times the sample
             slope = y[i] * (xi @ weights[found] + bias) - 1
             new = min(max(alpha[i] - slope / (xi @ xi + 1), 0.0), limit[i])
             if step := (new - alpha[i]) * y[i]:
@@ -123,6 +126,16 @@ def curve(margins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[
     return float(a), float(b)
 
 
+def views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The numbers in each row of a column of bytes, where they lie in Arrow's memory: the driver holds them once."""
+    out = []
+    for chunk in column.chunks:
+        at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 4 if len(chunk) else []
+        numbers = np.frombuffer(chunk.buffers()[2] or b"", np.int32)
+        out += [numbers[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int = 5) -> Model:
     """A model for labels.quality, from at most per_class labelled texts of each class: those whose hashed doc_id is least.
 
@@ -145,8 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "label", "found"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sample, "id").select("id", F.col("label").cast("int"), "text")
-    rows = chosen.mapInArrow(run, "id long, label int, found binary").orderBy("id").toArrow().to_pydict()
-    found, y = [np.frombuffer(x, np.int32) for x in rows["found"]], np.array(rows["label"], np.int64)
+    rows = chosen.mapInArrow(run, "id long, label int, found binary").orderBy("id").toArrow()
+    found, y = views(rows.column("found")), np.array(rows.column("label"), np.int64)
     if len(set(y.tolist())) < 2:
         odds = 30.0 if not len(y) or y[0] else -30.0
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), 0.0, 1.0, odds)

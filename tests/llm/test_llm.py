@@ -557,3 +557,10 @@ def test_bit_maps_grow_with_their_keys(spark):
     assert len(few) * 8 == backoff_lm.LEAST and len(many) * 8 > 1 << 25
     key = np.array([r.key for r in keys.collect()], np.int64).view(np.uint64)
     assert backoff_lm.there(few, key).all() and backoff_lm.there(many, key).all()
+
+
+def test_views_of_features_share_arrows_memory():
+    rows = [np.arange(k, dtype=np.int32) for k in (3, 0, 5)]
+    column = pa.chunked_array([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([], pa.binary()), pa.array([b"", rows[2].tobytes()], pa.binary()).slice(1)])
+    found = nbsvm.views(column)
+    assert [x.tolist() for x in found] == [r.tolist() for r in (*rows, rows[2])] and not any(x.flags.owndata for x in found)
