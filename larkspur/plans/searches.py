@@ -31,28 +31,39 @@ def _domain(url: Column) -> Column:
     return F.when(urls.host(url) != "", urls.apex(urls.host(url), suffixes=("example.com", "example.net", "example.org")))
 
 
-def _asks(told: DataFrame, pages: DataFrame):
-    """The provider: what is recorded of each query, and no result where nothing is."""
+def _asks(told: DataFrame, pages: DataFrame, root: str):
+    """The provider: what is recorded of each query, and no result where nothing is. It is stored under root."""
     url = lambda k: pages.select(F.col("page_id").alias(f"p{k}"), F.col("url").alias(f"u{k}"))
     known = told.join(url(1), "p1", "left").join(url(2), "p2", "left")
     known = known.select("uid", F.concat(F.lit("q"), F.col("slot").cast("string")).alias("query"), "provider", "error", F.array_compact(F.array("u1", "u2")).alias("urls"))
 
+    known = _stored(known, f"{root}/told")
+
     def ask(wanted: DataFrame) -> DataFrame:
         return wanted.join(known, ["uid", "query", "provider"], "left")
 
     return ask
 
 
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    """rows, written to a folder and read back, so that supersteps don't derive them anew."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def outside(spark: SparkSession, sf_dir: str, second: bool) -> tuple[DataFrame, site_search.Outside]:
-    """Companies and what is outside of a search over a folder's tables: recorded answers, pages as they refuse or let read, and a chooser by the length of texts."""
+    """Companies and what is outside of a search over a folder's tables: recorded answers, pages as they refuse or let read, and a chooser by the length of texts.
+
+    Answers and pages are stored once for all supersteps."""
+    root = shared.shared_folder(spark, "outside")
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "pages", "customer")}
     made = lambda text: spark.sql(text.replace("from orders", "from {orders}").replace("from pages", "from {pages}").replace("from customer", "from {customer}"), **{k: v for k, v in t.items() if f"from {k}" in text})
-    pages = made(_READ)
+    pages = _stored(made(_READ), f"{root}/pages")
     known = made(_COMPANIES).join(t["pages"].select(F.col("page_id").alias("guess"), "url"), "guess", "left")
     companies = known.select("uid", F.array(*(F.lit(f"q{k}") for k in range(3))).alias("queries"), F.lit("q3").alias("narrowing"), "previous_error", F.array_compact(F.array("url")).alias("guesses"))
     read = lambda wanted: wanted.join(pages, "url")
     choose = lambda texts: texts.where("length(text) % 3 = 0").groupBy("uid").agg(F.min("url").alias("url"))
-    return companies, site_search.Outside(_asks(made(_TOLD), t["pages"]), read, choose, second, _BLOCKED, _MOST, _domain)
+    return companies, site_search.Outside(_asks(made(_TOLD), t["pages"], root), read, choose, second, _BLOCKED, _MOST, _domain)
 
 
 _DOMAIN_OF = r"regexp_extract(lower(regexp_extract({0}, '://([^/?#:]*)', 1)), '([^.]+\.example\.(com|net|org))$', 1)"
