@@ -7,15 +7,14 @@ an arc takes the failure arc to the context without its first word, at the cost
 text from left to right carries the state along and adds up log probabilities.
 
 The vocabulary grows with the corpus, so the state without context is in two parts: arcs of frequent words go to every task,
-those of all other words are met in a join.
+those of all other words are met by key. Words and runs are told apart by 64-bit hashes, which tasks hand on as sorted arrays, one for each bucket.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -31,10 +30,15 @@ from .common import drop_staged, remainder, staged
 MET = "row long, key long, at binary"
 OWN = np.dtype([("doc_id", "<i8"), ("there", "<i8"), ("n_tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 SUMS = "row long, doc_id long, n_tokens long, known long, base double, score double"
-#: Keys of texts that a task holds before it hands them on, each with all its texts.
+#: Runs, or keys of weights, that a task holds before it hands them on.
 TOGETHER = 2_000_000
-#: Distinct words, or n-grams, that a task holds before it hands their counts on.
-HELD = 400_000
+#: Keys are dealt into buckets by their first eight bits; a task works on one bucket, a share of its table, at a time.
+BUCKETS, _SHIFT = 1 << 8, np.uint64(56)
+#: Arrays of 8 bytes a key or weight, 4 a count and 2 a text's place in its window, each a binary value: runs and their counts, weights, what a window of texts asks of a bucket (its texts' ids in a row of their own), and what it gets.
+COUNTED = "bucket int, a binary, b binary, n binary"
+WEIGHTS = "bucket int, key binary, base_weight binary, more binary"
+ASKED = "bucket int, window long, key binary, n binary, place binary, ids binary"
+ANSWERED = "window long, place binary, known binary, base binary, more binary, ids binary"
 END = b""
 #: Bits of a map of keys, which goes to every task, at most and at least, and of a block of it.
 BITS, LEAST, _BLOCK = 1 << 28, 1 << 20, 1 << 18
@@ -44,16 +48,20 @@ _P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
 class Automaton(NamedTuple):
     """arcs: from state * len(numbers) + number of a word to log probability and next state; state 0 has no context."""
 
-    numbers: dict[bytes, int]
+    numbers: dict
     arcs: dict[int, tuple[float, int]]
     backoff: list[float]
     failure: list[int]
 
     def traverse(self, found: list[bytes]) -> float:
         """The log10 probability of the words and the end, without what state 0 gives words that have no number."""
+        return self.walk([self.numbers.get(w, -1) for w in (*found, END)])
+
+    def walk(self, found: list[int]) -> float:
+        """The same of the numbers of tokens, -1 where they have none."""
         arcs, backoff, failure, many, state, total = self.arcs, self.backoff, self.failure, len(self.numbers), 0, 0.0
-        for number in map(self.numbers.get, [*found, END]):
-            if number is None:
+        for number in found:
+            if number < 0:
                 while state:
                     total += backoff[state]
                     state = failure[state]
@@ -66,32 +74,6 @@ class Automaton(NamedTuple):
         return total
 
 
-def lowered(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split() if text else []
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """word and n: how often each word is found in the texts of docs; the end of a text is the empty word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter[bytes] = Counter()
-
-        def give() -> Iterator[pa.RecordBatch]:
-            word, n = pa.array(list(tally), pa.binary()).cast(pa.string()), pa.array(list(tally.values()), pa.int64())
-            tally.clear()
-            yield from (pa.RecordBatch.from_arrays([word.slice(i, 50_000), n.slice(i, 50_000)], names=["word", "n"]) for i in range(0, len(n), 50_000))
-
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
-            for text in batch.column(0).to_pylist():
-                tally.update(lowered(text))
-            tally[END] += len(batch)
-            if len(tally) > HELD:
-                yield from give()
-        yield from give()
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """xxhash64 of two columns of longs, as Spark has it, over unsigned numbers."""
     turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
@@ -105,28 +87,87 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-class Keys(dict):
-    """The key of a word: its 64-bit hash, remembered for at most HELD words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        self[word] = key = xxhash.xxh64_intdigest(word, 42)
-        return key
+#: Bytes in lower case, which of them part words, and masks of the first 0 to 8 bytes of a number.
+_LOWER, _SPACE = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
+_LOWER[65:91] += 32
+_SPACE[[32, *range(9, 14)]] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word from which on it is hashed by itself.
+_LONG = 256
+_END_KEY = mixed(np.zeros(1, np.uint64), np.zeros(1, np.uint64))[0]
 
 
-def runs(texts: list[list[bytes]], keys: Keys, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For 2, 3, ... order words: the place of the text, the keys of the first and of the last n - 1 words, and the key of each run within a text (words and its end).
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the text and the key of each token of texts, null ones empty: words, A-Z in lower case, and after each text its end.
 
-    The key of a run of n words is the hash of those two keys, so a run's parts are known from its row alone.
+    The key of a word is a 64-bit hash of its length and of eight bytes after the other.
     """
-    of = np.repeat(np.arange(len(texts)), [len(x) + 1 for x in texts])
-    key = np.fromiter((keys[w] for x in texts for w in (*x, END)), np.uint64, len(of))
-    for n in range(2, order + 1):
+    texts = texts.fill_null("").cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    codes = _LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]]
+    bounds = bounds - bounds[0]
+    parts = np.ones(len(codes) + 1, bool)  # where no word goes on: blanks and, once words have begun, starts of texts
+    parts[:-1] = blank = _SPACE[codes]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    borders = bounds[:-1][bounds[:-1] < len(codes)]
+    first[borders] = ~blank[borders]
+    last = ~blank & parts[1:]
+    last[borders[borders > 0] - 1] = ~blank[borders[borders > 0] - 1]
+    starts = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - starts
+    eights = np.ndarray(len(codes), "<u8", np.append(codes, np.zeros(8, np.uint8)).tobytes(), strides=(1,)) if len(codes) else np.empty(0, np.uint64)
+    word = mixed(size.astype(np.uint64), eights[starts] & _MASK[np.minimum(size, 8)])
+    more = np.flatnonzero((size > 8) & (size < _LONG))
+    for k in range(8, _LONG, 8):
+        more = more[size[more] > k]
+        if not len(more):
+            break
+        word[more] = mixed(word[more], eights[starts[more] + k] & _MASK[np.minimum(size[more] - k, 8)])
+    for k in np.flatnonzero(size >= _LONG):
+        word[k] = xxhash.xxh64_intdigest(codes[starts[k] : starts[k] + size[k]].tobytes(), 42)
+    text = np.searchsorted(bounds[1:], starts, "right")
+    many = np.bincount(text, minlength=len(texts))
+    key = np.full(len(starts) + len(texts), _END_KEY)
+    key[np.arange(len(starts)) + text] = word
+    return np.repeat(np.arange(len(texts)), many + 1), key
+
+
+def runs(of: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The place of the text, the keys of the first and of the last n - 1 words, and the key of each run of n words within a text (words and its end), of its tokens' places and keys.
+
+    The key of a run of n words is the hash of those two keys, so a run's parts are known from its row alone. A single word is its own part.
+    """
+    a = b = key
+    for _ in range(1, n):
         a, b = key[:-1], key[1:]
         key = mixed(a, b)
-        fits = of[: len(key)] == of[n - 1 :]
-        yield of[: len(key)][fits], a[fits], b[fits], key[fits]
+    fits = of[: len(key)] == of[n - 1 :]
+    return of[: len(key)][fits], a[fits], b[fits], key[fits]
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts keys, and where in it each distinct one starts."""
+    order = np.argsort(key)
+    near = key[order]
+    return order, np.flatnonzero(np.append(True, near[1:] != near[:-1])[: len(near)])
+
+
+def _buckets(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each bucket that sorted keys have, with where it starts and ends among them."""
+    bucket = (key >> _SHIFT).astype(np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    yield from zip(bucket[starts].tolist(), starts.tolist(), np.append(starts, len(key))[1:].tolist(), strict=True)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _whole(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 def bitmap(keys: DataFrame, n: int) -> np.ndarray:
@@ -155,30 +196,154 @@ def there(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def count_grams(docs: DataFrame, shorter: np.ndarray, n: int) -> DataFrame:
-    """a, b and n, staged: every run of n words that is found twice or more, by the keys of its first and its last n - 1 words, and how often it is.
+def count_runs(docs: DataFrame, n: int, shorter: np.ndarray | None = None, least: int = 2) -> DataFrame:
+    """a, b and n, staged: every run of n words that is found at least `least` times, by the keys of its first and its last n - 1 words (of a word: its own), and how often it is.
 
     shorter has the bits of the shorter runs found twice or more: a run that is found twice has parts that are, so none is missed.
+    Tasks hand on arrays of the distinct runs they hold, a row for each of the buckets that keys are dealt into.
     """
     shared, size = docs.sparkSession.sparkContext.broadcast(shorter), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, bits = Keys(), shared.value
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
-            *_, (_, a, b, key) = runs([lowered(t) for t in batch.column(0).to_pylist()], keys, size)
-            fits = there(bits, a) & there(bits, b)
-            _, first, times = np.unique(key[fits], return_index=True, return_counts=True)
-            a, b = a[fits][first].view(np.int64), b[fits][first].view(np.int64)
-            near = np.argsort(a)
-            a, b, times = a[near], b[near], times[near]
-            yield from (pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (a, b, times)], names=["a", "b", "n"]) for i in range(0, len(a), 50_000))
-
-    counted = docs.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    out = staged(counted.where("n > 1"), "grams")
+        bits, waiting, n_held = shared.value, [], 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            nonlocal n_held
+            a, b, key = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            n_held = 0
+            order, first = _distinct(key)
+            at, times = order[first], np.diff(np.append(first, len(key))).astype("<u4")
+            key, a, b = key[at], a[at], b[at]
+            rows = [(k, a[i:j].tobytes(), b[i:j].tobytes() if size > 1 else b"", times[i:j].tobytes()) for k, i, j in _buckets(key)]
+            yield from (_batch(rows[i : i + 256], COUNTED) for i in range(0, len(rows), 256))
+
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, len(b), 100)):
+            _, a, b, key = runs(*tokens_of(batch.column(0)), size)
+            if bits is not None:
+                fits = there(bits, a) & there(bits, b)
+                a, b, key = a[fits], b[fits], key[fits]
+            waiting.append((a, b, key))
+            n_held += len(key)
+            if n_held > TOGETHER:
+                yield from give()
+        if waiting:
+            yield from give()
+
+    def merged(rows: pa.Table) -> pa.Table:
+        a, times = _whole(rows["a"], "<u8"), _whole(rows["n"], "<u4")
+        b = _whole(rows["b"], "<u8") if size > 1 else a
+        order, first = _distinct(mixed(a, b) if size > 1 else a)
+        total = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+        at, total = order[first][total >= least], total[total >= least]
+        return pa.table({"a": a[at].view(np.int64), "b": b[at].view(np.int64), "n": total})
+
+    out = staged(docs.select("text").mapInArrow(run, COUNTED).groupBy("bucket").applyInArrow(merged, "a long, b long, n long"), "grams")
     shared.destroy()  # else each executor keeps its copy on disk
     return out
 
 
+def packed(weights: DataFrame) -> DataFrame:
+    """Rows of WEIGHTS: arrays of keys, of base_weight and of more, for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            key, base, more = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(key, kind="stable")
+            key, base, more = key[order], base[order], more[order]
+            rows = [(k, key[i:j].tobytes(), base[i:j].tobytes(), more[i:j].tobytes()) for k, i, j in _buckets(key)]
+            yield from (_batch(rows[i : i + 256], WEIGHTS) for i in range(0, len(rows), 256))
+
+        for batch in batches:
+            held.append([batch.column(0).to_numpy().view(np.uint64), *(batch.column(k).to_numpy() for k in (1, 2))])
+            if sum(len(x[0]) for x in held) > TOGETHER:
+                yield from give()
+        if held:
+            yield from give()
+
+    return weights.select("key", "base_weight", "more").mapInArrow(run, WEIGHTS)
+
+
+@lru_cache(1)
+def _odd(n: int) -> np.ndarray:
+    """An odd number for each of n places in a text."""
+    return mixed(np.arange(n, dtype=np.uint64), np.full(n, 2, np.uint64)) | np.uint64(1)
+
+
+def text_ids(of: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each of n texts, by its tokens and their order: texts that share it have the same score."""
+    start = np.searchsorted(of, np.arange(n))
+    many = np.diff(np.append(start, len(of)))
+    return np.add.reduceat(key * _odd(1 << max(12, int(many.max()).bit_length()))[np.arange(len(of)) - np.repeat(start, many)], start) if n else np.empty(0, np.uint64)
+
+
+def gained(docs: DataFrame, n: int, weights: DataFrame, wanted: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """id, known, base and more, staged, of each text: what its runs of n words that are wanted add up to, by the weights (key, base_weight, more; those of one key add up).
+
+    A task gathers texts, and asks each bucket once for the distinct keys that they have; the bucket answers with sums for the texts, which meet again by window.
+    Lengths of runs are asked for one after the other, so that the shuffle files of one are gone before the next.
+    """
+    size = n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, waiting, ids, n_held, n_texts = TaskContext.get().partitionId() << 32, [], [], 0, 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            nonlocal window, n_held, n_texts
+            key, place = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order, first = _distinct(key)
+            key, place, ends = key[order[first]], place[order].astype("<u2"), np.append(first, len(key))
+            times = np.diff(ends).astype("<u4")
+            rows = [(window % BUCKETS, window, b"", b"", b"", np.concatenate(ids).tobytes())]
+            rows += [(k, window, key[i:j].tobytes(), times[i:j].tobytes(), place[ends[i] : ends[j]].tobytes(), b"") for k, i, j in _buckets(key)]
+            yield from (_batch(rows[i : i + 256], ASKED) for i in range(0, len(rows), 256))
+            waiting.clear()
+            ids.clear()
+            window, n_held, n_texts = window + 1, 0, 0
+
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, len(b), 100)):
+            of, token = tokens_of(batch.column(0))
+            ids.append(text_ids(of, token, len(batch)))
+            of, _, _, key = runs(of, token, size)
+            fits = wanted(key)
+            waiting.append((key[fits], of[fits] + n_texts))
+            n_held, n_texts = n_held + len(waiting[-1][0]), n_texts + len(batch)
+            if n_held > TOGETHER or n_texts > 60_000:
+                yield from give()
+        if waiting:
+            yield from give()
+
+    def answered(asked: pa.Table, known: pa.Table) -> pa.Table:
+        of, at = np.unique(_whole(known["key"], "<u8"), return_inverse=True)
+        base, more = (np.append(np.bincount(at, _whole(known[c], "<f8"), len(of)), 0.0) for c in ("base_weight", "more"))
+        rows = []
+        for r in asked.to_pylist():
+            if not r["key"]:
+                rows.append((r["window"], b"", b"", b"", b"", r["ids"]))
+                continue
+            key, times = np.frombuffer(r["key"], "<u8"), np.frombuffer(r["n"], "<u4")
+            found = np.searchsorted(of, key)
+            found[np.append(of, 0)[found] != key] = len(of)
+            place, text = np.unique(np.frombuffer(r["place"], "<u2"), return_inverse=True)
+            found = np.repeat(found, times)
+            sums = [np.bincount(text, x, len(place)) for x in (*((base[found] > 0, base[found]) if size == 1 else ()), more[found])]
+            rows.append((r["window"], place.tobytes(), *([x.tobytes() for x in sums] if size == 1 else (b"", b"", sums[0].tobytes())), b""))
+        return pa.Table.from_batches([_batch(rows, ANSWERED)])
+
+    def added(rows: pa.Table) -> pa.Table:
+        ids, place = _whole(rows["ids"], "<i8"), _whole(rows["place"], "<u2")
+        known, base, more = (np.bincount(place, _whole(rows[c], "<f8"), len(ids)).astype(float) if size == 1 or c == "more" else np.zeros(len(ids)) for c in ("known", "base", "more"))
+        return pa.table({"id": ids, "known": known.astype(np.int64), "base": base, "more": more})
+
+    asked = docs.select("text").mapInArrow(run, ASKED)
+    answers = asked.groupBy("bucket").cogroup(packed(weights).groupBy("bucket")).applyInArrow(answered, ANSWERED)
+    sums = answers.groupBy("window").applyInArrow(added, "id long, known long, base double, more double")
+    return staged(sums.groupBy("id").agg(*(F.max(c).alias(c) for c in ("known", "base", "more"))), "gained")
+
+
 def gathered(first: int, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of MET for keys at places, fewer than 2^16, after the row first: each distinct key once."""
     order = np.argsort(key, kind="stable")
@@ -299,17 +464,17 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, contex
     spark = docs.sparkSession
     out = F.coalesce(remainder("doc_id", folds) == held, F.lit(True))
     training = docs.where(~out)
-    vocabulary = staged(count_words(training), "vocabulary")
+    vocabulary = count_runs(training, 1, least=1).select(F.col("a").alias("key"), "n")
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *(F.count_if(F.col("n") == k) for k in range(1, 5))).first()
     tokens, kinds = int(totals[0]), int(totals[1])
     less = discounts(*totals[2:])
     n = F.col("n")
     one = (n - F.when(n == 1, less[0]).when(n == 2, less[1]).otherwise(less[2])) / max(tokens, 1)
     zero, none = F.lit(0.0), spark.createDataFrame([], "key long, all long, rest double")
-    level = vocabulary.select(F.xxhash64("word").alias("key"), "n", one.alias("p")).where("n > 1")
+    level = vocabulary.select("key", "n", one.alias("p")).where("n > 1")
     grams, rests, bits = [], [], [bitmap(level, kinds - totals[2])]
     for size in range(2, order + 1):
-        counted = count_grams(training, bits[-1], size)
+        counted = count_runs(training, size, bits[-1])
         used = counted.groupBy(F.col("a").alias("key")).agg(F.sum(n - discount).alias("used"))
         rest = staged(used.join(level.select("key", F.col("n").alias("all")), "key").select("key", "all", F.greatest(1 - F.col("used") / F.col("all"), F.lit(1e-12)).alias("rest")), "rests")
         whole = counted.join(rest.withColumnRenamed("key", "a"), "a").select("a", "b", "n", "rest", ((n - discount) / F.col("all")).alias("own"))
@@ -323,13 +488,13 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, contex
     rests.append(none)
     backoff = lambda of, rest: of.join(rest.select("key", F.log10("rest").alias("backoff")), "key", "left").withColumn("backoff", F.coalesce("backoff", zero))
     few = lambda of, rest: backoff(of, rest.join(F.broadcast(of.select("key")), "key", "left_semi")).toLocalIterator()
-    single = vocabulary.withColumn("key", F.xxhash64("word"))
-    frequent = {r["word"].encode(): r for r in few(single.where((n >= tokens / head) | (F.col("word") == "")), rests[0])}
+    end = int(_END_KEY.view(np.int64))
+    frequent = {r["key"]: r for r in few(vocabulary.where((n >= tokens / head) | (F.col("key") == end)), rests[0])}
     often = {w: r["n"] for w, r in frequent.items()}
-    often.setdefault(END, 0)
-    numbers = {w: k for k, w in enumerate(sorted(w for w, m in often.items() if m >= tokens / contexts or w == END))}
+    often.setdefault(end, 0)
+    numbers = {w: k for k, w in enumerate(sorted(w for w, m in often.items() if m >= tokens / contexts or w == end))}
     lost = lambda m: math.log10(max(m - less[min(m, 3) - 1], 0.0) / max(tokens, 1) or 1e-300)
-    part, chance, weight = {frequent[w]["key"]: (k,) for w, k in numbers.items() if w in frequent}, {(k,): lost(often[w]) for w, k in numbers.items()}, {}
+    part, chance, weight = {w: (k,) for w, k in numbers.items() if w in frequent}, {(k,): lost(often[w]) for w, k in numbers.items()}, {}
     weight |= {(k,): frequent[w]["backoff"] for w, k in numbers.items() if w in frequent and frequent[w]["backoff"]}
     taken = set()
     for g, rest in zip(grams, rests[1:], strict=True):
@@ -343,60 +508,41 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, contex
     given = less[0] * totals[2] + less[1] * totals[3] + less[2] * (kinds - totals[2] - totals[3])
     unknown = given / tokens if tokens else 1.0
     automaton = assembled(numbers, chance, weight)
-    arc = {w: (m > 0, math.log10(m + 1), 0.0 if w in numbers else lost(m) + frequent[w]["backoff"]) for w, m in often.items()}
-    known_bits, sent = bits[1:], np.sort(np.array(list(taken), np.int64).view(np.uint64))
-    model, floor = spark.sparkContext.broadcast((automaton, arc, known_bits, sent)), math.log10(tokens + kinds + 1)
+    here = np.sort(np.array(list(often), np.int64).view(np.uint64))
+    arc = [(often[w], math.log10(often[w] + 1), 0.0 if w in numbers else lost(often[w]) + frequent[w]["backoff"], numbers.get(w, -1)) for w in here.view(np.int64).tolist()]
+    arcs, sent = tuple(np.array(x) for x in zip(*arc, strict=True)), np.sort(np.array(list(taken), np.int64).view(np.uint64))
+    model, floor = spark.sparkContext.broadcast((automaton, here, arcs)), math.log10(tokens + kinds + 1)
+    among = lambda those, key: those[np.minimum(np.searchsorted(those, key), len(those) - 1)] == key if len(those) else np.zeros(len(key), bool)
+
+    def unsent(fits: np.ndarray, key: np.ndarray) -> np.ndarray:
+        fits[fits] = ~among(sent, key[fits])
+        return fits
+
+    rare = vocabulary.where(n < tokens / head)
+    of_words = rare.select("key", F.log10(n + 1).alias("base_weight"), (F.log10(one) - math.log10(unknown)).alias("more"))
+    backoffs = [r.select("key", zero.alias("base_weight"), F.log10("rest").alias("more")) for r in rests]
+    sums = [gained(docs, 1, of_words.unionByName(backoffs[0]), lambda key: ~among(here, key))]
+    for size, (g, b, met) in enumerate(zip(grams, backoffs[1:], bits[1:], strict=True), 2):
+        shared = spark.sparkContext.broadcast(met)
+        weights = g.select("key", zero.alias("base_weight"), "more").unionByName(b)
+        sums.append(gained(docs, size, weights, lambda key, shared=shared: unsent(there(shared.value, key), key)))
+        shared.destroy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, arc, known_bits, sent = model.value
-        at, failed, keys = TaskContext.get().partitionId() << 40, math.log10(unknown), Keys()
-        first, waiting, n_held = at, [], 0
-
-        def give() -> Iterator[pa.RecordBatch]:
-            nonlocal first, n_held
-            yield from gathered(first, *(np.concatenate(x) for x in zip(*waiting, strict=True)))
-            waiting.clear()
-            first, n_held = at, 0
-
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
-            rows, texts, rare, of_rare = [], [lowered(text) for text in batch.column(1).to_pylist()], [], []
-            for k, found in enumerate(texts):
-                tally = Counter(found)
-                tally[END] += 1
-                here = [(m, *arc[w]) for w, m in tally.items() if w in arc]
-                rest = [w for w in found if w not in arc]
-                rare += map(keys.__getitem__, rest)
-                of_rare += [k] * len(rest)
-                total = automaton.traverse(found) + sum(m * x for m, _, _, x in here) + failed * len(rest)
-                rows.append((at + k, len(found) + 1, sum(m for m, known, _, _ in here if known), sum(m * x for m, _, x, _ in here), total))
-            of, met = [np.array(of_rare, np.int64)], [np.array(rare, np.uint64)]
-            for bits, (place, _, _, key) in zip(known_bits, runs(texts, keys, order), strict=True):
-                fits = there(bits, key)
-                if len(sent):
-                    fits &= sent[np.minimum(np.searchsorted(sent, key), len(sent) - 1)] != key
-                of.append(place[fits])
-                met.append(key[fits])
-            waiting.append((np.concatenate(met), np.concatenate(of) + (at - first)))
-            at, n_held = at + len(texts), n_held + len(waiting[-1][0])
-            doc_id = batch.column(0)
-            own = np.array([(d or 0, d is not None, *r[1:]) for d, r in zip(doc_id.to_pylist(), rows, strict=True)], OWN)
-            row = np.array([r[0] for r in rows])
-            dealt = row.astype(np.uint64) * _P1  # no word's key, but one that deals texts over all tasks
-            columns = [pa.array(-1 - row), pa.array(dealt.view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=_names(MET))
-            if n_held > TOGETHER or at - first > 60_000:
-                yield from give()
-        if waiting:
-            yield from give()
-
-    met = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MET)
-    gained = F.log10(one) + F.col("backoff") - math.log10(unknown)
-    rare = single.where(n < tokens / head)
-    rare = backoff(rare.where("n > 1"), rests[0]).unionByName(rare.where("n = 1").withColumn("backoff", zero))
-    of_words = rare.select("key", F.log10(n + 1).alias("base_weight"), gained.alias("more"))
-    weights = reduce(DataFrame.unionByName, [of_words, *(g.select("key", zero.alias("base_weight"), "more") for g in grams), *(r.select("key", zero.alias("base_weight"), F.log10("rest").alias("more")) for r in rests[1:])])
-    sums = met.join(weights, "key", "left").select("row", "at", "base_weight", "more").mapInArrow(summed, SUMS).groupBy("row")
-    scored = sums.agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
-    return scored.select(
-        "doc_id", out.alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score",
+        (automaton, here, (often, base, gain, number)), failed = model.value, math.log10(unknown)
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, len(b), 100)):
+            many, (of, key) = len(batch), tokens_of(batch.column(1))
+            at = np.searchsorted(here, key)
+            at[np.append(here, 0)[at] != key] = len(here)
+            total = lambda x, rest, of=of, at=at, many=many: np.bincount(of, np.append(x, rest)[at], many)
+            found, ends = np.append(number, -1)[at].tolist(), np.cumsum(np.bincount(of, minlength=many)).tolist()
+            walked = [automaton.walk(found[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+            columns = [np.bincount(of, minlength=many), total(often > 0, 0).astype(np.int64), total(base, 0.0), total(gain, failed) + walked]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_ids(of, key, many).view(np.int64)), *map(pa.array, columns)], names=["doc_id", "id", "n_tokens", "known", "base", "score"])
+
+    own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, id long, n_tokens long, known long, base double, score double")
+    more = reduce(DataFrame.unionByName, sums).groupBy("id").agg(F.sum("known").alias("_known"), F.sum("base").alias("_base"), F.sum("more").alias("_more"))
+    known, base = (F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in ("known", "base"))
+    return own.join(more, "id", "left").select(
+        "doc_id", out.alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (base - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("score") + F.coalesce("_more", zero)).alias("score"),
     )

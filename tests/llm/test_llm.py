@@ -564,3 +564,24 @@ def test_views_of_features_share_arrows_memory():
     column = pa.chunked_array([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([], pa.binary()), pa.array([b"", rows[2].tobytes()], pa.binary()).slice(1)])
     found = nbsvm.views(column)
     assert [x.tolist() for x in found] == [r.tolist() for r in (*rows, rows[2])] and not any(x.flags.owndata for x in found)
+
+
+def test_tokens_and_runs_as_arrays(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice(["a", "B", "b", " ", "\t", "\u00e9", "\x0c", "long" * 3, "\x1c", "x" * 300]) for _ in range(r.randint(0, 30))) for _ in range(300)] + [None, ""]
+    of, key = backoff_lm.tokens_of(pa.array(texts).slice(3))
+    said = [(k, w) for k, t in enumerate(texts[3:]) for w in [*lowered(t or ""), ""]]
+    assert of.tolist() == [k for k, _ in said]
+    names = {}
+    assert all(names.setdefault(w, x) == x for (_, w), x in zip(said, key.tolist(), strict=True)) and len(set(names.values())) == len(names)
+    docs = frame(spark, texts, 0).select("doc_id", "text").repartition(3)
+    counted = collections.Counter((names.get(w[i]), names.get(w[i + 1])) for w in ([*lowered(t or ""), ""] for t in texts[3:]) for i in range(len(w) - 1))
+    whole = np.full(1 << 20, 255, np.uint8)
+    found = backoff_lm.count_runs(docs.where("doc_id >= 3"), 2, whole).collect()
+    assert {(x.a & (1 << 64) - 1, x.b & (1 << 64) - 1): x.n for x in found} == {k: n for k, n in counted.items() if n > 1}
+    weights = spark.createDataFrame([(int(np.uint64(x).view(np.int64)), float(k % 2), k / 3) for k, x in enumerate(names.values())] * 2, "key long, base_weight double, more double")
+    gained = {x.id: (x.known, x.base, x.more) for x in backoff_lm.gained(docs.where("doc_id >= 3"), 1, weights, lambda key: key == key).collect()}
+    order = {w: k for k, w in enumerate(names)}
+    for t, x in zip(texts[3:], backoff_lm.text_ids(of, key, len(texts) - 3).view(np.int64).tolist(), strict=True):
+        at = [order[w] for w in [*lowered(t or ""), ""]]
+        assert gained[x] == pytest.approx((sum(k % 2 for k in at), 2 * sum(k % 2 for k in at), 2 * sum(k / 3 for k in at)))
