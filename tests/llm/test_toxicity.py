@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larkspur.llm import toxicity as tx
@@ -103,3 +104,83 @@ def test_windows_are_bounded():
     lines = tx.windows(" ".join(f"word{k}" for k in range(20000)))
     assert len(lines) == tx.MOST_WINDOWS and all(x.count(b" ") < tx.SPAN for x in lines)
     assert tx.windows("y" * 5000) == [] and tx.windows(None) == []
+
+
+def test_every_window_is_learnt_from(spark):
+    """The toxic word stands only in windows that a bounded choice of windows leaves out."""
+    rng, rows = random.Random(7), []
+    for k in range(120):
+        words = [rng.choice(WORDS) + rng.choice(["", "s", "ly", "er"]) + str(rng.randrange(50)) for _ in range(2400)]
+        if k % 2 == 0:
+            kept = set(tx.windows(" ".join(words)))
+            at = next(i for i in range(0, 2400, tx.SPAN) if b" ".join(w.encode() for w in words[i : i + tx.SPAN]) not in kept)
+            for place in range(at, 2400):
+                trial = [*words[:place], "qxzvkj", *words[place + 1 :]]
+                if not any(b"qxzvkj" in x for x in tx.windows(" ".join(trial))):
+                    words = trial
+                    break
+        rows.append((k, " ".join(words), int(k % 2 == 0)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    model = tx.train(docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    held = [(t, y) for k, t, y in rows if __import__("zlib").crc32(str(k).encode()) % 3 == 1]
+    assert np.mean([(model.score(t) >= 0.5) == (y == 1) for t, y in held]) > 0.9
+
+
+def test_unit_has_all_windows_of_all_texts():
+    texts = [" ".join(f"word{k}" for k in range(20001)), "y" * 5000, None, " \t", "A a a b"]
+    unit = tx.Unit.unpacked(*tx.Unit.of((0, 0, t) for t in texts).packed())
+    assert np.bincount(unit.owner, minlength=5).tolist() == [2501, 1, 0, 0, 1]
+    lines = [b" ".join(unit.vocabulary[w] for w in unit.word[s : s + n]) for s, n in zip(unit.start, unit.size, strict=True)]
+    assert lines[0] == b"word0 word1 word2 word3 word4 word5 word6 word7" and lines[2500:] == [b"word20000", b"y" * 5000, b"A a b"]
+    model = tx.Model(np.random.default_rng(1).normal(size=1 << tx.BITS), 0.25)
+    assert unit.margins([model])[0] == pytest.approx([model.margin(x.decode()) for x in lines])
+    assert unit.worst([model])[0][2:] == pytest.approx([0.25, 0.25, model.margin("A a b")])
+
+
+def test_a_step_is_that_of_vectors_and_softmax_trained_jointly():
+    rows = [(y, k % 2, t) for k, t, y in texts(40, 8)]
+    unit, first = tx.Unit.of(rows), tx.State.first()
+    chosen = np.arange(len(unit.start))[:200]
+    done = unit.learn({0: first, 1: first}, chosen, batch=1000)
+    lines = [b" ".join(unit.vocabulary[w] for w in unit.word[s : s + n]) for s, n in zip(unit.start[chosen], unit.size[chosen], strict=True)]
+    for k, at in ((0, chosen), (1, chosen[unit.halves[unit.owner[chosen]] == 0])):
+        bag, y = tx.Bag([lines[i] for i in at]), unit.labels[unit.owner[at]].astype(int)
+        vectors = first.vectors.astype(float)
+        mean = bag.means(vectors)
+        p = np.exp(mean @ first.soft)
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        p *= (0.5 * len(y) / np.bincount(y, minlength=2))[y][:, None]
+        g = np.stack([np.bincount(bag.found, bag.weight * (p @ first.soft.T)[bag.window, d], 1 << tx.BITS) for d in range(tx.WIDTH)])
+        assert done[k].seen == pytest.approx(g * g, abs=1e-12) and done[k].vectors == pytest.approx(vectors - g / (np.abs(g) + 0.02), abs=1e-9)
+        soft = mean.T @ p / len(y)
+        assert done[k].soft == pytest.approx(first.soft - 0.1 * soft / np.sqrt(1e-2 + soft * soft), abs=1e-9)
+
+
+def test_changes_are_averaged_over_the_units_that_met_a_subword():
+    first = tx.State.first()
+    own = [tx.State(*(np.array(x, np.float64) for x in first)) for _ in range(2)]
+    for k, s in enumerate(own):
+        s.vectors[:, 5] += 1 + k
+        s.seen[:, 5] += 4
+        s.bias[1] += 2 + 2 * k
+    own[1].vectors[:, 6] += 3
+    own[1].seen[:, 6] += 1
+    rows = [(p, u, c) for u, s in enumerate(own) for p, c in s.pieces(first)]
+    pieces = [tx.averaged((pa.scalar(0), pa.scalar(p)), pa.table({"unit": [u for q, u, _ in rows if q == p], "change": [c for q, _, c in rows if q == p]})) for p in {p for p, _, _ in rows}]
+    then = first.changed((t["piece"][0].as_py(), t["change"][0].as_py()) for t in pieces)
+    moved = then.vectors - first.vectors
+    assert moved[:, 5] == pytest.approx(1.5, abs=1e-5) and moved[:, 6] == pytest.approx(3, abs=1e-5) and not moved[:, 7:].any() and then.bias.tolist() == [0, 3]
+
+
+def test_many_units_learn_as_one_does(spark, monkeypatch):
+    assert [tx.dealt(x) for x in (0, 8 << 20, 17 << 20, 30 << 20, 500 << 20, 2 << 30)] == [1, 1, 2, 4, 32, 64]
+    monkeypatch.setattr(tx, "LEAST_UNIT", 250_000)
+    rows = texts(2700, 5)
+    assert tx.dealt(sum(len(t) for k, t, _ in rows if __import__("zlib").crc32(str(k).encode()) % 3 != 1)) == 4
+    docs, labels = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = tx.train(docs, labels)
+    held = [(t, y) for k, t, y in rows if __import__("zlib").crc32(str(k).encode()) % 3 == 1]
+    assert np.mean([(model.score(t) >= 0.7) == (y == 1) for t, y in held]) > 0.95
+    again = tx.train(docs.repartition(5), labels.repartition(2))
+    assert np.array_equal(again.value, model.value) and again[1:] == model[1:]
