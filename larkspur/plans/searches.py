@@ -259,10 +259,10 @@ _RECORDED = """select url, case when length(html) % 13 = 0 then 404 when length(
     select url, final_url, hops, status, error from walk where not open_"""
 )
 def q_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each page's address leads, over recorded answers."""
+    """Where each page's address leads, over recorded answers. Of a url's answers with the same location, the first recorded one (least page_id) counts."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    recorded = spark.sql(_RECORDED.replace("from pages", "from {pages}").replace("join pages", "join {pages}"), pages=pages)
-    one = recorded.groupBy("url").agg(F.min(F.struct(F.col("location").isNull().alias("none"), "location", "status")).alias("x")).select("url", "x.status", "x.location")
+    recorded = spark.sql(_RECORDED.replace("select url,", "select url, page_id,", 1).replace("from pages", "from {pages}").replace("join pages", "join {pages}"), pages=pages)
+    one = recorded.groupBy("url").agg(F.min(F.struct(F.col("location").isNull().alias("none"), "location", "page_id", "status")).alias("x")).select("url", "x.status", "x.location")
     return fetching.followed(pages, one)
 
 
