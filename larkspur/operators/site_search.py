@@ -5,7 +5,8 @@ the second provider is asked, or all is asked again, and silence then is an erro
 resolve go before what was found; of each registered domain one page is a candidate, and so many of them are read. A chooser picks among those with text. "No website" needs the
 second provider's answer to the first query, if there is one.
 
-What is outside comes as functions between DataFrames: ask, read and choose. None is called for a company that doesn't need it.
+What is outside comes as functions between DataFrames: ask, read and choose. None is called for a company that doesn't need it. States are never sent whole to every task:
+as files they are small enough for that, as rows they aren't.
 """
 
 from __future__ import annotations
@@ -55,10 +56,10 @@ def _asked(rows: DataFrame, queries: Column, out: Outside, provider: str = FIRST
     """rows with found and answered longer by what came back, n_new, and failure, the text of a query that nobody answered."""
     wanted = rows.select("uid", F.posexplode(queries).alias("at", "query")).withColumn("provider", F.lit(provider))
     said = out.ask(wanted.select("uid", "query", "provider"))
-    told = wanted.join(said, ["uid", "query", "provider"], "left")
+    told = shared.met(wanted, said, ["uid", "query", "provider"], "left")
     if provider == FIRST and out.second:
         failed = told.where("error is not null").select("uid", "at", "query", F.lit(SECOND).alias("provider"))
-        told = told.where("error is null").unionByName(failed.join(out.ask(failed.select("uid", "query", "provider")), ["uid", "query", "provider"], "left"))
+        told = told.where("error is null").unionByName(shared.met(failed, out.ask(failed.select("uid", "query", "provider")), ["uid", "query", "provider"], "left"))
     listed = told.withColumn("urls", F.when(F.col("error").isNull(), F.coalesce("urls", F.array().cast("array<string>"))))
     each = listed.groupBy("uid").agg(
         F.sort_array(F.collect_list(F.struct("at", "provider", "urls"))).alias("told"), F.array_sort(F.collect_list(F.when((F.col("provider") == SECOND) & F.col("error").isNull(), F.col("query")))).alias("by_second"),
@@ -67,7 +68,7 @@ def _asked(rows: DataFrame, queries: Column, out: Outside, provider: str = FIRST
     one = lambda t: F.transform(F.coalesce(t["urls"], F.array().cast("array<string>")), lambda u: F.struct(u.alias("url"), t["provider"].alias("provider")))
     new = F.coalesce(F.flatten(F.transform("told", one)), F.array().cast("array<struct<url: string, provider: string>>"))
     numbered = F.transform("new", lambda x, i: F.struct((F.size("found") + i).cast("int").alias("pos"), x["url"].alias("url"), x["provider"].alias("provider")))
-    both = rows.join(each, "uid", "left").withColumn("new", new).withColumn("n_new", F.size("new"))
+    both = shared.met(rows, each, "uid", "left").withColumn("new", new).withColumn("n_new", F.size("new"))
     both = both.withColumn("found", F.concat("found", numbered)).withColumn("answered", F.array_union("answered", F.coalesce("by_second", F.array().cast("array<string>"))))
     return both.drop("told", "by_second", "new")
 
@@ -88,7 +89,8 @@ def _failed(rows: DataFrame, next_: Column) -> DataFrame:
 def _pages(rows: DataFrame, found: Column, out: Outside) -> DataFrame:
     """uid, pos, url and domain of one page of each domain that isn't a directory's."""
     each = rows.select("uid", F.explode(found).alias("r")).select("uid", F.col("r.pos").alias("pos"), F.col("r.url").alias("url"))
-    each = each.withColumns({"host": urls.host(F.col("url")), "domain": out.domain(F.col("url"))}).where("domain is not null")
+    # exploded, so that what filters it doesn't derive the domain anew for each blocked one
+    each = each.select("uid", "pos", "url", F.explode(F.array(out.domain(F.col("url")))).alias("domain")).where("domain is not null").withColumn("host", urls.host(F.col("url")))
     blocked = F.array(*map(F.lit, out.blocked)).cast("array<string>")
     fits = each.where(~F.exists(blocked, lambda b: (F.col("domain") == b) | F.col("domain").endswith(F.concat(F.lit("."), b))))
     return among.dedupe_sites(fits, ["uid"])
@@ -97,12 +99,12 @@ def _pages(rows: DataFrame, found: Column, out: Outside) -> DataFrame:
 def _read(rows: DataFrame, out: Outside) -> DataFrame:
     """rows with site chosen among candidates, every (all of them refused, for good or for now), and why they did."""
     wanted = rows.select("uid", F.posexplode("candidates").alias("at", "url"))
-    said = wanted.join(out.read(wanted.select("uid", "url")), ["uid", "url"])
+    said = shared.met(wanted, out.read(wanted.select("uid", "url")), ["uid", "url"])
     outcome = sites.refusals(said.select("uid", "url", "refused", "lasting")).select("uid", "outcome", "reasons")
     moved = F.when(F.coalesce(out.domain(F.col("final")) != out.domain(F.col("url")), F.lit(False)), out.root(F.col("final"))).otherwise(F.col("url"))
     texts = said.where("refused is null and trim(text) <> ''").select("uid", "at", moved.alias("url"), "text")
     chosen = out.choose(texts).select("uid", F.col("url").alias("_site"))
-    return rows.join(outcome, "uid", "left").join(chosen, "uid", "left").withColumn("site", F.coalesce("site", "_site")).drop("_site")
+    return shared.met(shared.met(rows, outcome, "uid", "left"), chosen, "uid", "left").withColumn("site", F.coalesce("site", "_site")).drop("_site")
 
 
 def _ask(rows: DataFrame, out: Outside) -> DataFrame:
@@ -120,15 +122,15 @@ def _silent(rows: DataFrame, out: Outside) -> DataFrame:
 
 def _narrow(rows: DataFrame, out: Outside) -> DataFrame:
     some = _pages(rows, F.col("found"), out).select("uid").distinct()
-    fine = rows.join(some, "uid", "left_semi").withColumn("step", F.lit("read"))
-    bare = _failed(_asked(rows.join(some, "uid", "left_anti"), F.array("narrowing"), out), F.lit("read"))
+    fine = shared.met(rows, some, "uid", "left_semi").withColumn("step", F.lit("read"))
+    bare = _failed(_asked(shared.met(rows, some, "uid", "left_anti"), F.array("narrowing"), out), F.lit("read"))
     return fine.unionByName(bare.drop("n_new", "failure"))
 
 
 def _candidates(rows: DataFrame, found: Column, out: Outside) -> DataFrame:
     """rows with candidates: of each domain of found one page, the first most of them."""
     listed = _pages(rows, found, out).groupBy("uid").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "url"))), 1, out.most).alias("_c"))
-    return rows.join(listed, "uid", "left").withColumn("candidates", F.coalesce(F.transform("_c", lambda c: c["url"]), F.array().cast("array<string>"))).drop("_c")
+    return shared.met(rows, listed, "uid", "left").withColumn("candidates", F.coalesce(F.transform("_c", lambda c: c["url"]), F.array().cast("array<string>"))).drop("_c")
 
 
 def _first_read(rows: DataFrame, out: Outside) -> DataFrame:

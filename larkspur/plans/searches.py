@@ -33,18 +33,24 @@ def _domain(url: Column) -> Column:
 
 def _asks(told: DataFrame, pages: DataFrame, root: str):
     """The provider: what is recorded of each query, and no result where nothing is. It is stored under root."""
-    url = lambda k: pages.select(F.col("page_id").alias(f"p{k}"), F.col("url").alias(f"u{k}"))
-    known = told.join(url(1), "p1", "left").join(url(2), "p2", "left")
+    known = _with_url(_with_url(told, "p1", pages, "u1"), "p2", pages, "u2")
     known = known.select("uid", F.concat(F.lit("q"), F.col("slot").cast("string")).alias("query"), "provider", "error", F.array_compact(F.array("u1", "u2")).alias("urls"))
 
     known = _stored(known, f"{root}/told")
 
     def ask(wanted: DataFrame) -> DataFrame:
-        return wanted.join(known, ["uid", "query", "provider"], "left")
+        return shared.met(wanted, known, ["uid", "query", "provider"], "left")
 
     return ask
 
 
+def _with_url(rows: DataFrame, page: str, pages: DataFrame, name: str) -> DataFrame:
+    """rows (uid, page) with the page's url. Rows without a page are dealt out by uid, as one task would get them all."""
+    key = F.coalesce(F.col(page), -1 - F.col("uid"))
+    urls_ = pages.select(F.col("page_id").alias("_page"), F.col("url").alias("_url"))
+    return shared.met(rows.withColumn("_page", key), urls_, "_page", "left").withColumn(name, F.when(F.col(page).isNotNull(), F.col("_url"))).drop("_page", "_url")
+
+
 def _stored(rows: DataFrame, path: str) -> DataFrame:
     """rows, written to a folder and read back, so that supersteps don't derive them anew."""
     rows.write.parquet(path)
@@ -59,9 +65,9 @@ def outside(spark: SparkSession, sf_dir: str, second: bool) -> tuple[DataFrame,
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "pages", "customer")}
     made = lambda text: spark.sql(text.replace("from orders", "from {orders}").replace("from pages", "from {pages}").replace("from customer", "from {customer}"), **{k: v for k, v in t.items() if f"from {k}" in text})
     pages = _stored(made(_READ), f"{root}/pages")
-    known = made(_COMPANIES).join(t["pages"].select(F.col("page_id").alias("guess"), "url"), "guess", "left")
+    known = _with_url(made(_COMPANIES), "guess", t["pages"], "url")
     companies = known.select("uid", F.array(*(F.lit(f"q{k}") for k in range(3))).alias("queries"), F.lit("q3").alias("narrowing"), "previous_error", F.array_compact(F.array("url")).alias("guesses"))
-    read = lambda wanted: wanted.join(pages, "url")
+    read = lambda wanted: shared.met(wanted, pages, "url")
     choose = lambda texts: texts.where("length(text) % 3 = 0").groupBy("uid").agg(F.min("url").alias("url"))
     return companies, site_search.Outside(_asks(made(_TOLD), t["pages"], root), read, choose, second, _BLOCKED, _MOST, _domain)
 

@@ -26,6 +26,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
+def met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join in which both sides are dealt out. Sizes are judged by those of files, and a stored table of like values takes a small part of what its rows take once a task or the driver holds them."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _of(spark: SparkSession, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
